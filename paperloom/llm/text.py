@@ -1,0 +1,33 @@
+"""Small text expressions that several operators share."""
+
+from __future__ import annotations
+
+import unicodedata
+from functools import cache
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+@cache
+def _fold_maps() -> tuple[str, str]:
+    """Letters whose canonical decomposition is one letter and marks, and that letter."""
+    source, target = [], []
+    for code in [*range(0x00C0, 0x0250), *range(0x0370, 0x0530), *range(0x1E00, 0x2000)]:
+        letter = chr(code)
+        base = "".join(c for c in unicodedata.normalize("NFD", letter.lower()) if not unicodedata.combining(c))
+        if len(base) == 1 and base != letter:
+            source.append(letter)
+            target.append(base)
+    return "".join(source), "".join(target)
+
+
+def folded(column: Column) -> Column:
+    """Lower case without accents, by built-in expressions only."""
+    source, target = _fold_maps()
+    return F.translate(F.regexp_replace(F.lower(column), r"\p{Mn}", ""), source, target)
+
+
+def words(column: Column) -> Column:
+    """The runs of letters or digits, folded."""
+    return F.regexp_extract_all(folded(column), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
