@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from paperloom.llm import queries_leakage
+from paperloom.llm import queries_leakage, queries_residue
 from paperloom.plans.registry import Query
 
-MODULES = [queries_leakage]
+MODULES = [queries_leakage, queries_residue]
 
 
 def queries() -> dict[str, Query]:
