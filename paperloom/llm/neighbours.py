@@ -185,18 +185,6 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dims: np.ndarray) -> tuple[np.nd
     return ok, rows, vectors
 
 
-def _usable():
-    """Of Arrow batches with `_dim` and `_v`: the rows with a usable vector."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column("_dim").fill_null(-1).to_numpy()
-            ok, _, _ = _matrix(batch.column("_v"), dims)
-            yield batch.filter(pa.array(ok))
-
-    return run
-
-
 _ROUTED = pa.schema([("cell", pa.int32()), ("asks", pa.bool_()), ("id", pa.int64()), ("v", pa.binary())])
 
 
@@ -311,7 +299,10 @@ def nearest(df: DataFrame, vec_id: str, vector: str, model: str, dim: str, k: in
     are int64 and unique; an empty table gives an empty result; extra columns are dropped.
     """
     own = df.select(F.col(f"`{vec_id}`").cast("long").alias("_id"), F.col(f"`{model}`").cast("string").alias("_model"), F.col(f"`{dim}`").cast("int").alias("_dim"), F.col(f"`{vector}`").cast("array<float>").alias("_v"))
-    own = own.where("_id IS NOT NULL AND _dim > 0 AND size(_v) = _dim")
+    # array_max takes NaN for the largest value and skips nulls.
+    own = own.where("_id IS NOT NULL AND _dim > 0 AND size(_v) = _dim AND size(array_compact(_v)) = _dim")
+    top, low, far = F.array_max("_v"), F.array_min("_v"), F.lit(float("inf"))
+    own = own.where(~F.isnan(top) & (top < far) & (low > -far) & ((top != 0) | (low != 0)))
     spark = df.sparkSession
     sizes = {(r["_model"], r["_dim"]): r["n"] for r in own.groupBy("_model", "_dim").agg(F.count("*").alias("n")).collect()}  # a row per model
     empty = spark.createDataFrame([], "a long, b long, similarity float, place int")
@@ -320,7 +311,7 @@ def nearest(df: DataFrame, vec_id: str, vector: str, model: str, dim: str, k: in
     bound = min(fit_rows, max(64, FIT_TOTAL // len(sizes)))
     draw = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 30))
     limits = F.coalesce(*(F.when(F.col("_model").eqNullSafe(F.lit(m)) & (F.col("_dim") == d), F.lit(int(min(1.0, bound / n) * (1 << 30)))) for (m, d), n in sizes.items()))
-    sample = own.where(draw < limits).mapInArrow(_usable(), own.schema).toArrow()
+    sample = own.where(draw < limits).toArrow()
     trees, visits, first_cell, blocks, cell = {}, {}, {}, {}, 0
     dims = sample.column("_dim").to_numpy()
     models = np.array(sample.column("_model").to_pylist(), dtype=object)
