@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from paperloom.llm import queries_leakage, queries_mail, queries_mixing, queries_neighbours, queries_residue, queries_scans, queries_splitting
+from paperloom.llm import queries_leakage, queries_mail, queries_mixing, queries_neighbours, queries_personal, queries_residue, queries_scans, queries_splitting
 from paperloom.plans.registry import Query
 
-MODULES = [queries_leakage, queries_mail, queries_mixing, queries_neighbours, queries_residue, queries_scans, queries_splitting]
+MODULES = [queries_leakage, queries_mail, queries_mixing, queries_neighbours, queries_personal, queries_residue, queries_scans, queries_splitting]
 
 
 def queries() -> dict[str, Query]:
