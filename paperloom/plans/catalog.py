@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from paperloom.plans import intervals
+from paperloom.plans import enrichment, intervals, retrieval
 from paperloom.plans.registry import Query
 
-MODULES = [intervals]
+MODULES = [intervals, retrieval, enrichment]
 
 
 def queries() -> dict[str, Query]:
