@@ -25,8 +25,10 @@ def fold_maps() -> tuple[str, str]:
 
 
 def unaccented(text: Column) -> Column:
+    """Lower case without accents; a text of one byte a character has none."""
     source, target = fold_maps()
-    return F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}", ""), source, target)
+    folded = F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}", ""), source, target)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(folded)
 
 
 def index_tokens(text: Column) -> Column:
@@ -34,6 +36,11 @@ def index_tokens(text: Column) -> Column:
     return F.filter(F.split(unaccented(text), r"[^\p{L}\p{N}\p{Co}]+"), lambda w: w != "")
 
 
+def index_text(text: Column) -> Column:
+    """The index tokens as one string with single spaces."""
+    return F.trim(F.regexp_replace(unaccented(text), r"[^\p{L}\p{N}\p{Co}]+", " "))
+
+
 def question_tokens(text: Column) -> Column:
     """Tokens of questions and passages: lower case, accents kept, without stop words."""
     stop = F.array(*map(F.lit, STOPWORDS))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -9,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import index_tokens, question_tokens, STOPWORDS
+from paperloom.functions.text import STOPWORDS, index_text, question_tokens
 
 
 @dataclass(frozen=True)
@@ -36,23 +37,10 @@ def parse_query(text: str) -> list[Term]:
     return terms
 
 
-def _hits(tokens: Column, term: Term) -> Column:
-    """How often a term stands in a token array."""
-    if len(term.tokens) == 1:
-        word = term.tokens[0]
-        return F.size(F.filter(tokens, (lambda t: t.startswith(word)) if term.prefix else (lambda t: t == word)))
-    size = len(term.tokens)
-    wanted = F.array(*map(F.lit, term.tokens))
-    last = term.tokens[-1]
-
-    def here(i: Column) -> Column:
-        part = F.slice(tokens, i + 1, size)
-        if term.prefix:
-            return (F.slice(part, 1, size - 1) == F.slice(wanted, 1, size - 1)) & F.element_at(part, -1).startswith(last)
-        return part == wanted
-
-    starts = F.sequence(F.lit(0), F.size(tokens) - size)
-    return F.when(F.size(tokens) >= size, F.size(F.filter(starts, here))).otherwise(0)
+def _hits(joined: Column, term: Term) -> Column:
+    """How often a term stands in a text of tokens with single spaces; overlapping places all count."""
+    body = " ".join(term.tokens) + ("" if term.prefix else "(?![^ ])")  # tokens are letters and digits only
+    return F.regexp_count(joined, F.lit(f"(?<![^ ])(?={body})"))
 
 
 def full_text(entries: DataFrame, query: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -64,11 +52,11 @@ def full_text(entries: DataFrame, query: str, text: str = "text", keep: list[str
     """
     terms = parse_query(query)
     keep = keep or entries.columns
-    own = entries.select(*keep, index_tokens(F.col(text)).alias("_t")).where(F.col("_t").isNotNull())
+    own = entries.select(*keep, index_text(F.col(text)).alias("_t")).where(F.col("_t").isNotNull())
     if not terms:
         return own.where(F.lit(False)).drop("_t").withColumn("score", F.lit(0.0))
-    # A cheap test before tokens are counted: every term's first token must occur.
-    counted = own.select(*keep, F.size("_t").alias("_len"), *(_hits(F.col("_t"), t).alias(f"_f{i}") for i, t in enumerate(terms)))
+    words = F.when(F.col("_t") == "", 0).otherwise(F.regexp_count("_t", F.lit(" ")) + 1)
+    counted = own.select(*keep, words.alias("_len"), *(_hits(F.col("_t"), t).alias(f"_f{i}") for i, t in enumerate(terms)))
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(terms)))).first()
     n, avg = stats["_n"], stats["_avg"] or 1.0
     if not n:
@@ -88,6 +76,10 @@ def full_text(entries: DataFrame, query: str, text: str = "text", keep: list[str
     return found.select(*keep, (-score).alias("score"))
 
 
+def _same(word: str, w: Column) -> Column:
+    return w == word
+
+
 def without_chunk_echo(hits: DataFrame) -> DataFrame:
     """Drop a unit's `chunk` hit where an entry of another kind of the same unit is a hit too."""
     other = hits.where("kind <> 'chunk'").select(F.col("document_id").alias("_d"), F.col("unit_id").alias("_u")).distinct()
@@ -111,7 +103,7 @@ def ask(passages: DataFrame, question: str, text: str, order: str, top: int = 8,
     own = passages.where(F.trim(F.col(text)) != "").select(F.col(order).alias("_o"), F.col(text).alias("_x"), question_tokens(F.col(text)).alias("_t"))
     if not terms:
         return own.where(F.lit(False)).select(F.lit(1).alias("n"), F.col("_o").alias(order), F.lit(0.0).alias("score"), F.col("_x").alias("passage"))
-    counted = own.select("_o", "_x", F.size("_t").alias("_len"), *(_hits(F.col("_t"), Term((t,))).alias(f"_f{i}") for i, t in enumerate(terms)))
+    counted = own.select("_o", "_x", F.size("_t").alias("_len"), *(F.size(F.filter("_t", functools.partial(_same, t))).alias(f"_f{i}") for i, t in enumerate(terms)))
     stats = counted.agg(F.count("*").alias("n"), F.avg("_len").alias("avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(len(terms)))).first()
     n, avg = stats["n"], max(stats["avg"] or 1.0, 1.0)
     score = F.lit(0.0)
