@@ -12,6 +12,21 @@ from paperloom.session import table
 REGISTRY = Registry()
 
 
+def _largest(pieces: str) -> str:
+    return rf"list_max(list_transform({pieces}, lambda s: octet_length(encode(regexp_replace(s, '^\s+|\s+$', '', 'g')))))"
+
+
+_LEVELS = rf"""
+    WITH t AS (SELECT 'chunks' AS item_table, chunk_id AS item_id, text FROM chunks UNION ALL SELECT 'entries', entry_id, text FROM entries),
+    m AS (SELECT item_table, item_id, text, regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g') AS marked FROM t WHERE octet_length(encode(text)) > 4096)
+    SELECT item_table, item_id, CASE
+      WHEN {_largest("regexp_split_to_array(text, '\f|\n[ \t\r]*\n')")} <= 4096 THEN 'paragraph'
+      WHEN {_largest("regexp_split_to_array(text, '[\f\n]')")} <= 4096 THEN 'line'
+      WHEN {_largest("regexp_split_to_array(marked, '[\f\n' || chr(1) || ']')")} <= 4096 THEN 'sentence'
+      WHEN {_largest("regexp_split_to_array(text, '\s+')")} <= 4096 THEN 'word' ELSE 'char' END AS cut_level FROM m
+"""
+
+
 @REGISTRY.add("p2_pieces")
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of each oversized text of both tables."""
@@ -21,7 +36,7 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named[0].unionByName(named[1])
 
 
-@REGISTRY.add("p2_found")
+@REGISTRY.add("p2_found", sql=_LEVELS)
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each oversized text with the level at which it can be cut, as its first piece tells."""
     return p2_pieces(spark, sf_dir).where("piece_no = 1").select("item_table", "item_id", "cut_level")
