@@ -35,13 +35,10 @@ UNITS = (
 ).split()
 
 
-def _canonical(tokens: Column, frame: Column) -> Column:
-    """Each word as its slot ('0' number, '1' unit, '2' name) or itself."""
-    units = F.array(*map(F.lit, sorted(set(UNITS))))
-    return F.transform(
-        tokens,
-        lambda w: F.when(w.rlike(r"^\p{N}+$"), F.lit("0")).when(F.array_contains(units, w), F.lit("1")).when(F.array_contains(frame, w), w).otherwise(F.lit("2")),
-    )
+def _canonical(tokens: Column, frame: list[str]) -> Column:
+    """Each word as its slot ('0' number, '1' unit, '2' name) or itself. The literal lists become hash sets."""
+    units = sorted(set(UNITS))
+    return F.transform(tokens, lambda w: F.when(w.rlike(r"^\p{N}+$"), F.lit("0")).when(w.isin(units), F.lit("1")).when(w.isin(frame), w).otherwise(F.lit("2")))
 
 
 def _windows(df: DataFrame, size: int) -> DataFrame:
@@ -70,8 +67,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id
     used = own_items.select("_item", F.explode(F.array_distinct("tokens")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     frame = used.where((F.col("n") >= FRAME_ITEMS) & ~F.col("w").rlike(r"^\p{N}+$")).agg(F.sort_array(F.collect_list("w")).alias("frame"))
     vocabulary = [r[0] for r in frame.select(F.explode("frame")).collect()]  # words of the evaluation set alone
-    known = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
-    canon = lambda df: df.withColumn("canon", _canonical(F.col("tokens"), known))
+    canon = lambda df: df.withColumn("canon", _canonical(F.col("tokens"), vocabulary))
     item_windows = _windows(canon(own_items), size).select("_item", "template", F.slice("tokens", F.col("_at"), size).alias("item_words")).dropDuplicates(["_item", "template", "item_words"])
     own_docs = docs.select(F.col(f"`{doc_id}`").alias("_doc"), words(F.col(f"`{doc_text}`")).alias("tokens"))
     own_docs = own_docs.where(F.size("tokens") >= size)

@@ -25,7 +25,8 @@ def _fold_maps() -> tuple[str, str]:
 def folded(column: Column) -> Column:
     """Lower case without accents, by built-in expressions only."""
     source, target = _fold_maps()
-    return F.translate(F.regexp_replace(F.lower(column), r"\p{Mn}", ""), source, target)
+    plain = F.translate(F.regexp_replace(F.lower(column), r"\p{Mn}", ""), source, target)
+    return F.when(F.octet_length(column) == F.length(column), F.lower(column)).otherwise(plain)
 
 
 def words(column: Column) -> Column:
