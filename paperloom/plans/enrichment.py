@@ -404,3 +404,57 @@ def page_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of a document on pages of 59 lines."""
     c = table(spark, sf_dir, "chunks").select("document_id", "chunk_id", F.size(F.split("text", "\n")).alias("n_lines")).where("document_id IS NOT NULL")
     return flow_pages(c, "document_id", "chunk_id", "n_lines")
+
+
+@add(
+    "transcript_units",
+    sql="""
+    WITH c AS (SELECT document_id, source_id, entry_id, text, CAST(round(start_seconds * 1000) AS BIGINT) AS a, CAST(round(end_seconds * 1000) AS BIGINT) AS b FROM entries
+      WHERE kind = 'transcript' AND start_seconds IS NOT NULL AND end_seconds IS NOT NULL AND end_seconds >= start_seconds AND trim(text) <> ''),
+    l AS (SELECT *, '[' || lpad(CAST(a // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(a // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(a // 1000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(a % 1000 AS VARCHAR), 3, '0')
+      || ' --> ' || lpad(CAST(b // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(b // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(b // 1000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(b % 1000 AS VARCHAR), 3, '0') || '] ' || text AS line FROM c)
+    SELECT document_id, source_id, string_agg(line, chr(10) ORDER BY a, b, entry_id) AS text, count(*) AS n FROM l GROUP BY document_id, source_id
+    """,
+)
+def transcript_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spoken lines of a source as one text with their times."""
+    c = table(spark, sf_dir, "entries").where("kind = 'transcript' AND start_seconds IS NOT NULL AND end_seconds >= start_seconds").where(F.trim("text") != "")
+    line = F.concat(F.lit("["), T.stamp(F.col("start_seconds")), F.lit(" --> "), T.stamp(F.col("end_seconds")), F.lit("] "), F.col("text"))
+    key = F.struct(F.round(F.col("start_seconds") * 1000).alias("a"), F.round(F.col("end_seconds") * 1000).alias("b"), "entry_id", line.alias("line"))
+    rows = c.groupBy("document_id", "source_id").agg(F.array_sort(F.collect_list(key)).alias("r"), F.count("*").alias("n"))
+    return rows.select("document_id", "source_id", F.array_join("r.line", "\n").alias("text"), "n")
+
+
+@add("document_manifests")
+def document_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON manifest per document."""
+    from paperloom.operators.publish import manifest
+
+    return manifest(table(spark, sf_dir, "entries"), table(spark, sf_dir, "indexed_pdfs"))
+
+
+@add(
+    "shared_entries",
+    sql="SELECT entry_id, kind, CASE WHEN kind = 'face' THEN 'face' ELSE text END AS text FROM entries e JOIN indexed_pdfs d USING (document_id) WHERE d.profile = 'share' AND kind <> 'location'",
+)
+def shared_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of shared documents, without places and names of recognised people."""
+    from paperloom.operators.publish import shared_entries as shared
+
+    d = table(spark, sf_dir, "indexed_pdfs").where("profile = 'share'").select("document_id")
+    return shared(table(spark, sf_dir, "entries").join(d, "document_id", "left_semi")).select("entry_id", "kind", "text")
+
+
+@add(
+    "email_threads",
+    sql=r"""
+    WITH s AS (SELECT email_id, regexp_replace(lower(subject), '^(?:(?:re|fw|fwd|aw|wg|rv|tr)\s*:\s*)+', '') AS topic, from_addrs[1] AS sender FROM emails WHERE subject IS NOT NULL)
+    SELECT topic, count(*) AS n, min(email_id) AS first_id, max(email_id) AS last_id, count(DISTINCT sender) AS n_senders FROM s GROUP BY topic
+    """,
+)
+def email_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of a topic, without the marks of replies and forwards."""
+    e = table(spark, sf_dir, "emails").where("subject IS NOT NULL")
+    s = e.select("email_id", F.regexp_replace(F.lower("subject"), r"^(?:(?:re|fw|fwd|aw|wg|rv|tr)\s*:\s*)+", "").alias("topic"), F.try_element_at("from_addrs", F.lit(1)).alias("sender"))
+    per = s.groupBy("topic", "sender").agg(F.count("*").alias("n"), F.min("email_id").alias("a"), F.max("email_id").alias("b"))
+    return per.groupBy("topic").agg(F.sum("n").alias("n"), F.min("a").alias("first_id"), F.max("b").alias("last_id"), F.count("sender").alias("n_senders"))

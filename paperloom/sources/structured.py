@@ -149,3 +149,26 @@ def json_units(df: DataFrame, key: str, text: str, lines: Column) -> DataFrame:
             yield pd.DataFrame(rows, columns=["_id", "unit_no", "pointer", "text", "warning"])
 
     return own.mapInPandas(run, f"_id {kind}, unit_no int, pointer string, text string, warning string").withColumnRenamed("_id", key)
+
+
+RMETA_BYTES, RMETA_FIELDS = 8 << 20, 200
+
+
+def rmeta_units(text: str) -> list[tuple[int, str, dict[str, str]]]:
+    """Units of an array of parsed documents (`X-TIKA:content` and metadata): position, tidied text, metadata.
+
+    Texts share a budget of 8 MiB; runs of blank lines become one; keys of the parser itself are left out.
+    """
+    import re
+
+    left, out = RMETA_BYTES, []
+    for position, item in enumerate(json.loads(text), 1):
+        body = re.sub(r"[ \t]+\n", "\n", str(item.get("X-TIKA:content") or "").replace("\r\n", "\n"))
+        body = re.sub(r"\n{3,}", "\n\n", body).strip()
+        body = body.encode()[:left].decode("utf-8", "ignore")
+        left -= len(body.encode())
+        if not body:
+            continue
+        fields = {k: v if isinstance(v, str) else ", ".join(map(str, v)) if isinstance(v, list) else str(v) for k, v in sorted(item.items()) if not k.startswith("X-TIKA:")}
+        out.append((position, body, dict(list(fields.items())[:RMETA_FIELDS])))
+    return out

@@ -3,7 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.functions import dates, entities, signals, text, vectors
+from paperloom.functions import checks, dates, entities, signals, text, vectors
 from paperloom.functions.identity import derived_uuid
 from paperloom.operators import ocr, people, publish, runs
 from paperloom.operators.search import parse_query, Term
@@ -96,3 +96,21 @@ def test_runs(spark):
     assert [(r.colour, round(r.share, 1)) for r in signals.dominant_colours(pixels, "i", {"red": (255, 0, 0), "blue": (0, 0, 255), "white": (255, 255, 255)}).orderBy("rank").collect()] == [("red", 0.9), ("blue", 0.1)]
     names = spark.createDataFrame([(1, "a.pdf"), (2, "A.pdf"), (3, "b")], "n int, name string")
     assert [r.published_name for r in publish.unique_names(names, "name", "n").orderBy("n").collect()] == ["a.pdf", "A-2.pdf", "b"]
+
+
+def test_checks(spark):
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 2}, "b": {"type": "array", "items": {"enum": ["x"]}}}, "additionalProperties": False}
+    assert checks.problems({"a": 3, "b": ["x"]}, schema) == []
+    assert checks.problems({"a": 1, "b": ["y"], "c": 0}, schema) == [("a", "is too small"), ("b[0]", "is none of the values"), ("", "c isn't allowed")]
+    assert checks.problems(1, {"oneOf": []}) == [("", "unknown keyword oneOf")]
+    df = spark.createDataFrame([("[1]",), ("{",), (None,)], "t string").select(checks.json_problems(F.col("t"), schema).alias("p"))
+    assert [None if r.p is None else r.p[0].message for r in df.collect()] == ["is not object", "is not JSON", None]
+    merged = spark.range(1).select(checks.layered(("file", F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))), ("flag", F.create_map(F.lit("b"), F.lit("3")))).alias("m")).first().m
+    assert {k: (v.value, v.origin) for k, v in merged.items()} == {"a": ("1", "file"), "b": ("3", "flag")}
+
+
+def test_parsed_documents():
+    from paperloom.sources.structured import rmeta_units
+
+    units = rmeta_units('[{"X-TIKA:content":"A \\n\\n\\n\\nB","dc:title":"T"},{"X-TIKA:content":" "},{"X-TIKA:content":"C","n":["1","2"]}]')
+    assert units == [(1, "A\n\nB", {"dc:title": "T"}), (3, "C", {"n": "1, 2"})]
