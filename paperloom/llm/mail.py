@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -62,6 +63,11 @@ LEGAL = re.compile(
     r"dirigido (?:solo|únicamente|exclusivamente) a|contenido puede ser confidencial|recibió por error|bórrelo|aviso (?:legal|de confidencialidad)|no (?:nos hacemos|se hace) responsable|prohibida (?:su|la)",
     re.I,
 )
+#: A text without any of these (in lower case) has no legal sentence.
+_LEGAL_KEYS = (
+    "recipient|meant only|intended|privileged|protected|confidential|legally|by mistake|in error|every copy|all copies|immediately|not permitted|passing on|written consent|liability|responsib|not secure|views |opinions |of the author|the trees|before printing|unauthor|legal notice|registered|company |"
+    "handelsregister|registergericht|siège social|domicilio social|registro mercantil|empfänger|vertraulich|irrtümlich|löschen sie|jede |nicht gestattet|haftung|haften|hinweis|responsabilit|destinataire|confident|d'erreur|d’erreur|détruire|avis de|mention|toute |dirigido|confidencial|por error|bórrelo|aviso|hace responsable|hacemos responsable|prohibida"
+).split("|")
 HEADING = re.compile(r"^[ \t*_#-]*(?:disclaimer|confidentiality notice|legal notice|important notice|(?:wichtiger |rechtlicher )?hinweis(?: zur vertraulichkeit)?|haftungsausschluss|avis (?:de confidentialité|important)|mentions? légales?|aviso (?:legal|de confidencialidad|importante)|confidentialité|confidencialidad)[ \t*_:#-]*$", re.I)
 _GREETING = re.compile(r"^(?:hi|hello|hey|dear|good (?:morning|afternoon|evening|day)|hallo|guten (?:tag|morgen|abend)|liebe[rs]?|sehr geehrte[rs]?|moin|servus|bonjour|bonsoir|salut|cher|chère|buenos días|buenas (?:tardes|noches)|hola|estimad[oa]s?|querid[oa]s?)\b", re.I)
 _NAME = re.compile(r"^(?:[-–—/~]\s?)?(?:(?:dr|prof|mr|mrs|ms|herr|frau|mme|m|sr|sra)\.? )?[^\W\d_a-zß-ÿ][\w'’.-]*(?: (?:von|van|de|der|den|di|la|le|del|zu|af|el|y)\b){0,2}(?: [^\W\d_a-zß-ÿ][\w'’.-]*){0,3}$")
@@ -69,11 +75,16 @@ _NAME = re.compile(r"^(?:[-–—/~]\s?)?(?:(?:dr|prof|mr|mrs|ms|herr|frau|mme|m
 
 @dataclass
 class Node:
-    """A piece of a body: its kind and its line numbers (from 1)."""
+    """A piece of a body: its kind and its line numbers (from 1); what it encloses is read when it is asked for."""
 
     kind: str
     lines: list[int]
-    parts: list[Node] = field(default_factory=list)
+    inner: list[tuple[int, str]] = field(default_factory=list, repr=False)
+    depth: int = 0
+
+    @cached_property
+    def parts(self) -> list[Node]:
+        return parse(self.inner, self.depth + 1) if self.inner and self.depth < MAX_DEPTH else []
 
 
 def _is_name(line: str) -> bool:
@@ -104,6 +115,10 @@ def _tail_kind(line: str) -> str:
 def _notices(lines: list[tuple[int, str]]) -> set[int]:
     """Positions of legal notices: paragraphs of which half the sentences or more are legal, with rules and headings before them."""
     out: set[int] = set()
+    whole = " ".join(x.strip() for _, x in lines)
+    low = whole.lower()
+    if not any(key in low for key in _LEGAL_KEYS) or not LEGAL.search(whole):
+        return out
     at = 0
     while at < len(lines):
         if not lines[at][1].strip():
@@ -239,14 +254,14 @@ def parse(lines: list[tuple[int, str]], depth: int = 0) -> list[Node]:
                     continue
                 break
             inner = [(n, PREFIX.sub("", x, count=1)) for n, x in lines[at:end]]
-            nodes.append(Node("quoted", [n for n, _ in [*intro, *lines[at:end]]], parse(inner, depth + 1) if depth < MAX_DEPTH else []))
+            nodes.append(Node("quoted", [n for n, _ in [*intro, *lines[at:end]]], inner, depth))
             at = end
             continue
         opens = bool(SEPARATOR.match(line)) or _header_block(lines, at)
         rest = at + 1
         if not opens and DELIMITER.match(line) and at + 1 < len(lines) and _header_block(lines, at + 1):
             opens = True
-        if not opens and line.strip():
+        if not opens and (":" in line or "：" in line or (at + 1 < len(lines) and ":" in lines[at + 1][1])) and line.strip():
             for size in (1, 2):
                 joined = " ".join(x.strip() for _, x in lines[at : at + size])
                 if STRONG.match(joined):
@@ -259,7 +274,7 @@ def parse(lines: list[tuple[int, str]], depth: int = 0) -> list[Node]:
                     break
         if opens:
             close()
-            nodes.append(Node("forwarded", [n for n, _ in lines[at:]], parse(lines[rest:], depth + 1) if depth < MAX_DEPTH else []))
+            nodes.append(Node("forwarded", [n for n, _ in lines[at:]], lines[rest:], depth))
             return nodes
         written.append(lines[at])
         at += 1
