@@ -20,10 +20,10 @@ _LEVELS = rf"""
     WITH t AS (SELECT 'chunks' AS item_table, chunk_id AS item_id, text FROM chunks UNION ALL SELECT 'entries', entry_id, text FROM entries),
     m AS (SELECT item_table, item_id, text, regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g') AS marked FROM t WHERE octet_length(encode(text)) > 4096)
     SELECT item_table, item_id, CASE
-      WHEN {_largest("regexp_split_to_array(text, '\f|\n[ \t\r]*\n')")} <= 4096 THEN 'paragraph'
-      WHEN {_largest("regexp_split_to_array(text, '[\f\n]')")} <= 4096 THEN 'line'
-      WHEN {_largest("regexp_split_to_array(marked, '[\f\n' || chr(1) || ']')")} <= 4096 THEN 'sentence'
-      WHEN {_largest("regexp_split_to_array(text, '\s+')")} <= 4096 THEN 'word' ELSE 'char' END AS cut_level FROM m
+      WHEN {_largest(r"regexp_split_to_array(text, '\f|\n[ \t\r]*\n')")} <= 4096 THEN 'paragraph'
+      WHEN {_largest(r"regexp_split_to_array(text, '[\f\n]')")} <= 4096 THEN 'line'
+      WHEN {_largest(r"regexp_split_to_array(marked, '[\f\n' || chr(1) || ']')")} <= 4096 THEN 'sentence'
+      WHEN {_largest(r"regexp_split_to_array(text, '\s+')")} <= 4096 THEN 'word' ELSE 'char' END AS cut_level FROM m
 """
 
 
