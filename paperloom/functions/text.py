@@ -38,7 +38,8 @@ def index_tokens(text: Column) -> Column:
 
 def index_text(text: Column) -> Column:
     """The index tokens as one string with single spaces."""
-    return F.trim(F.regexp_replace(unaccented(text), r"[^\p{L}\p{N}\p{Co}]+", " "))
+    plain = F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")
+    return F.trim(F.when(F.octet_length(text) == F.length(text), plain).otherwise(F.regexp_replace(unaccented(text), r"[^\p{L}\p{N}\p{Co}]+", " ")))
 
 
 def question_tokens(text: Column) -> Column:
