@@ -7,10 +7,11 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import STOPWORDS, index_text, question_tokens
+from paperloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ def full_text(entries: DataFrame, query: str, text: str = "text", keep: list[str
 
     BM25 with k1 1.2 and b 0.75; a term's weight is ln((N - n + 0.5) / (n + 0.5)), at
     least 1e-6, where N counts all rows with a text and n those that hold the term.
-    Statistics of the whole table come from one aggregation to a single row. A query without terms has no hits.
+    Statistics of the whole table are gathered in the pass that finds the hits. A query without terms has no hits.
     """
     terms = parse_query(query)
     keep = keep or entries.columns
@@ -57,10 +58,16 @@ def full_text(entries: DataFrame, query: str, text: str = "text", keep: list[str
         return own.where(F.lit(False)).drop("_t").withColumn("score", F.lit(0.0))
     words = F.when(F.col("_t") == "", 0).otherwise(F.regexp_count("_t", F.lit(" ")) + 1)
     counted = own.select(*keep, words.alias("_len"), *(_hits(F.col("_t"), t).alias(f"_f{i}") for i, t in enumerate(terms)))
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(terms)))).first()
+    # One pass: the statistics are observed while the hits, which are few beside the rows, are written.
+    seen = Observation()
+    watched = counted.observe(seen, F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(terms))))
+    for i in range(len(terms)):
+        watched = watched.where(F.col(f"_f{i}") > 0)
+    found = cut_lineage(watched)
+    stats = seen.get
     n, avg = stats["_n"], stats["_avg"] or 1.0
     if not n:
-        return counted.where(F.lit(False)).select(*keep, F.lit(0.0).alias("score"))
+        return found.select(*keep, F.lit(0.0).alias("score"))
     from math import log
 
     score = F.lit(0.0)
@@ -70,9 +77,6 @@ def full_text(entries: DataFrame, query: str, text: str = "text", keep: list[str
         idf = idf if idf > 0 else 1e-6
         tf = F.col(f"_f{i}").cast("double")
         score = score + F.lit(idf) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("_len") / F.lit(avg)))
-    found = counted
-    for i in range(len(terms)):
-        found = found.where(F.col(f"_f{i}") > 0)
     return found.select(*keep, (-score).alias("score"))
 
 

@@ -114,3 +114,14 @@ def test_parsed_documents():
 
     units = rmeta_units('[{"X-TIKA:content":"A \\n\\n\\n\\nB","dc:title":"T"},{"X-TIKA:content":" "},{"X-TIKA:content":"C","n":["1","2"]}]')
     assert units == [(1, "A\n\nB", {"dc:title": "T"}), (3, "C", {"n": "1, 2"})]
+
+
+def test_full_text(spark):
+    from paperloom.operators.search import ask, full_text
+
+    df = spark.createDataFrame([(1, "Résumé of the map cabinet"), (2, "map of a cabinet map cabinet"), (3, None), (4, ""), (5, "other words")], "id int, text string")
+    found = lambda q: [r.id for r in full_text(df, q, keep=["id"]).orderBy("score", "id").collect()]
+    assert found('"map cabinet"') == [2, 1] or found('"map cabinet"') == [1, 2]
+    assert found("RESUME cab*") == [1] and found("?!") == [] and found("absent") == []
+    assert full_text(df.limit(0), "map").count() == 0
+    assert [r.id for r in ask(df, "Where is the cabinet?", "text", "id").collect()] and ask(df, "who is it", "text", "id").count() == 0
