@@ -1,13 +1,15 @@
 """Template residue, filler, error pages and script notices in place of content.
 
 Lines are normalised and counted by host (any column that says where a record came
-from). A line that recurs in at least `SHARE` of a host's records (and in `LEAST`
-records) is boilerplate and is subtracted; no record is judged by a line that stands
-on every page. There are at most 1/SHARE such lines for each line of an average
-record, so the list per host is small whatever the table's size. What is left of a
-record is searched for evidence of four kinds. Text that only speaks about such
-text doesn't count: quoted or fenced spans are blanked first, and evidence beside
-words of reporting is dropped.
+from). A line that recurs in at least `SHARE` of a host's distinct texts (and in
+`LEAST` of them) is boilerplate and is subtracted; no record is judged by a line that
+stands on every page. Copies of a page, also with other numbers or ids in it, are one
+text, so a page that is repeated doesn't make its own lines boilerplate. There are at
+most 1/SHARE such lines for each line of an average text, so the list per host is small
+whatever the table's size. What is left of a record is searched for evidence of four
+kinds; a record of which nothing else is left is searched whole. Text that only speaks
+about such text doesn't count: quoted or fenced spans are blanked first, and evidence
+beside words of reporting is dropped.
 """
 
 from __future__ import annotations
@@ -75,6 +77,7 @@ _LATIN = re.compile(
     r"\b(?:lorem|ipsum|dolor\w*|sit|amet|consec\w*|adipi\w*|elit|sed|eiusmod|tempor\w*|incid\w*|labor\w*|magna|aliqu\w*|enim|minim|veniam|quis\w*|nostrud|exerc\w*|ullam\w*|nisi|commodo|duis|aute|irure|repreh\w*|volup\w*|velit|esse|cillum|fugia\w*|nulla|pariat\w*|except\w*|sint|occaec\w*|cupid\w*|proident|sunt|culpa|offic\w*|deser\w*|mollit|anim|porta|vidan|vitae|nunc|justo|etiam|donec|mauris|viverra|et|ut|in|ad|ex|ea|do|eu|id|est)\b",
 )
 _WORD = re.compile(r"[^\W\d_]+")
+_NUMBERED = re.compile(r"\d")
 
 #: Words of reporting: beside them, evidence is spoken about.
 ABOUT = re.compile(
@@ -173,32 +176,56 @@ def _line_key(line: Column) -> Column:
     return F.when(F.length(key) > 2, F.xxhash64(key))
 
 
+def _page_key(text: Column) -> Column:
+    """A text without case and without words that hold a digit, as a hash: equal for copies with another number, id or time."""
+    return F.xxhash64(F.regexp_replace(F.concat(F.lit(" "), F.lower(text)), r"\s[^\s\p{N}]*+\p{N}\S*", ""))
+
+
 def boilerplate(docs: DataFrame, text: str, host: str, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """`_host` and the array of its recurrent line keys; hosts without any don't appear. Null is a host of its own."""
-    own = docs.select(F.col(f"`{host}`").alias("_host"), F.col(f"`{text}`").alias("_text"))
-    sizes = own.groupBy("_host").agg(F.count("*").alias("_n"))
-    lines = own.select("_host", F.explode(F.array_distinct(F.transform(F.split("_text", r"\r?\n"), _line_key))).alias("_key")).where("_key IS NOT NULL")
-    counts = lines.groupBy("_host", "_key").agg(F.count("*").alias("_in")).where(F.col("_in") >= least)
-    often = counts.join(sizes, counts["_host"].eqNullSafe(sizes["_host"])).where(F.col("_in") >= F.col("_n") * share)
+    """`_host` and the array of its recurrent line keys; hosts without any don't appear. Null is a host of its own.
+
+    Texts are counted once by their page key. A host with fewer than `least` of these, but
+    with as many texts that differ in their numbers, has the lines that stand in all of them.
+    """
+    own = docs.select(F.col(f"`{host}`").alias("_host"), F.col(f"`{text}`").alias("_text")).where(F.col("_text").rlike(r"\S")).withColumn("_page", _page_key(F.col("_text")))
+    texts = own.select("_host", "_page", F.xxhash64("_text").alias("_exact")).distinct().groupBy("_host", "_page").agg(F.count("*").alias("_exact"))
+    sizes = texts.groupBy("_host").agg(F.count("*").alias("_n"), F.sum("_exact").alias("_texts")).where(F.col("_texts") >= least)
+    lines = own.select("_host", "_page", F.explode(F.array_distinct(F.transform(F.split("_text", r"\r?\n"), _line_key))).alias("_key")).where("_key IS NOT NULL")
+    counts = lines.distinct().groupBy("_host", "_key").agg(F.count("*").alias("_in"))
+    often = counts.join(sizes, counts["_host"].eqNullSafe(sizes["_host"])).where((F.col("_in") >= F.least(F.lit(least), "_n")) & (F.col("_in") >= F.col("_n") * share))
     return often.groupBy(counts["_host"].alias("_host")).agg(F.collect_list("_key").alias("_often"))
 
 
+def _bare(whole: str, rest: str) -> bool:
+    """Whether a text without its boilerplate holds nothing, and its boilerplate no line of its own number beside the evidence."""
+    if _WORD.search(rest):
+        return False
+    return not any(_NUMBERED.search(x) and _WORD.search(x) and not evidence(x) for x in whole.splitlines())
+
+
 def judged(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     """Each record with `evidence`, the array of kinds found in its residual text.
 
     Result: `doc_id` and `evidence` (empty where the record is kept). A null or empty
-    text has no evidence. Rows repeated under another id count by themselves, and an id
-    that comes twice is judged twice. Extra columns are dropped first.
+    text has no evidence. A record that consists of boilerplate alone is judged by its
+    whole text. Rows repeated under another id are judged each, but count once for the
+    boilerplate; an id that comes twice is judged twice. Extra columns are dropped first.
     """
     common = boilerplate(docs, text, host)
     own = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{host}`").alias("_host"), F.col(f"`{text}`").alias("_text"))
     own = own.join(common.withColumnRenamed("_host", "_of"), F.col("_host").eqNullSafe(F.col("_of")), "left")
     lines = F.filter(F.split("_text", r"\r?\n"), lambda x: ~F.coalesce(F.array_contains("_often", _line_key(x)), F.lit(False)))
-    own = own.select("_id", F.when(F.col("_often").isNull(), F.col("_text")).otherwise(F.array_join(lines, "\n")).alias("_text"))
+    own = own.select("_id", "_text", F.when(F.col("_often").isNotNull(), F.array_join(lines, "\n")).alias("_rest"))
     kind = own.schema["_id"].dataType.simpleString()
 
+    def kinds(whole: str | None, rest: str | None) -> list[str]:
+        if not whole:
+            return []
+        found = evidence(whole if rest is None else rest)
+        return evidence(whole) if not found and rest is not None and _bare(whole, rest) else found
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"_id": batch["_id"], "evidence": [evidence(t) if t else [] for t in batch["_text"]]})
+            yield pd.DataFrame({"_id": batch["_id"], "evidence": [kinds(t, r) for t, r in zip(batch["_text"], batch["_rest"])]})
 
     return own.mapInPandas(run, f"_id {kind}, evidence array<string>").withColumnRenamed("_id", doc_id)

@@ -45,3 +45,24 @@ def test_judged_with_boilerplate_and_edges(spark):
     assert all(got[i] == [] for i in range(40)) and len(got) == 45
     assert boilerplate(df, "text", "_host").count() == 1
     assert judged(df.limit(0), "doc_id", "text", "_host").count() == 0
+
+
+def test_repeated_pages_are_no_boilerplate(spark):
+    page = lambda i: f"Access denied\nYour request {i} was refused at 12:{i % 60:02}.\nHome"
+    letters = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    rows = [(i, "404 Not Found\nThe address is unknown.", "a") for i in range(150)]
+    rows += [(i, page(i), "a") for i in range(150, 300)]
+    rows += [(i, f"Session expired?\nThe {letters(i)} was read.\nIt is {letters(i * 7)}.", "a") for i in range(300, 1000)]
+    rows += [(i, "404 Not Found\nThe address is unknown.", "b") for i in range(1000, 1040)]
+    rows += [(i, f"Error 503\nRequest id: {i}", "c") for i in range(2000, 2040)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = {r.doc_id: r.evidence for r in judged(df, "doc_id", "text", "source").collect()}
+    assert all(got[i] == ["error"] for i in (*range(300), *range(1000, 1040), *range(2000, 2040)))
+    assert not any(got[i] for i in range(300, 1000))
+
+
+def test_record_of_boilerplate_alone(spark):
+    hints = ["Ask the owner.", "Call the desk.", "Write to us.", "Wait a little.", "Look at the map.", "Go back."]
+    rows = [(i, "Access denied\n" + "\n".join(h for k, h in enumerate(hints) if i >> k & 1), "a") for i in range(1, 64)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert all(r.evidence == ["error"] for r in judged(df, "doc_id", "text", "source").collect())
