@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import ahocorasick
 import pandas as pd
@@ -66,6 +66,9 @@ SCRIPT = re.compile(
     r"|\bchange your browser settings|\bsome parts of [^.!?]{1,40} will not (?:load|work)|\bthe \w+ cannot be (?:drawn|displayed|rendered)\b|\bthis (?:site|page|viewer|application|app) (?:only )?works (?:best )?with (?:java ?script|scripts)",
 )
 
+#: A text without it has no SCRIPT.
+_SCRIPTS = re.compile(rf"{_SCRIPT}|your browser settings|will not (?:load|work)|cannot be (?:drawn|displayed|rendered)")
+
 FILLER = re.compile(
     r"\b(?:lorem ipsum|dolor sit amet|consectetur|platzhaltertext|blindtext|fülltext|texto de (?:relleno|ejemplo|muestra)|texto simulado|texte d['’]exemple|texte de remplissage|faux[- ]texte|texte fictif)\b"
     r"|\bdummy text\b|\bplaceholder text\b|\bfiller text\b|\bsample (?:paragraph|text) (?:for|to)\b|\b(?:your )?(?:content|text|heading|title|copy) goes here\b|\breplace this text\b|\badd your (?:heading|text|title|content) here\b|\binsert (?:your )?(?:text|content|heading) here\b|\btype your text here\b"
@@ -96,13 +99,13 @@ KINDS = ("error", "placeholder", "filler", "script")
 #: A text without any of a kind's strings (in lower case) needs no search for that kind.
 GATES = {
     "error": (
-        "error|erreur|fehler|exception|traceback|denied|denegado|verweigert|refusé|forbidden|unauthor|bad request|not found|unavailable|gateway|too many req|http|código|code 4|code 5|code:|status|session expir|has expired|abgelaufen|caduc|sesión expir|sesión ha expir|"
-        "seite nicht|gibt es nicht|existiert nicht|wurde nicht gefunden|nicht verfügbar|no existe|n'existe|n’existe|no encontrada|no disponib|introuvable|non trouvée|indisponible|melden sie|versuchen sie|inicie|intentarlo|reconnecter|réessayez|permission|permiso|berechtigung|autorisation|le droit|"
-        "upstream|segmentation|went wrong|oops|sorry|you followed|you clicked|sign in again|we lost|can't|can’t|cannot find|couldn't|couldn’t|could not find|try again|timed out|problem persists|webmaster|request id|reference #|robot|picture check|captcha|checking your|unusual traffic|are human|disconnect before"
+        "error|erreur|fehler|exception|traceback|denied|denegado|verweigert|refusé|forbidden|unauthor|bad request|not found|unavailable|gateway|too many req|http|código|code|status|gone|session expir|has expired|abgelaufen|caduc|sesión expir|sesión ha expir|"
+        "seite nicht|gibt es nicht|existiert nicht|wurde nicht|nicht verfügbar|no existe|n'existe|n’existe|no encontrada|no disponib|introuvable|non trouvée|indisponible|melden sie|versuchen sie|inicie|intentarlo|reconnecter|réessayer|réessayez|permission|permiso|berechtigung|autorisation|le droit|"
+        "upstream|segmentation|went wrong|oops|sorry|you followed|you clicked|sign in again|we lost|can't|can’t|cannot find|couldn't|couldn’t|couldnt|cant find|cant seem|could not find|try again|timed out|problem persists|webmaster|request id|reference #|robot|picture check|captcha|checking your|unusual traffic|are human|disconnect before|file \""
     ).split("|"),
-    "script": "javascript|java script|ecmascript|noscript|no-script| script|(script|skript|js |js.|js,|secuencias|your browser|will not load|will not work|cannot be drawn|cannot be displayed|cannot be rendered".split("|"),
-    "filler": "lorem|ipsum|consectet|platzhalter|blindtext|fülltext|texto de|texto simul|texte d|texte de|faux texte|faux-texte|texte fictif|dummy|placeholder text|filler text|sample paragraph|sample text|goes here|replace this|text here|heading here|title here|content here|asdf|qwer|jkl|bla bla|bla, bla|test test|foo bar|xxx xxx|hier steht ein|hier kommt|remplacer ce|texte ici|texto aquí|text hier|minim |culpa |magna |velit |amet ".split("|"),
-    "placeholder": list("{<%[#~@") + ["__"],
+    "script": "script|skript|js|secuencias de comandos|your browser|will not load|will not work|cannot be drawn|cannot be displayed|cannot be rendered".split("|"),
+    "filler": "lorem|ipsum|consectet|platzhalter|blindtext|fülltext|texto de|texto simul|texte d|texte de|faux texte|faux-texte|texte fictif|dummy|placeholder text|filler text|sample paragraph|sample text|goes here|replace this|text here|heading here|title here|content here|asdf|qwer|jkl|bla |bla,|test test|foo bar|xxx xxx|hier steht ein|hier kommt|remplacer ce|texte ici|texto aquí|text hier".split("|"),
+    "placeholder": list("{<%[#~@") + ["__"] + ["(" + w for w in "your|insert|enter|add|fill in|type|indiquer|insérer|votre|saisir|compléter|préciser|ihr|name des|einfügen|bitte|indicar|indique|su|introducir|completar|rellenar|escriba".split("|")],
 }
 
 
@@ -125,9 +128,14 @@ def _spoken(text: str, start: int, end: int) -> bool:
     return bool(ABOUT.search(text[max(a + 1, start - 160, 0) : min([*ends, end + 90, len(text)])]))
 
 
+@lru_cache(1 << 16)
+def _is_latin(word: str) -> bool:
+    return bool(_LATIN.fullmatch(word))
+
+
 def _latin(text: str) -> bool:
     """Ten words in a row of which four fifths are filler Latin (all of six to nine, where there are no more)."""
-    hits = [bool(_LATIN.fullmatch(w)) for w in _WORD.findall(text)]
+    hits = [_is_latin(w) for w in _WORD.findall(text)]
     size = min(10, len(hits))
     total = sum(hits[:size])
     for k in range(size, len(hits) + 1):
@@ -145,7 +153,8 @@ def evidence(text: str) -> list[str]:
         flat = _PREFIX.sub("\n", _JOIN.sub("", flat))
     low = flat.lower()
     likely = frozenset().union(*(kinds for _, kinds in _gate().iter(" " + low.replace("\n", " ") + " ")))
-    if not likely:
+    latin = sum(map(_is_latin, _WORD.findall(low))) >= 6
+    if not likely and not latin:
         return []
     if len(low) != len(flat):  # letters whose lower case is longer
         flat = low
@@ -157,11 +166,11 @@ def evidence(text: str) -> list[str]:
     line = re.sub(r"(?<!\n)\n(?!\n)", " ", low)
     found = []
     for kind, pattern, source, about in (("error", ERROR, line, line), ("placeholder", PLACEHOLDER, flat, low), ("filler", FILLER, line, line), ("script", SCRIPT, line, line)):
-        if kind in likely and any(not _spoken(about, m.start(), m.end()) for m in pattern.finditer(source)):
+        if kind in likely and (kind != "script" or _SCRIPTS.search(source)) and any(not _spoken(about, m.start(), m.end()) for m in pattern.finditer(source)):
             found.append(kind)
     if "error" in likely and "error" not in found and _RAW.search(raw):
         found.append("error")
-    if "filler" in likely and "filler" not in found and _latin(line):
+    if latin and "filler" not in found and _latin(line):
         found.append("filler")
     return sorted(found, key=KINDS.index)
 

@@ -1,6 +1,10 @@
+import random
+import re
+from re import _parser
+
 import pytest
 
-from paperloom.llm.residue import boilerplate, evidence, judged
+from paperloom.llm.residue import _RAW, ERROR, FILLER, PLACEHOLDER, SCRIPT, _gate, boilerplate, evidence, judged
 
 CASES = [
     ("Dear {{ name }}, your copy is ready.", ["placeholder"]),
@@ -66,3 +70,66 @@ def test_record_of_boilerplate_alone(spark):
     rows = [(i, "Access denied\n" + "\n".join(h for k, h in enumerate(hints) if i >> k & 1), "a") for i in range(1, 64)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert all(r.evidence == ["error"] for r in judged(df, "doc_id", "text", "source").collect())
+
+
+@pytest.mark.parametrize(
+    "text,kind",
+    [
+        ("Dear (insert name), welcome.", "placeholder"),
+        ("Dear (your name), welcome.", "placeholder"),
+        ("Liebe (Ihr Name), hallo.", "placeholder"),
+        ("410 Gone", "error"),
+        ('{"code": 503, "at": 1}', "error"),
+        ("Veuillez réessayer", "error"),
+        ('File "x.py", line 3, in run', "error"),
+        ("Die angeforderte Seite wurde nicht geladen", "error"),
+        ("Donec vitae nunc et justo viverra mauris etiam in porta", "filler"),
+        ("bla,bla,bla", "filler"),
+        ("You must enable (JS).", "script"),
+        ("JS: it must be on", "script"),
+        ("allow inline/scripts", "script"),
+    ],
+)
+def test_gates_pass(text, kind):
+    assert evidence(text) == [kind]
+
+
+def _samples(parsed, pick):
+    """A text that a parsed pattern matches; looks around and bounds are left out."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "NOT_LITERAL":
+            out += "x"
+        elif name == "IN":
+            kind, value = pick(arg) if str(arg[0][0]) != "NEGATE" else (None, None)
+            out += chr(value) if str(kind) == "LITERAL" else chr(value[0]) if str(kind) == "RANGE" else {"CATEGORY_DIGIT": "4", "CATEGORY_SPACE": " "}.get(str(value), "x")
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = arg
+            out += "".join(_samples(inner, pick) for _ in range(pick([low, min(high, low + 1)])))
+        elif name == "SUBPATTERN":
+            out += _samples(arg[3], pick)
+        elif name == "BRANCH":
+            out += _samples(pick(arg[1]), pick)
+        elif name in ("ANY", "CATEGORY"):
+            out += "x"
+    return out
+
+
+@pytest.mark.parametrize("kind,pattern", [("error", ERROR), ("error", _RAW), ("placeholder", PLACEHOLDER), ("filler", FILLER), ("script", SCRIPT)])
+def test_every_alternative_passes_its_gate(kind, pattern):
+    pick = random.Random(5).choice
+    tree = list(_parser.parse(pattern.pattern, pattern.flags))
+    branches = tree[0][1][1] if str(tree[0][0]) == "BRANCH" else [tree]
+    seen = 0
+    for branch in branches:
+        for _ in range(300):
+            text = _samples(branch, pick)
+            if not pattern.search(text):
+                continue
+            seen += 1
+            low = re.sub(r"\s", " ", text.lower())
+            assert kind in frozenset().union(*(k for _, k in _gate().iter(" " + low + " "))), text
+    assert seen > 100
