@@ -230,6 +230,26 @@ def read_page(text: str, page: int | None, heads: set[str], offset: int | None,
     return noise, "\n\n".join(p for p in paragraphs if p)
 
 
+def lookups(text: str) -> set[str]:
+    """Every word that `read_page` may look up in the fixes or the compounds, whatever lines are its frame."""
+    lines = text.split("\n")
+    words = {w for line in lines for raw in line.split() for w in (raw.lower(), raw.lower().strip(_OUTER))}
+    for line, after in zip(lines, lines[1:]):
+        left = _LEFT.search(line)
+        right = _RIGHT.match(after) if left else None
+        if right:
+            a, b = left[1].lower(), right[1].lower()
+            words |= {a + b, a + "-" + b}
+    return words
+
+
+def _lookups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for start in range(0, len(batch), 500):
+            part = batch.iloc[start : start + 500]
+            yield pd.DataFrame([(row, w) for row, text in zip(part["_row"], part["_text"]) for w in lookups(text)], columns=["_row", "word"])
+
+
 def repaired(df: DataFrame, entry_id: str, text: str, source: str, page: str) -> DataFrame:
     """Each page with its noise and its repaired text.
 
@@ -252,11 +272,12 @@ def repaired(df: DataFrame, entry_id: str, text: str, source: str, page: str) ->
         own = own.withColumn("_fixes", F.lit(None).cast("map<string,string>")).withColumn("_compounds", F.lit(None).cast("array<string>"))
     else:
         tables = None
-        token = own.select("_id", F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("_text", rf"([\w])[{HYPHENS}][ \t]*\r?\n[ \t]*", "$1-")), r"\s+"))).alias("t"))
-        token = token.select("_id", F.explode(F.array_distinct(F.array("t", F.regexp_replace("t", "-", ""), F.regexp_replace("t", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))).alias("word"))
-        found = token.join(fixes, "word").groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "right"))).alias("_fixes"))
-        kept = token.join(compounds, "word").groupBy("_id").agg(F.collect_set("word").alias("_compounds"))
-        own = own.join(found, "_id", "left").join(kept, "_id", "left")
+        # A row's own number: an id that comes twice stays two rows, and a null id finds its words.
+        own = cut_lineage(own.withColumn("_row", F.monotonically_increasing_id()))
+        token = own.where("_text <> ''").select("_row", "_text").mapInPandas(_lookups, "_row long, word string")
+        found = token.join(fixes, "word").groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("word", "right"))).alias("_fixes"))
+        kept = token.join(compounds, "word").groupBy("_row").agg(F.collect_set("word").alias("_compounds"))
+        own = own.join(found, "_row", "left").join(kept, "_row", "left").drop("_row")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fixed, joined = tables.value if tables is not None else (None, None)

@@ -1,3 +1,4 @@
+from paperloom.llm import scans
 from paperloom.llm.scans import page_number, read_page, repaired, skeleton
 
 
@@ -24,3 +25,16 @@ def test_table(spark):
     assert kinds(120) == kinds(123) == [("header", 1, ""), ("misread", 2, "measured"), ("misread", 2, "shipment"), ("page_number", 4, "")]
     assert kinds(3) == [("header", 1, ""), ("page_number", 4, "")] and got[121].clean_text is None and got[122].noise == []
     assert len(got) == 45 and repaired(df.limit(0), "entry_id", "text", "source_id", "page_first").count() == 0
+
+
+def test_joined_tables_give_the_rows_of_broadcast_tables(spark, monkeypatch):
+    body = "The retention of the été-forme and the up-to-date Café was measured by the clerk\nand its retention was measured once more, été-forme or Café, up-to-date.\n"
+    rows = [(i, "s1", i, f"Box {chr(97 + i % 26) * 3}. {body}retenti0n rnay.\n", "x") for i in range(1, 41)]
+    rows += [(50, "s1", 60, "It was the reten-\nti0n.\nAn été-\nforme, rcten-\ntion, and (mcasured) mcasured. The rctention.\nup-\nto-date\u2003mcasured", "x"), (50, "s1", 61, "An other mcasured one", "x"), (None, "s2", 1, "It was mcasured", "x"), (51, None, None, None, "x"), (52, "s2", None, "", "x")]
+    df = spark.createDataFrame(rows, "entry_id long, source_id string, page_first int, text string, noise string")
+    read = lambda: sorted((str(r) for r in repaired(df, "entry_id", "text", "source_id", "page_first").collect()))
+    small = read()
+    monkeypatch.setattr(scans, "BROADCAST_ROWS", 0)
+    large = read()
+    assert large == small and len(small) == 45
+    assert any("token='retention'" in r and "token='été-forme'" in r for r in small)
