@@ -13,13 +13,16 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import cut_lineage
+
 THRESHOLD = 0.6
-#: Most frequent name words that the lexicon keeps; it is broadcast (some 3 MB at this size).
+#: Name words of a kind up to which the lexicon is broadcast (some 3 MB at this size); beyond, the texts' words are joined to it.
 MAX_NAMES = 100_000
 KINDS = ("email", "identity", "phone", "address", "name")
 
@@ -88,6 +91,7 @@ _PARTICLE = r"(?:von|van|de|der|den|di|da|du|la|le|del|della|zu|zur|af|el|ter|te
 _TITLE = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Herrn|Frau|Mme|Mlle|M|Monsieur|Madame|Sr|Sra|Señor|Señora|Don|Doña)\.?\s+)$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
+_JOINED = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)+")
 _GAP = r"(?:[ \u00a0]+|[ \t]*\r?\n(?:[ \t]*(?:>|\||[A-Z]{2,3}>))*[ \t]*)"
 _BETWEEN = re.compile(rf"{_GAP}(?:(?:{_PARTICLE}){_GAP}){{0,2}}$", re.I)
 _COMMA = re.compile(rf",{_GAP}$")
@@ -118,16 +122,55 @@ class Lexicon:
     #: Given names that are words of a language too.
     common: frozenset[str] = frozenset("will mark rose grace faith hope joy may april june august dawn frank bill jack art ray rich victor sunny star angel luz rosa paz sol mar clara alma marta pia chance summer autumn ivy daisy lily olive iris violet heather basil max miles reed skip drew grant chase penny holly robin dean earl guy gene pat sue sandy terry nick rob bob dick harry jean martin laurent blanche reine fleur aurore constance prudence victoire felix milan rafa otto".split())
     all: frozenset[str] = field(default_factory=frozenset)
+    #: Surnames' shared beginnings and endings, each union of which is a surname, but for the words in `never`.
+    stems: frozenset[str] = frozenset()
+    ends: frozenset[str] = frozenset()
+    never: frozenset[str] = frozenset()
+    #: Whether a word is a union: words that were asked for, some at a time.
+    asked: dict[str, bool] = field(default_factory=dict, repr=False)
+    #: Of a lexicon too large to be broadcast: words (`word`, `given`, `family`), stems (`stem`) and endings (`end`).
+    tables: tuple[DataFrame, DataFrame, DataFrame] | None = None
 
     def __post_init__(self) -> None:
         self.all = self.given | self.surnames
 
+    def is_union(self, word: str) -> bool:
+        known = self.asked.get(word)
+        if known is None:
+            known = any(word[:k] in self.stems and word[k:] in self.ends for k in range(3, len(word) - 1)) and word not in self.given and word not in self.never
+            if len(self.asked) >= 200_000:
+                self.asked.clear()
+            self.asked[word] = known
+        return known
+
+    def is_family(self, word: str) -> bool:
+        return word in self.surnames or (bool(self.stems) and self.is_union(word))
+
     def is_surname(self, word: str) -> bool:
-        return word in self.surnames or ("-" in word and all(p in self.surnames for p in word.split("-")))
+        return self.is_family(word) or ("-" in word and all(map(self.is_family, word.split("-"))))
+
+    def name_words(self, low: str) -> set[str]:
+        """The letter runs of a text in lower case that are names."""
+        runs = set(_LETTERS.findall(low))
+        words = runs & self.all
+        if self.stems:
+            words |= {w for w in runs - words if self.is_union(w)}
+        return words
+
+
+class Surnames(NamedTuple):
+    """Surnames with all unions of a stem and an ending."""
 
+    words: frozenset[str]
+    stems: frozenset[str]
+    ends: frozenset[str]
 
-def close_surnames(surnames: Counter) -> set[str]:
-    """Surnames with all unions of a stem and an ending that each occur in several of them."""
+    def __contains__(self, word: object) -> bool:
+        return word in self.words or any(word[:k] in self.stems and word[k:] in self.ends for k in range(3, len(word) - 1))
+
+
+def close_surnames(surnames: Counter) -> Surnames:
+    """Surnames with the stems and the endings that each occur in several of them; the unions are tested at lookup, whatever their number."""
     words = [w for w in surnames if len(w) >= 5 and "-" not in w]
     by_end: Counter = Counter()
     by_stem: Counter = Counter()
@@ -137,15 +180,12 @@ def close_surnames(surnames: Counter) -> set[str]:
             by_end[w[k:]] += 1
     stems: set[str] = set()
     ends: set[str] = set()
-    known = set(words)
     for w in words:
         best = max(range(3, len(w) - 1), key=lambda k: min(by_stem[w[:k]], by_end[w[k:]]), default=0)
         if best and by_stem[w[:best]] >= 4 and by_end[w[best:]] >= 4:
             stems.add(w[:best])
             ends.add(w[best:])
-    if len(stems) * len(ends) <= 20 * max(1, len(known)):
-        known |= {s + e for s in stems for e in ends}
-    return known | set(surnames)
+    return Surnames(frozenset(surnames), frozenset(stems), frozenset(ends))
 
 
 def _iban(text: str) -> bool:
@@ -361,7 +401,7 @@ def detect(text: str, lexicon: Lexicon) -> list[tuple[str, int, int]]:
         if not any(s < b and a < e for s, e in taken):
             taken.append((a, b))
             kept.append((kind, a, b))
-    words = lexicon.all.intersection(_LETTERS.findall(low))
+    words = lexicon.name_words(low)
     if words:
         kept += [(kind, a, b) for kind, a, b, _ in _names(text, low, words, lexicon, taken)]
     return sorted(kept, key=lambda x: x[1])
@@ -376,10 +416,64 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+#: Words of senders' names that name no person.
+DROP = frozenset({"scan", "desk", "team", "office", "service", "archive", "archiv", "support", "info", "records", "room"})
+
+
+def _cuts(words: DataFrame) -> DataFrame:
+    """Each `word` with its cuts into `stem` and `end`."""
+    cuts = words.where(F.length("word") >= 5).withColumn("k", F.explode(F.sequence(F.lit(3), F.length("word") - 2)))
+    return cuts.withColumns({"stem": F.expr("left(word, k)"), "end": F.expr("substring(word, k + 1)")})
+
+
+def _name_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What `gather_names` and `close_surnames` do, as tables."""
+    fixed = F.col("word").isin(*GIVEN)
+    givens = counts.where("kind = 'given'").select(F.col("w").alias("word"), F.col("n").alias("g"))
+    families = counts.where("kind = 'family'").select(F.explode(F.split("w", "-")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("f"))
+    listed = counts.sparkSession.createDataFrame([(w,) for w in sorted(GIVEN)], "word string")
+    words = givens.join(families, "word", "full").join(listed, "word", "full").fillna(0, ["g", "f"])
+    words = cut_lineage(words.select("word", ((F.col("g") > F.col("f")) | (fixed & (F.col("f") == 0))).alias("given"), ((F.col("f") > 0) & (F.col("f") >= F.col("g"))).alias("family")))
+    cuts = cut_lineage(_cuts(words.where("family AND NOT contains(word, '-')").select("word")))
+    by_stem, by_end = cuts.groupBy("stem").agg(F.count("*").alias("s")), cuts.groupBy("end").agg(F.count("*").alias("e"))
+    best = cuts.join(by_stem, "stem").join(by_end, "end").groupBy("word").agg(F.max_by(F.struct("stem", "end", "s", "e"), F.struct(F.least("s", "e"), -F.col("k"))).alias("b")).select("b.*")
+    best = cut_lineage(best.where("s >= 4 AND e >= 4"))
+    known = words.where(~F.col("word").isin(*DROP))
+    return known, best.select("stem").distinct(), best.select("end").distinct()
+
+
+def lookups(low: str) -> set[str]:
+    """Every word that may be looked up for a text in lower case."""
+    words = set(_LETTERS.findall(low))
+    for whole in set(_JOINED.findall(low)):
+        for word in (whole, whole[:-2]) if whole.endswith(("'s", "’s")) else (whole,):
+            words.update((word, *word.split("-")))
+    return words
+
+
+def _lookups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for start in range(0, len(batch), 500):
+            part = batch.iloc[start : start + 500]
+            yield pd.DataFrame([(row, w) for row, text in zip(part["_row"], part["_text"]) for w in lookups(text.lower())], columns=["_row", "word"])
+
+
+def _own_names(rows: DataFrame, tables: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """For each `_row` the arrays `_given` and `_family` of the names in its `_text`."""
+    known, stems, ends = tables
+    tokens = cut_lineage(rows.where("_text <> ''").select("_row", "_text").mapInPandas(_lookups, "_row long, word string"))
+    words = tokens.select("word").distinct()
+    unions = _cuts(words.where(~F.contains("word", F.lit("-")) & ~F.col("word").isin(*DROP))).join(stems, "stem").join(ends, "end").select("word").distinct()
+    unions = unions.join(known.where("given"), "word", "left_anti").select("word", F.lit(False).alias("given"), F.lit(True).alias("family"))
+    names = known.join(words, "word", "left_semi").unionByName(unions)
+    return tokens.join(names, "word").groupBy("_row").agg(F.collect_set(F.when(F.col("given"), F.col("word"))).alias("_given"), F.collect_set(F.when(F.col("family"), F.col("word"))).alias("_family"))
+
+
 def gather_names(named: DataFrame, least: int = 1) -> Lexicon:
     """The lexicon of a column `_name` of display names ('Given Surname <address>', 'Surname, Given', 'Given').
 
-    The words are counted by Spark; at most MAX_NAMES of each kind, the most frequent, come to the driver.
+    The words are counted by Spark. They come to the driver while there are at most MAX_NAMES
+    of each kind; a larger lexicon stays a table.
     """
     plain = F.trim(F.regexp_replace(F.regexp_replace("_name", r"<[^>]*>|\([^)]*\)|\"|\S+@\S+", " "), r"\s+", " "))
     own = named.select(plain.alias("n")).where(F.col("n").rlike(r"^[\p{Lu}\p{Ll}][\p{L}'’., -]{1,60}$"))
@@ -390,8 +484,10 @@ def gather_names(named: DataFrame, least: int = 1) -> Lexicon:
     family = F.trim(F.regexp_replace(family, particle, ""))
     rows = own.select(F.inline(F.array(F.struct(F.lit("given").alias("kind"), F.lower(given).alias("w")), F.struct(F.lit("family").alias("kind"), F.lower(family).alias("w")))))
     rows = rows.where(F.col("w").rlike(r"^\p{L}[\p{L}'’]+(?:-\p{L}+)?$"))
-    counts = rows.groupBy("kind", "w").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    top = {k: counts.where(F.col("kind") == k).orderBy(F.desc("n"), "w").limit(MAX_NAMES).collect() for k in ("given", "family")}
+    counts = cut_lineage(rows.groupBy("kind", "w").agg(F.count("*").alias("n")).where(F.col("n") >= least))
+    if any(r["count"] > MAX_NAMES for r in counts.groupBy("kind").count().collect()):
+        return Lexicon(tables=_name_tables(counts))
+    top = {k: counts.where(F.col("kind") == k).collect() for k in ("given", "family")}
     family_counts: Counter = Counter()
     for r in top["family"]:
         for w in r.w.split("-"):
@@ -399,10 +495,10 @@ def gather_names(named: DataFrame, least: int = 1) -> Lexicon:
     givens = {r.w: r.n for r in top["given"]}
     # A word that is mostly a surname isn't a given name, and the other way round.
     given_set = {w for w, n in givens.items() if n > family_counts.get(w, 0)}
-    family_set = close_surnames(Counter({w: n for w, n in family_counts.items() if n >= givens.get(w, 0)}))
-    drop = {"scan", "desk", "team", "office", "service", "archive", "archiv", "support", "info", "records", "room"}
+    family = Counter({w: n for w, n in family_counts.items() if n >= givens.get(w, 0)})
+    closed = close_surnames(family)
     given_set |= {w for w in GIVEN if w not in family_counts}
-    return Lexicon(frozenset(given_set - drop), frozenset(family_set - drop - given_set))
+    return Lexicon(frozenset(given_set - DROP), frozenset(set(family) - DROP - given_set), stems=closed.stems, ends=closed.ends, never=frozenset(DROP | given_set))
 
 
 def mentions(df: DataFrame, keys: list[Column], text: Column, lexicon: Lexicon) -> DataFrame:
@@ -414,12 +510,20 @@ def mentions(df: DataFrame, keys: list[Column], text: Column, lexicon: Lexicon)
     own = df.select(*keys, text.alias("_text"))
     names = own.columns[:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    shared = df.sparkSession.sparkContext.broadcast(lexicon)
+    if lexicon.tables is None:
+        shared = df.sparkSession.sparkContext.broadcast(lexicon)
+    else:
+        shared = None
+        own = cut_lineage(own.withColumn("_row", F.monotonically_increasing_id()))
+        own = own.join(_own_names(own, lexicon.tables), "_row", "left").drop("_row")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = shared.value
         for batch in batches:
-            found = [detect(t, words) if t else [] for t in batch["_text"]]
+            if shared is not None:
+                found = [detect(t, shared.value) if t else [] for t in batch["_text"]]
+            else:
+                sets = ([frozenset(x) if x is not None else frozenset() for x in batch[c]] for c in ("_given", "_family"))
+                found = [detect(t, Lexicon(g, f)) if t else [] for t, g, f in zip(batch["_text"], *sets)]
             out = batch[names].copy()
             out["spans"] = [[{"pii_kind": k, "start_pos": a + 1, "end_pos": b + 1} for k, a, b in spans] for spans in found]
             out["masked_text"] = [masked(t, spans) if spans else t for t, spans in zip(batch["_text"], found)]

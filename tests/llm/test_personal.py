@@ -3,6 +3,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.llm import personal
 from paperloom.llm.personal import Lexicon, close_surnames, detect, gather_names, masked, mentions
 
 LEX = Lexicon(frozenset("ines peter vera farid will mark rose grace tomas jola chidi".split()), frozenset("lindormann zelmsen corvano dreveau kelbski gostez iverholt".split()))
@@ -53,3 +54,24 @@ def test_tables(spark):
     got = mentions(df, [F.col("id")], F.col("text"), lexicon).collect()
     assert sorted((r.id, r.masked_text or "") for r in got) == [(1, "[NAME] called."), (1, "[NAME] called."), (2, ""), (3, "")]
     assert [r.spans for r in got if r.id == 2] == [[]] and mentions(df.limit(0), [F.col("id")], F.col("text"), Lexicon()).count() == 0
+
+
+def test_unions_of_any_number():
+    stems, ends = [a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnrt"], [a + b + c for a in "hpsvw" for b in "aeiou" for c in "dgkn"]
+    words = Counter({s + ends[(7 * i + k) % 100] for i, s in enumerate(stems) for k in range(8)})
+    closed = close_surnames(words)
+    assert len(closed.stems) * len(closed.ends) > 5 * len(words)
+    lexicon = Lexicon(frozenset(), frozenset(words), stems=closed.stems, ends=closed.ends)
+    lost = next(s + e for s in sorted(closed.stems) for e in sorted(closed.ends) if s + e not in words)
+    assert detect(f"It was {lost.title()} again.", lexicon) == [("name", 7, 7 + len(lost))]
+
+
+def test_joined_lexicon_gives_the_rows_of_a_broadcast_one(spark, monkeypatch):
+    people = [a + b for a in ("Kelb", "Norv", "Trev", "Iver", "Mosk") for b in ("berg", "sen", "well", "ling", "ova") if a + b != "Norvsen"]
+    names = spark.createDataFrame([(f"Ines {w}",) for w in people] + [("O'Neill, Jean-Luc",), ("Vera Corvano-Zelm",), ("Corvano Vera",), ("Scan Desk",)], "_name string")
+    texts = ["Ines Norvsen called O'Neill.", "It was Moskova's plan.", "Vera Corvano-Zelm and Jean-Luc, Anna.", "The scan desk, Kelb.", None, "", "Ines Norvsen called O'Neill."]
+    df = spark.createDataFrame([(i % 6, t) for i, t in enumerate(texts)], "id long, text string")
+    read = lambda: sorted(str(r) for r in mentions(df, [F.col("id")], F.col("text"), gather_names(names)).collect())
+    small = read()
+    monkeypatch.setattr(personal, "MAX_NAMES", 2)
+    assert read() == small and len(small) == 7 and sum("masked_text='[NAME] called [NAME].'" in r for r in small) == 2
