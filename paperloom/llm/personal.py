@@ -150,11 +150,16 @@ class Lexicon:
         return self.is_family(word) or ("-" in word and all(map(self.is_family, word.split("-"))))
 
     def name_words(self, low: str) -> set[str]:
-        """The letter runs of a text in lower case that are names."""
+        """The letter runs of a text in lower case that are names, or parts of names with an apostrophe or a hyphen."""
         runs = set(_LETTERS.findall(low))
         words = runs & self.all
         if self.stems:
             words |= {w for w in runs - words if self.is_union(w)}
+        for whole in set(_JOINED.findall(low)):
+            for word in (whole, whole[:-2]) if whole.endswith(("'s", "’s")) else (whole,):
+                for part in (word, *word.split("-")):
+                    if part in self.given or self.is_family(part):
+                        words.update(_LETTERS.findall(part))
         return words
 
 

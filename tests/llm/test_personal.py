@@ -66,6 +66,12 @@ def test_unions_of_any_number():
     assert detect(f"It was {lost.title()} again.", lexicon) == [("name", 7, 7 + len(lost))]
 
 
+def test_names_with_apostrophe_or_hyphen():
+    lexicon = Lexicon(frozenset({"sean", "jean-luc"}), frozenset({"o'neill", "d'angelo"}))
+    for text, want in (("It was O'Neill again", "O'Neill"), ("O'Neill, Sean came", "O'Neill, Sean"), ("to D'Angelo's desk", "D'Angelo's"), ("It was Jean-Luc again", "Jean-Luc")):
+        assert [text[a:b] for _, a, b in detect(text, lexicon)] == [want]
+
+
 def test_joined_lexicon_gives_the_rows_of_a_broadcast_one(spark, monkeypatch):
     people = [a + b for a in ("Kelb", "Norv", "Trev", "Iver", "Mosk") for b in ("berg", "sen", "well", "ling", "ova") if a + b != "Norvsen"]
     names = spark.createDataFrame([(f"Ines {w}",) for w in people] + [("O'Neill, Jean-Luc",), ("Vera Corvano-Zelm",), ("Corvano Vera",), ("Scan Desk",)], "_name string")
