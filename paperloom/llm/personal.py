@@ -37,7 +37,7 @@ _LOCAL = re.compile(rf"(?:[\w+-]+{_DOT})*[\w+-]*\w$", re.I)
 _DOMAIN = re.compile(rf"[\w-]+(?:{_DOT}[\w-]+)+", re.I)
 
 #: Candidates that begin with a digit, a plus or a bracket.
-_NUMBERS = re.compile(r"[+(\d][\d ()./ >|\r\n-]{6,34}\d")
+_NUMBERS = re.compile(r"[+(\d][\d ()./ >|\r\n-]{7,}")
 _N = rf"(?:{_S}|[.-])"
 PHONES = (
     (re.compile(rf"\+\d{{1,3}}{_S}?(?:\(0\){_S}?)?\(?\d(?:[-./]?\d|\)?{_S}\d|\)\d){{5,12}}(?!\d)"), 0.8),
@@ -247,7 +247,8 @@ def _near(text: str, start: int, end: int, pattern: re.Pattern) -> bool:
 def _numbers(text: str) -> list[tuple[str, int, int, float]]:
     found = []
     for m in _NUMBERS.finditer(text):
-        a, b = m.span()
+        a = m.start()
+        b = a + len(m[0].rstrip(" ()./\u00a0>|\r\n-"))
         if b - a < 8 or sum(c.isdigit() for c in m[0]) < 8:
             continue
         low, high = max(0, a - 1), min(len(text), b + 3)

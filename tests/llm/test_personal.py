@@ -72,6 +72,13 @@ def test_names_with_apostrophe_or_hyphen():
         assert [text[a:b] for _, a, b in detect(text, lexicon)] == [want]
 
 
+def test_long_columns_of_numbers():
+    phones = [f"020 7946 {k:04}" for k in range(713, 733)]
+    text = "\n".join(phones)
+    assert [text[a:b] for k, a, b in detect(text, Lexicon()) if k == "phone"] == phones
+    assert detect("(" * 200_000 + " " * 200_000, Lexicon()) == []
+
+
 def test_joined_lexicon_gives_the_rows_of_a_broadcast_one(spark, monkeypatch):
     people = [a + b for a in ("Kelb", "Norv", "Trev", "Iver", "Mosk") for b in ("berg", "sen", "well", "ling", "ova") if a + b != "Norvsen"]
     names = spark.createDataFrame([(f"Ines {w}",) for w in people] + [("O'Neill, Jean-Luc",), ("Vera Corvano-Zelm",), ("Corvano Vera",), ("Scan Desk",)], "_name string")
