@@ -16,7 +16,7 @@ STOPWORDS = "a an and are as at be by did do does for from had has have how in i
 def fold_maps() -> tuple[str, str]:
     """Letters that decompose to one letter and marks, and that letter."""
     source, target = [], []
-    for code in [*range(0x00C0, 0x0250), *range(0x1E00, 0x2000)]:
+    for code in [*range(0x00C0, 0x0250), *range(0x0370, 0x0530), *range(0x1E00, 0x2000)]:
         base = "".join(c for c in unicodedata.normalize("NFD", chr(code).lower()) if not unicodedata.combining(c))
         if len(base) == 1 and base != chr(code):
             source.append(chr(code))
@@ -31,6 +31,11 @@ def unaccented(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(folded)
 
 
+def words(text: Column) -> Column:
+    """The runs of letters or digits, without case and accents."""
+    return F.regexp_extract_all(unaccented(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
 def index_tokens(text: Column) -> Column:
     """Tokens of the full-text index: runs of letters, digits and private-use characters, without accents."""
     return F.filter(F.split(unaccented(text), r"[^\p{L}\p{N}\p{Co}]+"), lambda w: w != "")
