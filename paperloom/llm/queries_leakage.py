@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm.leakage import leaked_items, leaks
+from paperloom.llm.leakage import leaked_items, leaks, question_classes, renamed
 from paperloom.plans.registry import Registry
 from paperloom.session import table
 
@@ -26,23 +26,29 @@ _PASSAGES = r"""
 """
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text")
+def _tables(spark: SparkSession, sf_dir: str) -> tuple:
+    return table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text"
 
 
 @REGISTRY.add("p7_found", sql=_PASSAGES + "SELECT DISTINCT doc_id, item_id FROM met")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain at least twelve consecutive words of an item."""
-    return _pairs(spark, sf_dir).where("n_exact > 0").select("doc_id", "item_id")
+    return leaks(*_tables(spark, sf_dir)).select("doc_id", "item_id")
 
 
 @REGISTRY.add("p7_items", sql=_PASSAGES + "SELECT item_id, count(DISTINCT doc_id) AS n_docs FROM met GROUP BY item_id")
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that leaked, with the number of documents that hold a passage of them."""
-    return leaked_items(_pairs(spark, sf_dir), "doc_id", "item_id").where("n_docs > 0").select("item_id", "n_docs")
+    return leaked_items(leaks(*_tables(spark, sf_dir)), "item_id").select("item_id", "n_docs")
 
 
 @REGISTRY.add("p7_renamed")
 def p7_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that ask an item's question with other names or numbers and hold no passage of it."""
-    return _pairs(spark, sf_dir).where("n_exact = 0").select("doc_id", "item_id", "n_renamed")
+    """Documents that ask a class of items' question with other names or numbers and hold the words of none."""
+    return renamed(*_tables(spark, sf_dir))
+
+
+@REGISTRY.add("p7_classes")
+def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of each class of question windows."""
+    return question_classes(table(spark, sf_dir, "eval_items"), "item_id", "text")

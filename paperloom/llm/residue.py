@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.text import folded
+from paperloom.functions.text import unaccented as folded
 
 SHARE = 0.02
 LEAST = 20
