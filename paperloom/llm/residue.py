@@ -16,17 +16,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache
+from re import _parser
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import unaccented as folded
+from paperloom.functions.text import unaccented
+from paperloom.session import cut_lineage
 
 SHARE = 0.02
 LEAST = 20
+#: Boilerplate lines up to this many (8 bytes each) are broadcast; beyond it hosts are joined, each in SALTS parts.
+BROADCAST_KEYS = 500_000
+SALTS = 64
 
 _NAME = r"[A-Za-zÀ-ÿ][\wÀ-ÿ.-]{0,40}"
 _FILL = (
@@ -35,7 +40,8 @@ _FILL = (
 )
 _ASK = r"your|insert|enter|add|fill in|type|indiquer|insérer|votre|saisir|compléter|préciser|ihre?|name des|einfügen|bitte|insertar|indicar|indique|su|introducir|completar|rellenar|escriba"
 PLACEHOLDER = re.compile(
-    r"\{\{\s*" + _NAME + r"\s*\}\}|\$\{\s*" + _NAME + r"\s*\}|(?<![\w\"$:{])\{\s*" + _NAME + r"\s*\}(?!\})|<%=?\s*" + _NAME + r"\s*%>|(?<![\w%])%" + _NAME + r"%(?!\w)"
+    r"\{\{[#/>!&]?\s*" + _NAME + r"(?:\s*\|[^{}\n]{1,40})?\s*\}\}|\{%-?\s*" + _NAME + r"[^{}%\n]{0,60}%\}|\*\|" + _NAME + r"\|\*|<<\s*" + _NAME + r"\s*>>|%\(" + _NAME + r"\)s|(?<!\w)%%" + _NAME + r"%%|(?<![\w$])\$[A-Z][A-Z_]{2,40}\$|<\?=?\s*\$?" + _NAME + r"\s*\?>|"
+    r"\$\{\s*" + _NAME + r"\s*\}|(?<![\w\"$:{])\{\s*" + _NAME + r"\s*\}(?!\})|<%=?\s*" + _NAME + r"\s*%>|(?<![\w%])%" + _NAME + r"%(?!\w)"
     r"|\[\[\s*" + _NAME + r"\s*\]\]|(?<![\w_])__[A-Za-z]\w{0,40}?__(?!\w)|(?<![\w#])#[A-Za-z]\w{1,40}#(?![\w#])|(?<!\w)@@" + _NAME + r"@@|(?<!\w)~" + _NAME + r"~"
     r"|[<\[{(](?i:" + _ASK + r")\s[\w .'-]{1,40}[>\]})]|[<\[{][\w .'-]{1,40}\s(?i:" + _FILL + r")[>\]}]|<[A-Z][A-Z_ ]{2,40}>|\[[A-Z]+(?:_[A-Z]+)+\]"
 )
@@ -51,7 +57,12 @@ ERROR = re.compile(
     r"|\bupstream connect error|\bdisconnect before headers|\bupstream did not answer|\btraceback \(most recent call last\)|\b(?:key|value|type|name|index|attribute|import|runtime|os|io)error: |\bfile \"[^\"]+\", line \d+, in |\bnullpointerexception|\bsegmentation fault|\bfatal error: |\bexception in thread"
     r"|\bsomething went wrong|\bsorry, (?:that|this|something) (?:did not|didn['’]t) work|(?:^|[.!?-] )oops\b|\b(?:the )?link you (?:followed|clicked) (?:may|might) be|\byou do not have (?:the )?permission to|\byou don['’]t have (?:the )?permission to|\bplease sign in again|\bsign in again to continue"
     r"|\bwe (?:lost|can['’]?t (?:seem to )?find|cannot find|couldn['’]?t find|could not find) (?:that|this|the|what) ?(?:page|you)|\bcan['’]t seem to find what|\btry again in \d+ (?:minutes|seconds|hours)|\bif the problem persists, contact|\bcontact the webmaster|\brequest id: ?\w|\breference #\w"
-    r"|\bare you a robot\b|\bconfirm the picture check|\bverify (?:that )?you are (?:human|not a robot)|\bcomplete the captcha|\bchecking your browser before|\bunusual traffic from your"
+    r"|\bare you a robot\b|\b(?:confirm|pass|solve) the (?:\w+ )?(?:check|challenge|puzzle)\b(?= to| before| and|[.,:;]|$)|prove (?:that )?you are (?:human|not a robot)|\bverify (?:that )?you are (?:human|not a robot)|\bcomplete the captcha|\bchecking your browser before|\bunusual traffic from your"
+    r"|\b(?:an )?(?:unexpected|unknown|internal|fatal) (?:error|exception) (?:has )?(?:occurred|happened)|\b(?:an error|a problem) (?:has )?occurred\b|\bthis (?:site|page|address) can['’]?t be (?:reached|displayed|loaded|found)|\bthis page (?:isn['’]t|is not) (?:working|available)|\bthe (?:page|document|file|resource) (?:you (?:requested|are looking for|were looking for)|requested) (?:could not|cannot|can['’]t|was not|does not|is not|no longer|has been)"
+    r"|\b(?:temporarily|currently) (?:unavailable|offline|down for maintenance)|\b(?:site|service|system|page) is (?:under|down for) maintenance|\bback (?:online )?soon after maintenance|\berr_[a-z]+_[a-z_]+|\bdns_probe_|\btoo many connections\b|\bmysql_connect\(|\bparse error: syntax error|\bstack ?trace:|\buncaught (?:\w+error|exception)|\bat [\w$.]+\(\w+\.java:\d+\)|\bcore dumped\b|\bout of memory error"
+    r"|\b(?:ein )?(?:unerwarteter|unbekannter|interner|schwerer) fehler (?:ist )?(?:aufgetreten|passiert)|\b(?:es )?ist ein (?:\w+ )?fehler aufgetreten|\bseite (?:konnte|kann) nicht (?:gefunden|geladen|angezeigt|aufgerufen)|\bvorübergehend nicht (?:erreichbar|verfügbar)|\bzeitüberschreitung (?:der|bei der) (?:anforderung|anfrage|verbindung)|\bwegen wartungsarbeiten"
+    r"|\bune erreur (?:\w+ )?(?:est survenue|s['’]est produite|inattendue)|\bla page (?:demandée|que vous (?:cherchez|recherchez|demandez)) (?:n['’]existe|est introuvable|n['’]a pas)|\b(?:momentanément|temporairement) indisponible|\bdélai d['’]attente dépassé|\ben cours de maintenance"
+    r"|\b(?:se ha producido|se produjo|ha ocurrido|ocurrió) un error|\bla página (?:solicitada|que busca|que buscas) no (?:existe|está|se)|\bno se (?:ha encontrado|encontró|pudo (?:encontrar|cargar|mostrar)) (?:la|esta) página|\btemporalmente (?:fuera de servicio|no disponible)|\btiempo de espera agotado|\ben mantenimiento\b"
     r"|\"(?:status|code)\" ?: ?\"?[45]\d\d\b|\"error\" ?: ?\"",
 )
 
@@ -61,13 +72,38 @@ _NEED = (
     r"aktivier|erlaub|zulass|einschalt|benötig|erforderlich|deaktivier|abgeschaltet|ausgeschaltet|blockiert|ohne|nicht unterstützt|"
     r"activ[eo]|autoris|désactiv|bloqué|nécessaire|nécessite|requiert|sans\b|prend pas en charge|necesita|permit|habilit|desactiv|bloquead|requier|\bsin\b|no admite|encienda"
 )
+#: A word for scripts, or a notice without one.
 SCRIPT = re.compile(
-    rf"(?:{_NEED})[^.!?]{{0,60}}?{_SCRIPT}|{_SCRIPT}[^.!?]{{0,60}}?(?:{_NEED})"
-    r"|\bchange your browser settings|\bsome parts of [^.!?]{1,40} will not (?:load|work)|\bthe \w+ cannot be (?:drawn|displayed|rendered)\b|\bthis (?:site|page|viewer|application|app) (?:only )?works (?:best )?with (?:java ?script|scripts)",
-)
+    rf"({_SCRIPT})"
+    r"|\bchange your browser settings|\bsome parts of [^.!?]{1,40} will not (?:load|work)|\bthe \w+ cannot be (?:drawn|displayed|rendered)\b",
+)
+_NEEDED = re.compile(_NEED)
+_STOP = re.compile(r"[.!?]")
+
+
+#: No match of a pattern is longer.
+LONGEST = 300
+
+
+def _around(pattern: re.Pattern, text: str, places: list[int]) -> Iterator[re.Match]:
+    """The pattern's matches near the given places, which are in order."""
+    done = 0
+    for k, at in enumerate(places):
+        if k + 1 < len(places) and places[k + 1] - at < LONGEST:
+            continue
+        first = k
+        while first and places[first] - places[first - 1] < LONGEST:
+            first -= 1
+        yield from pattern.finditer(text, max(done, places[first] - LONGEST), min(len(text), at + LONGEST))
+        done = at + 1
+
+
+def scripts(line: str, places: list[int]) -> Iterator[tuple[int, int]]:
+    """Spans of words for scripts that in their sentence, at most 60 characters off, stand with a word of need."""
+    for m in _around(SCRIPT, line, places):
+        if not m[1] or _NEEDED.search(_STOP.split(line[max(0, m.start() - 60) : m.start()])[-1]) or _NEEDED.search(_STOP.split(line[m.end() : m.end() + 60], maxsplit=1)[0]):
+            yield m.span()
 
-#: A text without it has no SCRIPT.
-_SCRIPTS = re.compile(rf"{_SCRIPT}|your browser settings|will not (?:load|work)|cannot be (?:drawn|displayed|rendered)")
 
 FILLER = re.compile(
     r"\b(?:lorem ipsum|dolor sit amet|consectetur|platzhaltertext|blindtext|fülltext|texto de (?:relleno|ejemplo|muestra)|texto simulado|texte d['’]exemple|texte de remplissage|faux[- ]texte|texte fictif)\b"
@@ -75,46 +111,110 @@ FILLER = re.compile(
     r"|\bis a dummy for\b|\b(?:asdf|qwer(?:ty)?|jkl)(?: (?:asdf|qwer(?:ty)?|jkl))+\b|\basdf ?jkl\b|\bbla(?:[ ,]+bla)+\b|\btest(?: test)+\b|\b(?:foo bar(?: baz)?|xxx(?: xxx)+)\b|\b(?:hier steht ein|hier kommt (?:ihr|der)) \w*text\b|\bremplacer ce texte\b|\bvotre texte ici\b|\bsu texto aquí\b|\bihr text hier\b",
 )
 
-#: Stems of the Latin of typesetters' filler.
+#: Stems of typesetters' filler Latin, and its short words.
 _LATIN = re.compile(
-    r"\b(?:lorem|ipsum|dolor\w*|sit|amet|consec\w*|adipi\w*|elit|sed|eiusmod|tempor\w*|incid\w*|labor\w*|magna|aliqu\w*|enim|minim|veniam|quis\w*|nostrud|exerc\w*|ullam\w*|nisi|commodo|duis|aute|irure|repreh\w*|volup\w*|velit|esse|cillum|fugia\w*|nulla|pariat\w*|except\w*|sint|occaec\w*|cupid\w*|proident|sunt|culpa|offic\w*|deser\w*|mollit|anim|porta|vidan|vitae|nunc|justo|etiam|donec|mauris|viverra|et|ut|in|ad|ex|ea|do|eu|id|est)\b",
+    r"lorem|ipsum|dolor\w*|amet|consec\w*|adipi\w*|elit|eiusmod|tempor\w*|incid\w*|labor\w*|magna|aliqu\w*|enim|minim|veniam|quis\w*|nostrud|exerc\w*|ullam\w*|nisi|commodo|duis|aute|irure|repreh\w*|volup\w*|velit|esse|cillum|fugia\w*|nulla|pariat\w*|except\w*|sint|occaec\w*|cupid\w*|proident|sunt|culpa|offic\w*|deser\w*|mollit|anim|porta|vitae|nunc|justo|etiam|donec|mauris|viverra|"
+    r"praesent|vestibulum|pellentesque|curabitur|phasellus|suspendisse|integer|morbi|fusce|nullam|quisque|sodales|lectus|ultric\w*|tincidunt|mattis|maecenas|vivamus|aenean|cras|proin|sagittis|malesuada|egestas|semper|congue|dictum|feugiat|vehicula|rhoncus|ornare|tellus|turpis|risus|metus|purus|libero|augue|ligula|lacus|massa|urna|neque|ante|orci|felis|odio|leo|erat"
 )
+_LATIN_SHORT = frozenset("sit sed et ut in ad ex ea do eu id est non at ac".split())
 _WORD = re.compile(r"[^\W\d_]+")
 _NUMBERED = re.compile(r"\d")
 
 #: Words of reporting: beside them, evidence is spoken about.
 ABOUT = re.compile(
-    r"\be\.g\.|\bfor example\b|\bexample from\b|\bsuch as\b|\bfor instance\b|\bask(?:s|ed|ing)? (?:visitors|users|readers|people|for)\b|\b(?:visitors|readers|fetcher|importer|helper|typesetter\w*|crawler|manual|handbook|tutorial|training)\b|\b(?:log|report|message|error|screen) (?:says|said|reads|saying|that said)\b|\bthe (?:words?|phrase|term|message|notice|placeholder|string) [\"“'«‘]|\bplaceholders?\b (?:in|such|like|are|were|of)|\b(?:a|the) field such as\b"
-    r"|\bdie (?:meldung|fehlermeldung|angabe|formel|wörter|worte|platzhalter)\b|\bmeldung\b|\bzum beispiel\b|\bz\. ?b\.|\bbeispiel\w*\b|\ble message\b|\bpar exemple\b|\bp\. ?ex\.|\bel mensaje\b|\bpor ejemplo\b|\bp\. ?ej\.|\bwhen a (?:link|page|server|site) (?:answers|returns|shows|reports)|\bwere (?:described|explained)\b|\bwas described as\b|\bis filled in by\b|\bmust be replaced before\b|\btaken out of\b",
+    r"\be\.g\.|\bfor (?:example|instance)\b|\bexamples? (?:from|of|in)\b|\bsuch as\b|\bask(?:s|ed|ing)? (?:the |its |all |their )?(?:visitors?|users?|readers?|people|customers?|guests?|for)\b|\b(?:logs?|reports?|messages?|notices?|errors?|screens?|windows?|banners?) (?:that )?(?:says?|said|reads?|saying|reading|shows?|showed)\b|\b(?:says?|said|reads?|shows?|called|named|labelled|marked|titled|entitled) [\"“'«‘„]"
+    r"|\b(?:the|a|an) (?:words?|phrase|term|message|notice|placeholder|string|label|error) [\"“'«‘„]|\bplaceholders?\b (?:in|such|like|are|were|of)|\bfields? (?:such as|like)\b|\b(?:described|explained|discussed|mentioned|listed) (?:as|in|by|here|there|above|below)\b|\bwhen(?:ever)? a (?:link|page|server|site|user|visitor) (?:answers|returns|shows|reports|sees|meets|gets)|\bis filled in by\b|\bmust be replaced before\b|\btaken out of\b"
+    r"|\bdie (?:meldung|fehlermeldung|angabe|formel|wörter|worte|platzhalter)\b|\bzum beispiel\b|\bz\. ?b\.|\bbeispiele? (?:aus|für|von)\b|\bbittet (?:die )?(?:besucher|leser|nutzer)|\ble message [\"“«]|\bpar exemple\b|\bp\. ?ex\.|\bdemand\w+ aux (?:visiteurs|lecteurs|utilisateurs)|\bel mensaje [\"“«]|\bpor ejemplo\b|\bp\. ?ej\.|\bpid\w+ a los (?:visitantes|lectores|usuarios)",
 )
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]{1,400}`", re.S)
 _QUOTE = re.compile(r"\"[^\"\n{}]{1,200}\"|“[^”]{1,200}”|«[^»]{1,200}»|„[^“”\"]{1,200}[“”\"]|‚[^‘]{1,200}‘")
 _JOIN = re.compile(r"(?<=\w)[-\u00ad\u2010¬][ \t]*\n(?:>+ ?)*(?=[a-zà-ÿ])")
+_BROKEN = re.compile(r"[-\u00ad\u2010¬][ \t]*\n")
 _SPACES = re.compile(r"[ \t\u00a0]{2,}|[\t\u00a0]")
 _PREFIX = re.compile(r"\n[ \t]*(?:>[> ]*)")
 
+#: Errors whose own text is in quotes.
+_RAW = re.compile(r"\"(?:status|code)\" ?: ?\"?[45]\d\d\b|\"error\" ?: ?\"|\btraceback \(most recent")
+
 KINDS = ("error", "placeholder", "filler", "script")
 
-#: A text without any of a kind's strings (in lower case) needs no search for that kind.
-GATES = {
-    "error": (
-        "error|erreur|fehler|exception|traceback|denied|denegado|verweigert|refusé|forbidden|unauthor|bad request|not found|unavailable|gateway|too many req|http|código|code|status|gone|session expir|has expired|abgelaufen|caduc|sesión expir|sesión ha expir|"
-        "seite nicht|gibt es nicht|existiert nicht|wurde nicht|nicht verfügbar|no existe|n'existe|n’existe|no encontrada|no disponib|introuvable|non trouvée|indisponible|melden sie|versuchen sie|inicie|intentarlo|reconnecter|réessayer|réessayez|permission|permiso|berechtigung|autorisation|le droit|"
-        "upstream|segmentation|went wrong|oops|sorry|you followed|you clicked|sign in again|we lost|can't|can’t|cannot find|couldn't|couldn’t|couldnt|cant find|cant seem|could not find|try again|timed out|problem persists|webmaster|request id|reference #|robot|picture check|captcha|checking your|unusual traffic|are human|disconnect before|file \""
-    ).split("|"),
-    "script": "script|skript|js|secuencias de comandos|your browser|will not load|will not work|cannot be drawn|cannot be displayed|cannot be rendered".split("|"),
-    "filler": "lorem|ipsum|consectet|platzhalter|blindtext|fülltext|texto de|texto simul|texte d|texte de|faux texte|faux-texte|texte fictif|dummy|placeholder text|filler text|sample paragraph|sample text|goes here|replace this|text here|heading here|title here|content here|asdf|qwer|jkl|bla |bla,|test test|foo bar|xxx xxx|hier steht ein|hier kommt|remplacer ce|texte ici|texto aquí|text hier".split("|"),
-    "placeholder": list("{<%[#~@") + ["__"] + ["(" + w for w in "your|insert|enter|add|fill in|type|indiquer|insérer|votre|saisir|compléter|préciser|ihr|name des|einfügen|bitte|indicar|indique|su|introducir|completar|rellenar|escriba".split("|")],
-}
+def _language(op, arg) -> frozenset[str] | None:
+    """All strings (in lower case) that an element of a parsed pattern matches, where they are few."""
+    name = str(op)
+    if name == "LITERAL":
+        return frozenset({chr(arg).lower()})
+    if name == "IN" and all(str(kind) == "LITERAL" for kind, _ in arg):
+        return frozenset(chr(c).lower() for _, c in arg)
+    if name in ("AT", "ASSERT", "ASSERT_NOT"):
+        return frozenset({""})
+    if name == "SUBPATTERN":
+        return _product(arg[3])
+    if name == "BRANCH":
+        parts = [_product(x) for x in arg[1]]
+        return frozenset().union(*parts) if all(parts) else None
+    if name in ("MAX_REPEAT", "MIN_REPEAT") and arg[1] == 1:
+        inner = _product(arg[2])
+        return inner and (inner if arg[0] else inner | {""})
+    return None
+
+
+def _product(tree) -> frozenset[str] | None:
+    whole = frozenset({""})
+    for op, arg in tree:
+        part = _language(op, arg)
+        if not part or len(whole) * len(part) > 400:
+            return None
+        whole = frozenset(a + b for a in whole for b in part)
+    return whole
+
+
+def _rarity(strings: frozenset[str]) -> tuple[int, int]:
+    """Long strings and signs are rare; of equal sets, the smaller."""
+    return min(len(x) + 2 * sum(not c.isalnum() and c != " " for c in x) for x in strings), -len(strings)
+
+
+def required(tree) -> frozenset[str] | None:
+    """Strings of a parsed pattern, in lower case, of which every match holds at least one; None where there are none."""
+    best: frozenset[str] | None = None
+    run = frozenset({""})
+
+    def offer(strings: frozenset[str] | None) -> None:
+        nonlocal best
+        if strings and "" not in strings and (best is None or _rarity(strings) > _rarity(best)):
+            best = strings
+
+    for op, arg in tree:
+        part = _language(op, arg)
+        if part and len(run) * len(part) <= 400:
+            run = frozenset(a + b for a in run for b in part)
+            offer(run)
+            continue
+        offer(run)
+        run = part or frozenset({""})
+        name = str(op)
+        if name == "SUBPATTERN":
+            offer(required(arg[3]))
+        elif name == "BRANCH":
+            parts = [required(x) for x in arg[1]]
+            offer(frozenset().union(*parts) if all(parts) else None)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0]:
+            offer(required(arg[2]))
+    offer(run)
+    return best
 
 
 @cache
 def _gate() -> ahocorasick.Automaton:
+    """The strings that the patterns of each kind require; a text without any of a kind's needs no search for it."""
     machine = ahocorasick.Automaton()
-    for kind, keys in GATES.items():
-        for key in keys:
-            machine.add_word(key, frozenset({kind}) | machine.get(key, frozenset()))
+    for kind, patterns in (("error", (ERROR, _RAW)), ("placeholder", (PLACEHOLDER,)), ("filler", (FILLER,)), ("script", (SCRIPT,))):
+        for pattern in patterns:
+            keys = required(_parser.parse(pattern.pattern, pattern.flags))
+            if not keys:
+                raise ValueError(f"a pattern of kind {kind} has an alternative without a fixed string")
+            for key in keys:
+                machine.add_word(key, frozenset({kind}) | machine.get(key, frozenset()))
     machine.make_automaton()
     return machine
 
@@ -128,32 +228,53 @@ def _spoken(text: str, start: int, end: int) -> bool:
     return bool(ABOUT.search(text[max(a + 1, start - 160, 0) : min([*ends, end + 90, len(text)])]))
 
 
-@lru_cache(1 << 16)
-def _is_latin(word: str) -> bool:
-    return bool(_LATIN.fullmatch(word))
+def _is_latin(word: str) -> int:
+    """2 for a long word of filler Latin, 1 for a short one."""
+    return 2 if _LATIN.fullmatch(word) else 1 if word in _LATIN_SHORT else 0
+
+
+class _LongLatin(dict):
+    """Of a token between white space, how many long words of filler Latin it holds."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[token] = n = sum(_is_latin(w) == 2 for w in _WORD.findall(token))
+        return n
+
+
+_LONG = _LongLatin()
 
 
 def _latin(text: str) -> bool:
-    """Ten words in a row of which four fifths are filler Latin (all of six to nine, where there are no more)."""
+    """Ten words in a row of which four fifths are filler Latin, three of them long (all of six to nine, where there are no more)."""
     hits = [_is_latin(w) for w in _WORD.findall(text)]
     size = min(10, len(hits))
-    total = sum(hits[:size])
+    total, long = sum(map(bool, hits[:size])), hits[:size].count(2)
     for k in range(size, len(hits) + 1):
-        if size >= 6 and total >= 0.8 * size:
+        if size >= 6 and total >= 0.8 * size and long >= 3:
             return True
         if k < len(hits):
-            total += hits[k] - hits[k - size]
+            total += bool(hits[k]) - bool(hits[k - size])
+            long += (hits[k] == 2) - (hits[k - size] == 2)
     return False
 
 
 def evidence(text: str) -> list[str]:
     """The kinds of evidence that a text holds, in the order of KINDS."""
-    flat = _SPACES.sub(" ", text.replace("\r\n", "\n"))
-    if "\n" in flat:
-        flat = _PREFIX.sub("\n", _JOIN.sub("", flat))
+    flat = text.replace("\r\n", "\n")
+    if "  " in flat or "\t" in flat or "\u00a0" in flat:
+        flat = _SPACES.sub(" ", flat)
+    if _BROKEN.search(flat):
+        flat = _JOIN.sub("", flat)
+    if ">" in flat:
+        flat = _PREFIX.sub("\n", flat)
     low = flat.lower()
-    likely = frozenset().union(*(kinds for _, kinds in _gate().iter(" " + low.replace("\n", " ") + " ")))
-    latin = sum(map(_is_latin, _WORD.findall(low))) >= 6
+    likely: dict[str, list[int]] = {}
+    for at, kinds in _gate().iter(" " + low.replace("\n", " ") + " "):
+        for kind in kinds:
+            likely.setdefault(kind, []).append(max(0, at - 1))
+    latin = sum(map(_LONG.__getitem__, low.split())) >= 3
     if not likely and not latin:
         return []
     if len(low) != len(flat):  # letters whose lower case is longer
@@ -165,8 +286,10 @@ def evidence(text: str) -> list[str]:
     low = flat.lower()
     line = re.sub(r"(?<!\n)\n(?!\n)", " ", low)
     found = []
-    for kind, pattern, source, about in (("error", ERROR, line, line), ("placeholder", PLACEHOLDER, flat, low), ("filler", FILLER, line, line), ("script", SCRIPT, line, line)):
-        if kind in likely and (kind != "script" or _SCRIPTS.search(source)) and any(not _spoken(about, m.start(), m.end()) for m in pattern.finditer(source)):
+    for kind, places in likely.items():
+        pattern, source = {"error": (ERROR, line), "placeholder": (PLACEHOLDER, flat), "filler": (FILLER, line), "script": (SCRIPT, line)}[kind]
+        spans = scripts(line, places) if kind == "script" else (m.span() for m in _around(pattern, source, places))
+        if any(not _spoken(low if kind == "placeholder" else line, *span) for span in spans):
             found.append(kind)
     if "error" in likely and "error" not in found and _RAW.search(raw):
         found.append("error")
@@ -175,13 +298,9 @@ def evidence(text: str) -> list[str]:
     return sorted(found, key=KINDS.index)
 
 
-#: Errors whose own text is in quotes.
-_RAW = re.compile(r"\"(?:status|code)\" ?: ?\"?[45]\d\d\b|\"error\" ?: ?\"|\btraceback \(most recent")
-
-
 def _line_key(line: Column) -> Column:
     """A line without case, accents, digits and outer white space, as a hash; null where nothing is left."""
-    key = F.trim(F.regexp_replace(folded(line), r"[\p{N}\s]+", " "))
+    key = F.trim(F.regexp_replace(unaccented(line), r"[\p{N}\s]+", " "))
     return F.when(F.length(key) > 2, F.xxhash64(key))
 
 
@@ -220,9 +339,15 @@ def judged(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     whole text. Rows repeated under another id are judged each, but count once for the
     boilerplate; an id that comes twice is judged twice. Extra columns are dropped first.
     """
-    common = boilerplate(docs, text, host)
+    common = cut_lineage(boilerplate(docs, text, host)).withColumnRenamed("_host", "_of")
     own = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{host}`").alias("_host"), F.col(f"`{text}`").alias("_text"))
-    own = own.join(common.withColumnRenamed("_host", "_of"), F.col("_host").eqNullSafe(F.col("_of")), "left")
+    same = F.col("_host").eqNullSafe(F.col("_of"))
+    keys = common.agg(F.sum(F.size("_often"))).first()[0] or 0
+    if keys <= BROADCAST_KEYS:
+        own = own.join(F.broadcast(common), same, "left")
+    else:
+        common = common.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = own.withColumn("_salt", F.pmod(F.xxhash64("_text"), F.lit(SALTS))).join(common, same & (F.col("_salt") == F.col("_part")), "left")
     lines = F.filter(F.split("_text", r"\r?\n"), lambda x: ~F.coalesce(F.array_contains("_often", _line_key(x)), F.lit(False)))
     own = own.select("_id", "_text", F.when(F.col("_often").isNotNull(), F.array_join(lines, "\n")).alias("_rest"))
     kind = own.schema["_id"].dataType.simpleString()

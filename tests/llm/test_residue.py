@@ -94,6 +94,24 @@ def test_gates_pass(text, kind):
     assert evidence(text) == [kind]
 
 
+def test_reporting_needs_a_construction():
+    assert evidence("Internal Server Error - please inform the readers desk.") == ["error"]
+    assert evidence("Training manual for visitors. 503 Service Unavailable") == ["error"]
+    assert evidence("The helper asks its visitors to enable JavaScript.") == []
+    assert evidence("An unexpected error has occurred. Stack trace: none") == ["error"]
+    assert evidence("Hello *|FNAME|*, see <<offer>> or %(date)s") == ["placeholder"]
+    assert evidence("Dolor sit amet.") == ["filler"]
+
+
+def test_bounds_change_nothing(spark, monkeypatch):
+    rows = [(i, f"Session expired?\nHome | {i}\nReal text number {i}.", "ab"[i % 2]) for i in range(80)] + [(100, "Access denied", None), (101, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    read = lambda: sorted((r.doc_id, r.evidence) for r in judged(df, "doc_id", "text", "source").collect())
+    small = read()
+    monkeypatch.setattr("paperloom.llm.residue.BROADCAST_KEYS", 0)
+    assert read() == small
+
+
 def _samples(parsed, pick):
     """A text that a parsed pattern matches; looks around and bounds are left out."""
     out = ""
