@@ -1,18 +1,25 @@
 """The text of an email that its sender wrote.
 
-A body is read by a grammar of layouts:
+A body is read by a recursive grammar of layouts:
 
     body     = block*
     block    = written | quoted | forwarded
     quoted   = intro? (prefixed line | blank)+     its lines, without their prefix, are a body
-    forwarded= (separator | header block) body     to the end of the enclosing body
+    forwarded= (separator | header block | strong intro) enclosed
+    enclosed = quoted                              where prefixed lines follow at once and nothing is written before: the
+                                                   answer, and so the enclosing body, resumes after them
+             | body closing separator              the enclosing body resumes after it
+             | body                                to the end of the enclosing body
     written  = text* tail?
     tail     = signature? notice*
     signature= closing line? delimiter? (name | role | contact | device line)*
     notice   = rule? heading? legal paragraph
 
-The tree holds, for each node, its kind and its lines; only `text` nodes of the outermost
-body are serialised. A body is one row and its tree lives in one task.
+`parse` gives the tree of a body, whatever its depth: each node has its kind, its lines and
+the nodes that it encloses. Only `text` nodes that no quotation encloses are serialised as
+newly written; text that resumes after a quotation or a forward is one of them. The tails of
+enclosed bodies are told apart only for those who ask for the whole tree. A body is one row
+and its tree lives in one task.
 """
 
 from __future__ import annotations
@@ -20,14 +27,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 40
-
 PREFIX = re.compile(r"^[ \t]{0,3}(?:>|\|(?=[\s|>]|$)|[A-Z]{1,3}>)[ \t]?")
 _DATE = r"(?:\d{1,2}[./ -]\s?(?:\w{3,10}\.?|\d{1,2})[./ -]\s?\d{2,4}|\d{4}-\d\d-\d\d|\w{3,10}\.? \d{1,2},? \d{4})"
 _VERB = r"(?:wrote|writes|said|schrieb(?: am| um)?|a écrit|écrivait|escribió|ha scritto|wrote on)"
@@ -38,6 +42,10 @@ SEPARATOR = re.compile(
     r"|(?:begin forwarded message|anfang der weitergeleiteten (?:nachricht|e-?mail)|début du message (?:réexpédié|transféré)|inicio del mensaje reenviado)\s*:?)\s*$",
     re.I,
 )
+_CLOSES = re.compile(
+    r"^[ \t]*[-_=*]{0,12}\s*(?:end (?:of )?(?:the )?(?:forwarded|original) (?:message|mail|e-?mail)|ende der (?:weitergeleiteten|ursprünglichen) (?:nachricht|e-?mail)|fin du message (?:transféré|réexpédié|d['’]origine)|fin del mensaje (?:reenviado|original))\s*[-_=*]{0,12}[ \t]*$",
+    re.I,
+)
 HEADER = re.compile(r"^[ \t]*\*{0,2}(from|sent|date|to|cc|subject|reply-to|von|gesendet|datum|an|betreff|de|envoyé|date d['’]envoi|à|objet|enviado(?: el)?|fecha|para|asunto|desde)\*{0,2}\s?:\*{0,2}\s*\S?", re.I)
 FROM = {"from", "von", "de", "desde"}
 CLOSING = re.compile(
@@ -53,7 +61,7 @@ DEVICE = re.compile(
     r"^[ \t]*(?:sent (?:from|via|with|using) (?:my|an?|the) \w+.{0,40}|sent from (?:mail|outlook|\w+ for \w+).{0,30}|get (?:the )?\w+(?: app)?(?: for \w+)?|von (?:unterwegs|meinem \w+|mobil)\b.{0,30}gesendet.{0,30}|gesendet (?:von|mit) .{1,40}|diese nachricht wurde von .{1,40} gesendet|envoyé (?:de|depuis|à partir de) (?:mon|ma|un|une) .{1,40}|enviado (?:desde|con) (?:mi|un|una) .{1,40})[ \t]*\.?[ \t]*$",
     re.I,
 )
-_NOT_DEVICE = re.compile(r"\b(?:annex|courier|archive|room|store|desk|office|depot|box|arrives?|noon|keller|archiv|bureau|oficina|sótano)\b", re.I)
+_EXCUSE = re.compile(r",\s*(?:please|so please|excuse|sorry|apologies|forgive|bitte|entschuldig|sorry|désolé|merci de|excusez|pardon|disculp|perdon)", re.I)
 CONTACT = re.compile(r"^[ \t]*(?:(?:e|m|t|f|w|p|tel|phone|mobile|mobil|cell|fax|office|direct|mail|e-?mail|web|tél|móvil|teléfono|telefon|büro|correo)\s?[.:]|phone\b|\+?[\d(][\d ()./-]{5,}\d\s*$|\S+@\S+\w\s*$|(?:https?://|www\.)\S+\s*$)", re.I)
 LEGAL = re.compile(
     r"registered (?:office|number|in )|company (?:number|registration)|handelsregister|registergericht|siège social|domicilio social|registro mercantil|for its recipient alone|meant only for the|intended (?:solely|only|exclusively|recipient)|(?:may|might) be privileged|(?:may|might) (?:hold|contain|include) (?:protected|confidential|privileged|legally)|reached you (?:by mistake|in error)|received (?:it|this[\w -]{1,20}) (?:in error|by mistake)|delete (?:every copy|all copies|it immediately)|use by others is not permitted|"
@@ -75,20 +83,15 @@ _NAME = re.compile(r"^(?:[-–—/~]\s?)?(?:(?:dr|prof|mr|mrs|ms|herr|frau|mme|m
 
 @dataclass
 class Node:
-    """A piece of a body: its kind and its line numbers (from 1); what it encloses is read when it is asked for."""
+    """A piece of a body: its kind, its line numbers (from 1) and the nodes that it encloses."""
 
     kind: str
     lines: list[int]
-    inner: list[tuple[int, str]] = field(default_factory=list, repr=False)
-    depth: int = 0
-
-    @cached_property
-    def parts(self) -> list[Node]:
-        return parse(self.inner, self.depth + 1) if self.inner and self.depth < MAX_DEPTH else []
+    parts: list[Node] = field(default_factory=list)
 
 
 def _is_name(line: str) -> bool:
-    return len(line) <= 45 and not re.search(r"\w{3,}\.$", line) and not any(c.isdigit() for c in line) and bool(_NAME.match(line)) and not _GREETING.match(line)
+    return not re.search(r"\w{3,}\.$", line) and not any(c.isdigit() for c in line) and bool(_NAME.match(line)) and not _GREETING.match(line)
 
 
 def _tail_kind(line: str) -> str:
@@ -96,7 +99,7 @@ def _tail_kind(line: str) -> str:
     line = line.strip()
     if DELIMITER.match(line):
         return "delimiter"
-    if DEVICE.match(line) and not _NOT_DEVICE.search(line):
+    if DEVICE.match(line) and len(line.split()) <= 8 and ("," not in line or _EXCUSE.search(line)):
         return "device"
     closing = CLOSING.match(line)
     if closing:
@@ -187,16 +190,16 @@ def _written(lines: list[tuple[int, str]], final: bool) -> list[Node]:
     return [Node(kind, own) for kind, own in (("text", text), ("signature", signature), ("notice", legal)) if own]
 
 
-def _header_block(lines: list[tuple[int, str]], at: int) -> bool:
-    """Whether a block of message headers starts here: a sender, and two headers or more."""
-    first = HEADER.match(lines[at][1])
+def _header_block(lines: list[tuple[int, str]], at: int) -> int:
+    """How many lines a block of message headers has that starts here: a sender, and two headers or more; 0 if there is none."""
+    first = HEADER.match(lines[at][1]) if ":" in lines[at][1] else None
     if not first or first[1].lower() not in FROM:
-        return False
-    seen, k = 1, at + 1
-    while k < len(lines) and k < at + 8 and lines[k][1].strip():
-        seen += bool(HEADER.match(lines[k][1]))
-        k += 1
-    return seen >= 2
+        return 0
+    seen, k, off = 1, at + 1, 0
+    while k < len(lines) and lines[k][1].strip() and off < 2:  # a header may go on in the next line
+        header = bool(HEADER.match(lines[k][1]))
+        seen, off, k = seen + header, 0 if header else off + 1, k + 1
+    return k - off - at if seen >= 2 else 0
 
 
 def _intro(lines: list[tuple[int, str]], at: int) -> int:
@@ -222,71 +225,136 @@ def _intro(lines: list[tuple[int, str]], at: int) -> int:
     return 0
 
 
-def parse(lines: list[tuple[int, str]], depth: int = 0) -> list[Node]:
-    """The nodes of a body, given as numbered lines."""
-    nodes: list[Node] = []
+_OPENERS = frozenset("-_=*bBaAdDiI")
+
+
+def _opens(lines: list[tuple[int, str]], at: int) -> int:
+    """How many lines open a forwarded message here; 0 if none does."""
+    line = lines[at][1]
+    if line.lstrip()[:1] in _OPENERS and SEPARATOR.match(line):
+        return 1
+    if ":" in line or "：" in line:
+        size = _header_block(lines, at)
+        if size:
+            return size
+    if DELIMITER.match(line) and at + 1 < len(lines):
+        size = _header_block(lines, at + 1)
+        if size:
+            return 1 + size
+    if line.strip() and (":" in line or "：" in line or (at + 1 < len(lines) and ":" in lines[at + 1][1])):
+        for size in (1, 2):
+            joined = " ".join(x.strip() for _, x in lines[at : at + size])
+            if joined[-1:] in "::" and STRONG.match(joined):
+                ahead = at + size
+                while ahead < len(lines) and not lines[ahead][1].strip():
+                    ahead += 1
+                # Followed by prefixed lines it only introduces those.
+                return size if ahead < len(lines) and not PREFIX.match(lines[ahead][1]) else 0
+    return 0
+
+
+def _prefixed_end(lines: list[tuple[int, str]], at: int) -> int:
+    """Where the run of prefixed lines (and blank ones between them) that starts here ends."""
+    end = at
+    while end < len(lines):
+        if PREFIX.match(lines[end][1]):
+            end += 1
+            continue
+        ahead = end
+        while ahead < len(lines) and not lines[ahead][1].strip():
+            ahead += 1
+        if ahead == end or ahead == len(lines) or not PREFIX.match(lines[ahead][1]):
+            break
+        end = ahead
+    return end
+
+
+def _blocks(lines: list[tuple[int, str]]) -> list[tuple[Node, list[tuple[int, str]]]]:
+    """The blocks of a body in order, each with the lines of what it encloses (of a written block, its own)."""
+    blocks: list[tuple[Node, list[tuple[int, str]]]] = []
     written: list[tuple[int, str]] = []
 
-    def close(final: bool = False) -> None:
+    def close() -> None:
         if any(x.strip() for _, x in written):
-            nodes.extend(_written(list(written), final))
+            blocks.append((Node("written", [n for n, _ in written]), list(written)))
         written.clear()
 
     at = 0
     while at < len(lines):
-        line = lines[at][1]
-        if PREFIX.match(line):
-            size = _intro(lines, at)
+        if PREFIX.match(lines[at][1]):
+            size = _intro(lines, at) if written else 0
             intro = lines[at - size : at] if size else []
             if size:
                 del written[len(written) - size :]
             close()
-            end = at
-            while end < len(lines):
-                if PREFIX.match(lines[end][1]):
-                    end += 1
-                    continue
-                ahead = end
-                while ahead < len(lines) and not lines[ahead][1].strip():
-                    ahead += 1
-                if ahead > end and ahead < len(lines) and PREFIX.match(lines[ahead][1]):
-                    end = ahead
-                    continue
-                break
-            inner = [(n, PREFIX.sub("", x, count=1)) for n, x in lines[at:end]]
-            nodes.append(Node("quoted", [n for n, _ in [*intro, *lines[at:end]]], inner, depth))
+            end = _prefixed_end(lines, at)
+            blocks.append((Node("quoted", [n for n, _ in [*intro, *lines[at:end]]]), [(n, PREFIX.sub("", x, count=1)) for n, x in lines[at:end]]))
             at = end
             continue
-        opens = bool(SEPARATOR.match(line)) or _header_block(lines, at)
-        rest = at + 1
-        if not opens and DELIMITER.match(line) and at + 1 < len(lines) and _header_block(lines, at + 1):
-            opens = True
-        if not opens and (":" in line or "：" in line or (at + 1 < len(lines) and ":" in lines[at + 1][1])) and line.strip():
-            for size in (1, 2):
-                joined = " ".join(x.strip() for _, x in lines[at : at + size])
-                if STRONG.match(joined):
-                    ahead = at + size
-                    while ahead < len(lines) and not lines[ahead][1].strip():
-                        ahead += 1
-                    # Followed by prefixed lines it only introduces those.
-                    if ahead < len(lines) and not PREFIX.match(lines[ahead][1]):
-                        opens, rest = True, at + size
-                    break
-        if opens:
-            close()
-            nodes.append(Node("forwarded", [n for n, _ in lines[at:]], lines[rest:], depth))
-            return nodes
-        written.append(lines[at])
-        at += 1
-    close(final=True)
-    return nodes
+        size = _opens(lines, at)
+        if not size:
+            written.append(lines[at])
+            at += 1
+            continue
+        close()
+        before = any(node.kind == "written" for node, _ in blocks)
+        start = body = at + size
+        while body < len(lines) and not lines[body][1].strip():
+            body += 1
+        if not before and body < len(lines) and PREFIX.match(lines[body][1]):
+            end = stop = _prefixed_end(lines, body)
+        else:
+            stop = next((k for k in range(start, len(lines)) if _CLOSES.match(lines[k][1])), len(lines))
+            end = min(len(lines), stop + 1)
+        blocks.append((Node("forwarded", [n for n, _ in lines[at:end]]), lines[start:stop]))
+        at = end
+    close()
+    return blocks
+
+
+def parse(lines: list[tuple[int, str]], whole: bool = False) -> list[Node]:
+    """The nodes of a body, given as numbered lines, with all that they enclose.
+
+    Written blocks become text, signature and notice nodes in the outermost body, and with
+    `whole` in every body. Bodies wait on a list, so that no depth of nesting is too deep.
+    """
+    top: list[Node] = []
+    waiting = [(lines, top, True)]
+    while waiting:
+        own, out, outer = waiting.pop()
+        blocks = _blocks(own)
+        for k, (node, inner) in enumerate(blocks):
+            if node.kind != "written":
+                out.append(node)
+                waiting.append((inner, node.parts, False))
+            elif outer or whole:
+                out.extend(_written(inner, k == len(blocks) - 1))
+            else:
+                out.append(node)
+    return top
+
+
+def serialised(nodes: list[Node]) -> set[int]:
+    """The lines of the newly written nodes: text that nothing encloses."""
+    return {n for node in nodes if node.kind == "text" for n in node.lines}
+
+
+def flattened(nodes: list[Node]) -> list[tuple[int, str, int, int]]:
+    """Every node as (depth, kind, first line, number of lines), in the order of its first line."""
+    out = []
+    waiting = [(node, 0) for node in nodes]
+    while waiting:
+        node, depth = waiting.pop()
+        out.append((depth, node.kind, node.lines[0], len(node.lines)))
+        waiting.extend((part, depth + 1) for part in node.parts)
+    return sorted(out, key=lambda x: (x[2], x[0], x[1]))
 
 
 def split_body(body: str) -> tuple[list[int], str]:
     """Numbers of the lines that aren't newly written (blank ones aside), and the newly written text."""
     raw = body.split("\n")
     lines = [(k, x.rstrip("\r")) for k, x in enumerate(raw, 1)]
-    kept = {n for node in parse(lines) if node.kind == "text" for n in node.lines}
+    kept = serialised(parse(lines))
     other = [n for n, x in lines if x.strip() and n not in kept]
     text = "\n".join(x.rstrip() for n, x in lines if n in kept or not x.strip())
     return other, re.sub(r"\n{3,}", "\n\n", text).strip("\n")
@@ -308,3 +376,20 @@ def newly_written(df: DataFrame, email_id: str, body: str) -> DataFrame:
             yield pd.DataFrame({"_id": batch["_id"], "other_lines": [a for a, _ in both], "new_text": [t for _, t in both]})
 
     return own.mapInPandas(run, f"_id {kind}, other_lines array<int>, new_text string").withColumnRenamed("_id", email_id)
+
+
+def layout(df: DataFrame, email_id: str, body: str) -> DataFrame:
+    """The whole tree of each body, a row per node: `email_id`, `depth` (0 outermost), `node_kind`, `first_line`, `n_lines`.
+
+    Kinds are text, signature, notice, quoted and forwarded. Null and empty bodies have no
+    nodes; rows repeated count by themselves; extra columns are dropped.
+    """
+    own = df.select(F.col(f"`{email_id}`").alias("_id"), F.col(f"`{body}`").alias("_body")).where("_body <> ''")
+    kind = own.schema["_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(key, *node) for key, text in zip(batch["_id"], batch["_body"]) for node in flattened(parse([(k, x.rstrip("\r")) for k, x in enumerate(text.split("\n"), 1)], whole=True))]
+            yield pd.DataFrame(rows, columns=["_id", "depth", "node_kind", "first_line", "n_lines"])
+
+    return own.mapInPandas(run, f"_id {kind}, depth int, node_kind string, first_line int, n_lines int").withColumnRenamed("_id", email_id)
