@@ -40,3 +40,20 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each oversized text with the level at which it can be cut, as its first piece tells."""
     return p2_pieces(spark, sf_dir).where("piece_no = 1").select("item_table", "item_id", "cut_level")
+
+
+@REGISTRY.add(
+    "p2_rejoined",
+    sql="""
+    SELECT 'chunks' AS item_table, chunk_id AS item_id, md5(text) AS digest, true AS fits FROM chunks WHERE octet_length(encode(text)) > 4096
+    UNION ALL SELECT 'entries', entry_id, md5(text), true FROM entries WHERE octet_length(encode(text)) > 4096
+    """,
+)
+def p2_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of each text joined again without their overlaps, and whether all are within the limit and overlap by 300 characters at most."""
+    own = p2_pieces(spark, sf_dir)
+    parts = own.groupBy("item_table", "item_id").agg(
+        F.array_sort(F.collect_list(F.struct("piece_no", F.expr("substring(text, overlap_chars + 1)").alias("new")))).alias("parts"),
+        F.bool_and((F.octet_length("text") <= 4096) & (F.col("overlap_chars") <= 300)).alias("fits"),
+    )  # one row per text, of its own pieces
+    return parts.select("item_table", "item_id", F.md5(F.array_join(F.col("parts.new"), "")).alias("digest"), "fits")

@@ -1,20 +1,23 @@
 """Oversized texts in pieces that end at natural boundaries and overlap.
 
 Boundaries have levels: paragraph (a form feed, or a line break before a blank line),
-line, sentence (white space after . ! ?), word (white space) and, last, any character.
+line, sentence (white space after . ! ?), word (white space) and, inside words that are
+themselves too large, any character. The table has an entry per boundary of a text.
 The farthest legal successor of a boundary is the last boundary of the strongest level
 within the limit, counted from where a piece that starts there begins its overlap.
 The successors of all boundaries are found at once (a merge join of sorted offsets),
 and squaring the successor table - each entry followed by itself, so that it leaps
 1, 2, 4, ... cuts - gives all greedy cuts in a number of rounds that is the logarithm
-of the number of pieces. The table belongs to one text and lives in arrays; no row is
-shuffled. Texts within the limit never leave the JVM.
+of the number of pieces. The level at which a text can be cut is told by the same
+squaring: it is the first whose own successor table leads from the start to the end.
+The table belongs to one text and lives in arrays; no row is shuffled. Texts within the
+limit never leave the JVM.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,35 +36,65 @@ _ENDS = {
 }
 
 
-def _offsets(text: str) -> np.ndarray:
-    """UTF-8 bytes before each character, and in all."""
+def _measure(text: str) -> Callable[[np.ndarray], np.ndarray]:
+    """Tells the UTF-8 bytes before given characters."""
     if text.isascii():
-        return np.arange(len(text) + 1, dtype=np.int64)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    sizes = 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
-    return np.concatenate([[0], np.cumsum(sizes)])
+        return lambda at: at
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    leads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    return lambda at: leads[at]
 
 
-def _levels(text: str) -> list[np.ndarray]:
-    """Per level, where segments end (after the separator): each level holds the ones above it."""
-    found, known = [], np.zeros(0, dtype=np.int64)
-    for level in LEVELS[:-1]:
-        ends = np.fromiter((m.end() for m in _ENDS[level].finditer(text)), dtype=np.int64)
-        known = np.union1d(known, ends)
-        found.append(known)
-    return found
-
-
-def _stripped(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """For each offset, the next offset that isn't white space, and the end of the last character before it that isn't."""
+def _boundaries(text: str, limit: int, measure: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where segments end (after the separator), with the start and the end of the text, and the strongest level of each."""
     n = len(text)
-    solid = np.ones(n, dtype=bool)
-    for m in _ENDS["word"].finditer(text):
-        solid[m.start() : m.end()] = False
-    at = np.where(solid, np.arange(n), n)
-    ahead = np.append(np.minimum.accumulate(at[::-1])[::-1] if n else at, n)
-    back = np.maximum.accumulate(np.concatenate([[0], np.where(solid, np.arange(1, n + 1), 0)]))
-    return ahead, back
+    at, level = np.array([0, n], dtype=np.int64), np.array([0, 0], dtype=np.int8)
+    for k, name in enumerate(LEVELS[:-1]):
+        ends = np.fromiter((m.end() for m in _ENDS[name].finditer(text)), dtype=np.int64)
+        ends = np.setdiff1d(ends, at)
+        at, level = np.concatenate([at, ends]), np.concatenate([level, np.full(len(ends), k, dtype=np.int8)])
+        order = np.argsort(at, kind="stable")
+        at, level = at[order], level[order]
+    size = measure(at)
+    wide = np.flatnonzero(np.diff(size) > limit)
+    if len(wide):
+        inside = np.concatenate([np.arange(at[k] + 1, at[k + 1]) for k in wide])
+        at, level = np.concatenate([at, inside]), np.concatenate([level, np.full(len(inside), len(LEVELS) - 1, dtype=np.int8)])
+        order = np.argsort(at, kind="stable")
+        at, level = at[order], level[order]
+    if n == 0:
+        return at[:1], level[:1]
+    return at, level
+
+
+def _leads_through(successor: np.ndarray) -> bool:
+    """Whether a table of successors (itself where there is none) leads from its first entry to its last."""
+    end, leap, reach = len(successor) - 1, successor, 1
+    while leap[0] < end and reach < end:
+        leap, reach = leap[leap], reach * 2
+    return bool(leap[0] == end)
+
+
+def _cut_level(text: str, at: np.ndarray, level: np.ndarray, limit: int, measure: Callable[[np.ndarray], np.ndarray]) -> str:
+    """The first level whose segments, without outer white space, are all within the limit."""
+    blanks = np.array([m.span() for m in _ENDS["word"].finditer(text)], dtype=np.int64).reshape(-1, 2)
+    for k, name in enumerate(LEVELS[:-1]):
+        own = at[level <= k]
+        ahead, back = own, own
+        if len(blanks):
+            run = np.searchsorted(blanks[:, 0], own, side="right") - 1
+            ahead = np.where((run >= 0) & (own < blanks[run, 1]), blanks[run, 1], own)
+            run = np.searchsorted(blanks[:, 1], own, side="left")
+            inside = np.minimum(run, len(blanks) - 1)
+            back = np.where((run < len(blanks)) & (own > blanks[inside, 0]), blanks[inside, 0], own)
+        ahead, back = measure(ahead), measure(back)
+        here = np.arange(len(own))
+        successor = np.maximum(here, np.searchsorted(back, ahead + limit, side="right") - 1)
+        # A segment of white space alone is within any limit.
+        successor = np.maximum(successor, np.where(np.append(back[1:], 0) <= ahead, np.minimum(here + 1, len(own) - 1), 0))
+        if _leads_through(successor):
+            return name
+    return LEVELS[-1]
 
 
 def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str, list[tuple[int, int, int]]]:
@@ -73,43 +106,34 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str, l
     down where it would leave a new part less than half the room.
     """
     n, limit = len(text), max(4, limit)
-    size = _offsets(text)
-    levels = _levels(text)
-    ahead, back = _stripped(text)
-    cut_level = LEVELS[-1]
-    for name, ends in zip(LEVELS, levels):
-        edges = np.concatenate([[0], ends, [n]])
-        a, b = ahead[edges[:-1]], back[edges[1:]]
-        if (size[np.maximum(a, b)] - size[a]).max(initial=0) <= limit:
-            cut_level = name
-            break
-    if size[n] <= limit:
+    measure = _measure(text)
+    at, level = _boundaries(text, limit, measure)
+    cut_level = _cut_level(text, at, level, limit, measure)
+    size = measure(at)
+    end = len(at) - 1
+    if size[end] <= limit:
         return cut_level, [(0, 0, n)]
     # Where the piece that follows a cut begins: up to `overlap` characters before it, at the start of a word.
-    here = np.arange(n + 1)
-    words = np.concatenate([[0], levels[3], [n]])
-    least = np.maximum(0, here - overlap)
-    least = np.maximum(least, np.searchsorted(size, size - limit // 2))
+    here = np.arange(len(at))
+    least = np.maximum(np.searchsorted(at, at - overlap), np.searchsorted(size, size - limit // 2))
+    words = np.flatnonzero(level < len(LEVELS) - 1)
     start = words[np.minimum(np.searchsorted(words, least), len(words) - 1)]
-    start = np.where(start < here, start, np.where(start == here, here, least))
-    start = np.minimum(start, here)
-    start = np.where(size[np.minimum(here + 1, n)] - size[start] > limit, here, start)
+    start = np.minimum(np.where(start <= here, start, least), here)
+    start = np.where(size[np.minimum(here + 1, end)] - size[start] > limit, here, start)
     reach = np.searchsorted(size, size[start] + limit, side="right") - 1
     # The farthest boundary of the strongest level that lies beyond the cut and uses a fair part of the room.
     step = reach.copy()
-    for ends in reversed(levels):
-        if len(ends):
-            last = ends[np.maximum(0, np.searchsorted(ends, reach, side="right") - 1)]
-            fair = (last > here) & (last <= reach) & (size[np.minimum(last, n)] - size[here] >= limit // 4)
-            step = np.where(fair, last, step)
-    step = np.where(reach >= n, n, np.maximum(step, np.minimum(here + 1, n)))
+    for k in reversed(range(len(LEVELS) - 1)):
+        own = np.flatnonzero(level <= k)
+        last = own[np.maximum(0, np.searchsorted(own, reach, side="right") - 1)]
+        step = np.where((last > here) & (size[last] - size[here] >= limit // 4), last, step)
+    step = np.where(reach >= end, end, step)
     # Squaring: `marked` holds the cuts found; each round adds those as many cuts further as all rounds before.
     marked, leap = np.zeros(1, dtype=np.int64), step
-    while marked[-1] < n:
+    while marked[-1] < end:
         marked = np.union1d(marked, leap[marked])
         leap = leap[leap]
-    cuts = marked
-    return cut_level, [(int(start[a]) if a else 0, int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:])]
+    return cut_level, [(int(at[start[a]]) if a else 0, int(at[a]), int(at[b])) for a, b in zip(marked[:-1], marked[1:])]
 
 
 def page_ranges(text: str, pieces: list[tuple[int, int, int]], first: float | None, last: float | None) -> list[tuple[int | None, int | None]]:

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from paperloom.llm.splitting import page_ranges, pieces, split
+from paperloom.llm.splitting import _ENDS, page_ranges, pieces, split
 
 
 def level_of(text, limit):
@@ -45,12 +45,39 @@ def test_ends_at_pauses_and_overlaps():
     assert len(check("word " * 300_000, 4096, 300)) > 300
 
 
-def test_greedy_is_the_same_as_step_by_step():
-    rnd = random.Random(1)
-    text = " ".join("".join(rnd.choices("abc.", k=rnd.randrange(1, 9))) for _ in range(3000))
-    whole = check(text, 200, 20)
-    _, rest = split(text, 200, 20)
-    assert whole == rest and [a for _, a, _ in whole][1:] == [b for _, _, b in whole][:-1]
+def greedy(text, limit, overlap):
+    """Cut by cut, without a table: the farthest boundary of the strongest level within the limit."""
+    ends = {k: sorted({m.end() for m in p.finditer(text)}) for k, p in _ENDS.items()}
+    size = lambda a, b: len(text[a:b].encode())
+    words = sorted({0, len(text), *ends["paragraph"], *ends["line"], *ends["sentence"], *ends["word"]})
+    cut, out = 0, []
+    while cut < len(text):
+        begins = [w for w in words if cut - overlap <= w <= cut and size(w, cut) <= limit // 2]
+        begin = begins[0] if cut and begins else cut
+        after = next(w for w in words if w > cut)
+        if size(begin, after) > limit:
+            begin = cut
+        if size(begin, len(text)) <= limit:
+            best = len(text)
+        else:
+            best = max(w for w in words if w > cut and size(begin, w) <= limit)
+            level = []
+            for k in ("paragraph", "line", "sentence", "word"):
+                level = sorted({*level, *ends[k]})
+                fits = [e for e in level if e > cut and size(begin, e) <= limit and size(cut, e) >= limit // 4]
+                if fits:
+                    best = fits[-1]
+                    break
+        out.append((begin, cut, best))
+        cut = best
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_squaring_is_the_same_as_cut_by_cut(seed):
+    rnd = random.Random(seed)
+    text = "".join("".join(rnd.choices("abcé.", k=rnd.randrange(1, 9))) + rnd.choice([" ", " ", " ", "\n", "\n\n"]) for _ in range(500))
+    assert check(text, 200, 20) == greedy(text, 200, 20)
 
 
 def test_pages():
