@@ -3,8 +3,9 @@
 Regular expressions propose spans; checksums (mod 97 for bank accounts, mod 23 for
 Spanish identity numbers, Luhn for cards) confirm or refuse them; words nearby raise or
 lower the score; spans at or above `THRESHOLD` stand. Names are proposed by a lexicon of
-given names and surnames that is gathered from the senders and the people named in the
-tables themselves, with surnames closed over the stems and endings they share.
+given names and surnames. It is gathered from the senders and the people named in the
+tables, and its surnames also from the texts themselves: a word that stands in capitals
+beside a given name, at least twice and hardly ever in lower case.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 from paperloom.session import cut_lineage
 
 THRESHOLD = 0.6
-#: Name words of a kind up to which the lexicon is broadcast (some 3 MB at this size); beyond, the texts' words are joined to it.
+#: How often a word of the texts must stand beside a given name to be a surname, and how many times as often as in lower case.
+LEAST_BESIDE = 2
+OVER_LOWER = 4
+#: Name words up to which the lexicon is broadcast (some 3 MB at this size); beyond, the texts' words are joined to it.
 MAX_NAMES = 100_000
 KINDS = ("email", "identity", "phone", "address", "name")
 
@@ -87,6 +90,11 @@ _ADDRESS_GATES = {
 #: Capitalised words after "Am", "Im" and the like that name no street.
 _NO_STREET = re.compile(r"^(?:Am|Im|In|An|Auf|Zum|Zur|Vor|Unter|Hinter)\s(?:der\s|den\s|dem\s)?(?:Montag|Dienstag|Mittwoch|Donnerstag|Freitag|Samstag|Sonntag|Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahr|Frühjahr|Sommer|Herbst|Winter|Raum|Zimmer|Regal|Fach|Seite|Band|Nr|Quartal\w*|Kapitel|Abschnitt|Tag|Ende|Anfang)\b")
 
+#: Words before an address that speak of a place, and words around what is none.
+_LIVES = re.compile(r"\b(?:address|adresse|anschrift|dirección|domicile|domicilio|lives?|living|wohnt|wohnhaft|habite|vive|at|to|in|an|au|à|en|bei|chez|deliver\w*|send|sent|ship\w*|visit|office|büro|bureau|oficina|entrance|eingang)\b[\s:,]*(?:\w+\s)?$", re.I)
+_NO_PLACE = re.compile(r"\b(?:chapter|kapitel|chapitre|capítulo|page|seite|version|volume|band|tome|figure|table|tabelle|line|zeile|ligne|item|ticket|order)\b[\s:.]*$", re.I)
+_A_THING = re.compile(r"^\s(?:folder|file|box|map|photograph|picture|series|album|ordner|akte|karte|dossier|carte|carpeta|mapa)\b", re.I)
+
 _PARTICLE = r"(?:von|van|de|der|den|di|da|du|la|le|del|della|zu|zur|af|el|ter|ten|dos|y)"
 _TITLE = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Herrn|Frau|Mme|Mlle|M|Monsieur|Madame|Sr|Sra|Señor|Señora|Don|Doña)\.?\s+)$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -100,6 +108,8 @@ _NO_GIVEN = re.compile(
     r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Professor|Herr|Herrn|Frau|Mme|Mlle|Monsieur|Madame|Señora?|Don|Doña|Hi|Hello|Hey|Dear|Hallo|Liebe[rs]?|Salut|Bonjour|Chère?|Hola|Estimad[oa]|Querid[oa]|Cheers|Thanks|Regards|Quoting|From|Von|Desde|And|Und|The|Der|Die|Das|Les|Los|Las|Una?|Ask|Call|Team|Family|Familie|Famille|Familia|Gruß|Grüßen?|Saludos?|Cordialement|Atentamente|Journée|Morning|Tag|Días|Am|On|El|Le|La|Van|De|Del|Den|Di|Sent|To|An|Para|Cc)"
 )
 _SIGNED = re.compile(rf"^{_SP}(?:hat{_S}unterschrieben|a{_S}signé|firmó|signed|gave|who|wrote|schrieb|escribió|a{_S}écrit|says|said|asked|collected|called)\b")
+#: What follows a name that is part of a company's, an institution's or a street's.
+_NO_PERSON = re.compile(rf"^(?:[ \u00a0](?:&|and|und|et|y)[ \u00a0](?:Co|Sons|Söhne|Fils|Hijos|Partners?|Partner|Cie)\b|,?[ \u00a0](?:GmbH|AG|KG|OHG|Ltd|Limited|LLC|LLP|Inc|Corp|Corporation|Company|plc|S\.?A\.?R?\.?L?\.?|S\.?L\.?|Stiftung|Foundation|Verlag|Holding|Bros)\b|[ \u00a0-](?:Street|Road|Lane|Avenue|Straße|Strasse|Platz|Weg|Allee)\b)")
 _ALONE = re.compile(r"(?:[ \t]*(?:>|\||[A-Z]{2,3}>))*[ \t]*[-–—/~]?[ \t]*(?:(?:\w+,? ){1,3})?")
 _BEFORE = re.compile(r"(?:\b(?:hi|hello|hey|dear|hallo|liebe|lieber|liebe\(r\)|sehr geehrte[rs]?|salut|bonjour|cher|chère|hola|estimad[oa]|querid[oa]|(?:good|guten|buen[ao]?s) \w+|cheers|regards|thanks|wishes|br|mfg|grüßen?|saludos?|journée|vous|atentamente|cordialement|sincerely|for|by|from|to|with|reach|ist|est|de|pidió|von|ask for|quoting)[,:]?\s*[-–—]?\s*|^[-–—/]\s?)$", re.I)
 
@@ -122,75 +132,32 @@ class Lexicon:
     #: Given names that are words of a language too.
     common: frozenset[str] = frozenset("will mark rose grace faith hope joy may april june august dawn frank bill jack art ray rich victor sunny star angel luz rosa paz sol mar clara alma marta pia chance summer autumn ivy daisy lily olive iris violet heather basil max miles reed skip drew grant chase penny holly robin dean earl guy gene pat sue sandy terry nick rob bob dick harry jean martin laurent blanche reine fleur aurore constance prudence victoire felix milan rafa otto".split())
     all: frozenset[str] = field(default_factory=frozenset)
-    #: Surnames' shared beginnings and endings, each union of which is a surname, but for the words in `never`.
-    stems: frozenset[str] = frozenset()
-    ends: frozenset[str] = frozenset()
-    never: frozenset[str] = frozenset()
-    #: Whether a word is a union: words that were asked for, some at a time.
-    asked: dict[str, bool] = field(default_factory=dict, repr=False)
-    #: Of a lexicon too large to be broadcast: words (`word`, `given`, `family`), stems (`stem`) and endings (`end`).
-    tables: tuple[DataFrame, DataFrame, DataFrame] | None = None
+    #: A lexicon too large to be broadcast: `word`, `given`, `family`.
+    table: DataFrame | None = None
 
     def __post_init__(self) -> None:
         self.all = self.given | self.surnames
 
-    def is_union(self, word: str) -> bool:
-        known = self.asked.get(word)
-        if known is None:
-            known = any(word[:k] in self.stems and word[k:] in self.ends for k in range(3, len(word) - 1)) and word not in self.given and word not in self.never
-            if len(self.asked) >= 200_000:
-                self.asked.clear()
-            self.asked[word] = known
-        return known
-
-    def is_family(self, word: str) -> bool:
-        return word in self.surnames or (bool(self.stems) and self.is_union(word))
-
     def is_surname(self, word: str) -> bool:
-        return self.is_family(word) or ("-" in word and all(map(self.is_family, word.split("-"))))
+        return word in self.surnames or ("-" in word and all(p in self.surnames for p in word.split("-")))
 
     def name_words(self, low: str) -> set[str]:
         """The letter runs of a text in lower case that are names, or parts of names with an apostrophe or a hyphen."""
-        runs = set(_LETTERS.findall(low))
-        words = runs & self.all
-        if self.stems:
-            words |= {w for w in runs - words if self.is_union(w)}
+        words = self.all.intersection(_LETTERS.findall(low))
         for whole in set(_JOINED.findall(low)):
             for word in (whole, whole[:-2]) if whole.endswith(("'s", "’s")) else (whole,):
                 for part in (word, *word.split("-")):
-                    if part in self.given or self.is_family(part):
-                        words.update(_LETTERS.findall(part))
-        return words
-
-
-class Surnames(NamedTuple):
-    """Surnames with all unions of a stem and an ending."""
-
-    words: frozenset[str]
-    stems: frozenset[str]
-    ends: frozenset[str]
+                    if part in self.all:
+                        words |= frozenset(_LETTERS.findall(part))
+        return set(words)
 
-    def __contains__(self, word: object) -> bool:
-        return word in self.words or any(word[:k] in self.stems and word[k:] in self.ends for k in range(3, len(word) - 1))
 
+#: Countries of the public register of bank account numbers, whose numbers have two check digits.
+IBAN_COUNTRIES = frozenset("AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SD SE SI SK SM ST SV TL TN TR UA VA VG XK".split())
+#: A Spanish number that is called so counts even if its letter was written wrong.
+_LABELLED = re.compile(r"\b(?:dni|nie|nif)\b[^.!?\d]{0,40}$", re.I)
 
-def close_surnames(surnames: Counter) -> Surnames:
-    """Surnames with the stems and the endings that each occur in several of them; the unions are tested at lookup, whatever their number."""
-    words = [w for w in surnames if len(w) >= 5 and "-" not in w]
-    by_end: Counter = Counter()
-    by_stem: Counter = Counter()
-    for w in words:
-        for k in range(3, len(w) - 1):
-            by_stem[w[:k]] += 1
-            by_end[w[k:]] += 1
-    stems: set[str] = set()
-    ends: set[str] = set()
-    for w in words:
-        best = max(range(3, len(w) - 1), key=lambda k: min(by_stem[w[:k]], by_end[w[k:]]), default=0)
-        if best and by_stem[w[:best]] >= 4 and by_end[w[best:]] >= 4:
-            stems.add(w[:best])
-            ends.add(w[best:])
-    return Surnames(frozenset(surnames), frozenset(stems), frozenset(ends))
+_LABEL_AFTER = re.compile(rf"{_SP}?\(?(?:dni|nie|nif)\b", re.I)
 
 
 def _iban(text: str) -> bool:
@@ -260,7 +227,10 @@ def _numbers(text: str) -> list[tuple[str, int, int, float]]:
             if _luhn(re.sub(r"\D", "", x[0])):
                 found.append(("identity", *x.span(), 0.5 + 0.3 * _near(text, *x.span(), _ID_NEAR)))
         for x in _SPANISH.finditer(text, low, high):
-            found.append(("identity", *x.span(), 0.45 + 0.3 * _spanish(x[0]) + 0.2 * _near(text, *x.span(), _ID_NEAR)))
+            if _spanish(x[0]):
+                found.append(("identity", *x.span(), 0.75 + 0.2 * _near(text, *x.span(), _ID_NEAR)))
+            else:
+                found.append(("identity", *x.span(), 0.1 + 0.5 * bool(_LABELLED.search(text[max(0, x.start() - 60) : x.start()]) or _LABEL_AFTER.match(text, x.end(), x.end() + 24))))
         for pattern, base in PHONES:
             for x in pattern.finditer(text, low, high):
                 before = text[max(0, x.start() - 30) : x.start()]
@@ -273,7 +243,9 @@ def _numbers(text: str) -> list[tuple[str, int, int, float]]:
 def _lettered(text: str) -> list[tuple[str, int, int, float]]:
     found = []
     for m in _IBAN.finditer(text):
-        found.append(("identity", *m.span(), 0.4 + 0.5 * _iban(m[0]) + 0.25 * _near(text, *m.span(), _ID_NEAR)))
+        # Where no check digits are known, words nearby decide.
+        score = 0.9 if _iban(m[0]) else 0.1 if m[0][:2] in IBAN_COUNTRIES else 0.4
+        found.append(("identity", *m.span(), score + 0.25 * _near(text, *m.span(), _ID_NEAR)))
     for m in _BRITISH.finditer(text):
         found.append(("identity", *m.span(), 0.4 + 0.3 * _near(text, *m.span(), _ID_NEAR)))
     for m in _PASSPORT.finditer(text):
@@ -378,7 +350,9 @@ def _names(text: str, low_text: str, words: set[str], lexicon: Lexicon, taken: l
             if ok and (m := re.match(r"-[A-Za-z]", follows)):
                 ok = False
         if ok:
-            found.append(("name", start, end, 0.8))
+            lead, follows = text[max(0, start - 60) : start], text[end : end + 40]
+            score = (0.8 if solid else 0.65) + 0.1 * bool(_TITLE.search(lead[-12:])) + 0.1 * bool(_BEFORE.search(lead)) + 0.1 * bool(_SIGNED.match(follows)) - 0.5 * bool(_NO_PERSON.match(follows))
+            found.append(("name", start, end, score))
         k = last + 1
     return found
 
@@ -398,7 +372,9 @@ def detect(text: str, lexicon: Lexicon) -> list[tuple[str, int, int]]:
         if any(k in text for k in keys):
             for m in ADDRESSES[kind].finditer(text):
                 if kind != "de" or not _NO_STREET.match(m[0]):
-                    proposed.append(("address", *m.span(), 0.7))
+                    before, after = text[max(0, m.start() - 40) : m.start()], text[m.end() : m.end() + 24]
+                    score = 0.62 + 0.15 * ("," in m[0]) + 0.15 * bool(_LIVES.search(before)) - 0.3 * bool(_NO_PLACE.search(before) or _A_THING.match(after))
+                    proposed.append(("address", *m.span(), score))
     proposed = [p for p in proposed if p[3] >= THRESHOLD]
     proposed.sort(key=lambda p: (KINDS.index(p[0]), p[1] - p[2], p[1]))
     kept: list[tuple[str, int, int]] = []
@@ -409,7 +385,7 @@ def detect(text: str, lexicon: Lexicon) -> list[tuple[str, int, int]]:
             kept.append((kind, a, b))
     words = lexicon.name_words(low)
     if words:
-        kept += [(kind, a, b) for kind, a, b, _ in _names(text, low, words, lexicon, taken)]
+        kept += [(kind, a, b) for kind, a, b, score in _names(text, low, words, lexicon, taken) if score >= THRESHOLD]
     return sorted(kept, key=lambda x: x[1])
 
 
@@ -426,26 +402,34 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 DROP = frozenset({"scan", "desk", "team", "office", "service", "archive", "archiv", "support", "info", "records", "room"})
 
 
-def _cuts(words: DataFrame) -> DataFrame:
-    """Each `word` with its cuts into `stem` and `end`."""
-    cuts = words.where(F.length("word") >= 5).withColumn("k", F.explode(F.sequence(F.lit(3), F.length("word") - 2)))
-    return cuts.withColumns({"stem": F.expr("left(word, k)"), "end": F.expr("substring(word, k + 1)")})
+_BIGRAM = re.compile(rf"(?<![\w.-])([^\W\d_a-zß-ÿ][^\W\d_]+)(?:{_GAP}(?:{_PARTICLE}{_GAP}){{0,2}}|(?P<comma>, ))([^\W\d_a-zß-ÿ][^\W\d_]{{2,}}(?:-[^\W\d_a-zß-ÿ][^\W\d_]{{2,}})?)(?![\w@-])")
 
 
-def _name_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What `gather_names` and `close_surnames` do, as tables."""
-    fixed = F.col("word").isin(*GIVEN)
-    givens = counts.where("kind = 'given'").select(F.col("w").alias("word"), F.col("n").alias("g"))
-    families = counts.where("kind = 'family'").select(F.explode(F.split("w", "-")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("f"))
-    listed = counts.sparkSession.createDataFrame([(w,) for w in sorted(GIVEN)], "word string")
-    words = givens.join(families, "word", "full").join(listed, "word", "full").fillna(0, ["g", "f"])
-    words = cut_lineage(words.select("word", ((F.col("g") > F.col("f")) | (fixed & (F.col("f") == 0))).alias("given"), ((F.col("f") > 0) & (F.col("f") >= F.col("g"))).alias("family")))
-    cuts = cut_lineage(_cuts(words.where("family AND NOT contains(word, '-')").select("word")))
-    by_stem, by_end = cuts.groupBy("stem").agg(F.count("*").alias("s")), cuts.groupBy("end").agg(F.count("*").alias("e"))
-    best = cuts.join(by_stem, "stem").join(by_end, "end").groupBy("word").agg(F.max_by(F.struct("stem", "end", "s", "e"), F.struct(F.least("s", "e"), -F.col("k"))).alias("b")).select("b.*")
-    best = cut_lineage(best.where("s >= 4 AND e >= 4"))
-    known = words.where(~F.col("word").isin(*DROP))
-    return known, best.select("stem").distinct(), best.select("end").distinct()
+def _beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of capitalised words that stand together, as (name, word) in lower case, and of words in lower case."""
+    for batch in batches:
+        pairs: Counter = Counter()
+        plain: Counter = Counter()
+        for text in batch["_text"]:
+            plain.update(w for w in set(text.split()) if w.islower())
+            at = 0
+            while m := _BIGRAM.search(text, at):
+                first, second = m[1].lower(), m[3].lower()
+                if m["comma"]:
+                    first, second = second, first
+                pairs.update((first, part) for part in second.split("-") if len(part) > 2)
+                at = m.start(3)  # a word may stand between two others
+        rows = [(a, b, n) for (a, b), n in pairs.items()] + [(None, w, n) for w, n in plain.items() if len(w) > 2 and w.isalpha()]
+        yield pd.DataFrame(rows, columns=["name", "word", "n"])
+
+
+def _names_of_texts(texts: DataFrame, given: DataFrame) -> DataFrame:
+    """Surnames (`word`, `f`) that stand beside a name of `given` (`word`) in a column `_text`."""
+    seen = cut_lineage(texts.where("_text <> ''").select("_text").mapInPandas(_beside, "name string, word string, n long"))
+    pairs = seen.where("name IS NOT NULL").groupBy("name", "word").agg(F.sum("n").alias("n"))
+    beside = pairs.join(given.select(F.col("word").alias("name")), "name").groupBy("word").agg(F.sum("n").alias("f")).where(F.col("f") >= LEAST_BESIDE)
+    plain = seen.where("name IS NULL").join(beside.select("word"), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("low"))
+    return beside.join(plain, "word", "left").where(F.coalesce("low", F.lit(0)) * OVER_LOWER <= F.col("f")).select("word", "f")
 
 
 def lookups(low: str) -> set[str]:
@@ -464,22 +448,19 @@ def _lookups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame([(row, w) for row, text in zip(part["_row"], part["_text"]) for w in lookups(text.lower())], columns=["_row", "word"])
 
 
-def _own_names(rows: DataFrame, tables: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+def _own_names(rows: DataFrame, names: DataFrame) -> DataFrame:
     """For each `_row` the arrays `_given` and `_family` of the names in its `_text`."""
-    known, stems, ends = tables
-    tokens = cut_lineage(rows.where("_text <> ''").select("_row", "_text").mapInPandas(_lookups, "_row long, word string"))
-    words = tokens.select("word").distinct()
-    unions = _cuts(words.where(~F.contains("word", F.lit("-")) & ~F.col("word").isin(*DROP))).join(stems, "stem").join(ends, "end").select("word").distinct()
-    unions = unions.join(known.where("given"), "word", "left_anti").select("word", F.lit(False).alias("given"), F.lit(True).alias("family"))
-    names = known.join(words, "word", "left_semi").unionByName(unions)
+    tokens = rows.where("_text <> ''").select("_row", "_text").mapInPandas(_lookups, "_row long, word string")
     return tokens.join(names, "word").groupBy("_row").agg(F.collect_set(F.when(F.col("given"), F.col("word"))).alias("_given"), F.collect_set(F.when(F.col("family"), F.col("word"))).alias("_family"))
 
 
-def gather_names(named: DataFrame, least: int = 1) -> Lexicon:
-    """The lexicon of a column `_name` of display names ('Given Surname <address>', 'Surname, Given', 'Given').
+def gather_names(named: DataFrame, texts: DataFrame | None = None, least: int = 1) -> Lexicon:
+    """The lexicon of a column `_name` of display names ('Given Surname <address>', 'Surname, Given', 'Given')
+    and of a column `_text` of texts that name people.
 
-    The words are counted by Spark. They come to the driver while there are at most MAX_NAMES
-    of each kind; a larger lexicon stays a table.
+    A word that is mostly a surname isn't a given name, and the other way round. All words are
+    counted by Spark. They come to the driver while there are at most MAX_NAMES; a larger
+    lexicon stays a table that the texts' words are joined to, with the same result.
     """
     plain = F.trim(F.regexp_replace(F.regexp_replace("_name", r"<[^>]*>|\([^)]*\)|\"|\S+@\S+", " "), r"\s+", " "))
     own = named.select(plain.alias("n")).where(F.col("n").rlike(r"^[\p{Lu}\p{Ll}][\p{L}'’., -]{1,60}$"))
@@ -491,20 +472,21 @@ def gather_names(named: DataFrame, least: int = 1) -> Lexicon:
     rows = own.select(F.inline(F.array(F.struct(F.lit("given").alias("kind"), F.lower(given).alias("w")), F.struct(F.lit("family").alias("kind"), F.lower(family).alias("w")))))
     rows = rows.where(F.col("w").rlike(r"^\p{L}[\p{L}'’]+(?:-\p{L}+)?$"))
     counts = cut_lineage(rows.groupBy("kind", "w").agg(F.count("*").alias("n")).where(F.col("n") >= least))
-    if any(r["count"] > MAX_NAMES for r in counts.groupBy("kind").count().collect()):
-        return Lexicon(tables=_name_tables(counts))
-    top = {k: counts.where(F.col("kind") == k).collect() for k in ("given", "family")}
-    family_counts: Counter = Counter()
-    for r in top["family"]:
-        for w in r.w.split("-"):
-            family_counts[w] += r.n
-    givens = {r.w: r.n for r in top["given"]}
-    # A word that is mostly a surname isn't a given name, and the other way round.
-    given_set = {w for w, n in givens.items() if n > family_counts.get(w, 0)}
-    family = Counter({w: n for w, n in family_counts.items() if n >= givens.get(w, 0)})
-    closed = close_surnames(family)
-    given_set |= {w for w in GIVEN if w not in family_counts}
-    return Lexicon(frozenset(given_set - DROP), frozenset(set(family) - DROP - given_set), stems=closed.stems, ends=closed.ends, never=frozenset(DROP | given_set))
+    givens = counts.where("kind = 'given'").select(F.col("w").alias("word"), F.col("n").alias("g"))
+    families = counts.where("kind = 'family'").select(F.explode(F.split("w", "-")).alias("word"), F.col("n").alias("f")).groupBy("word").agg(F.sum("f").alias("f"))
+    listed = counts.sparkSession.createDataFrame([(w,) for w in sorted(GIVEN)], "word string")
+    known = givens.join(families, "word", "full").join(listed.withColumn("_listed", F.lit(True)), "word", "full").fillna(0, ["g", "f"])
+    known = cut_lineage(known.select("word", ((F.col("g") > F.col("f")) | (F.col("_listed").isNotNull() & (F.col("f") == 0))).alias("given"), ((F.col("f") > 0) & (F.col("f") >= F.col("g"))).alias("family")))
+    if texts is not None:
+        # Names that are words of a language too say nothing about what stands beside them.
+        sure = known.where(F.col("given") & ~F.col("word").isin(*sorted(Lexicon.common)))
+        new = _names_of_texts(texts, sure).join(known, "word", "left_anti")
+        known = cut_lineage(known.unionByName(new.select("word", F.lit(False).alias("given"), F.lit(True).alias("family"))))
+    known = known.where((F.col("given") | F.col("family")) & ~F.col("word").isin(*sorted(DROP)))
+    if known.count() > MAX_NAMES:
+        return Lexicon(table=known)
+    rows = known.collect()
+    return Lexicon(frozenset(r.word for r in rows if r.given), frozenset(r.word for r in rows if r.family))
 
 
 def mentions(df: DataFrame, keys: list[Column], text: Column, lexicon: Lexicon) -> DataFrame:
@@ -516,12 +498,12 @@ def mentions(df: DataFrame, keys: list[Column], text: Column, lexicon: Lexicon)
     own = df.select(*keys, text.alias("_text"))
     names = own.columns[:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    if lexicon.tables is None:
+    if lexicon.table is None:
         shared = df.sparkSession.sparkContext.broadcast(lexicon)
     else:
         shared = None
         own = cut_lineage(own.withColumn("_row", F.monotonically_increasing_id()))
-        own = own.join(_own_names(own, lexicon.tables), "_row", "left").drop("_row")
+        own = own.join(_own_names(own, lexicon.table), "_row", "left").drop("_row")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

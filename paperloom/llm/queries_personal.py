@@ -12,10 +12,10 @@ from paperloom.session import table
 REGISTRY = Registry()
 
 
-def _lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
+def _lexicon(spark: SparkSession, sf_dir: str, texts: DataFrame) -> Lexicon:
     senders = table(spark, sf_dir, "emails").select(F.explode("from_addrs").alias("_name"))
     people = table(spark, sf_dir, "people").select(F.col("person_name").alias("_name"))
-    return gather_names(senders.unionByName(people))
+    return gather_names(senders.unionByName(people), texts.where("field <> 'from_addrs'").select(F.col("text").alias("_text")))
 
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda df, name, key, field, text: df.select(F.lit(name).alias("src_table"), F.col(key).alias("row_id"), F.lit(field).alias("field"), text.alias("text"))
     every = part(emails, "emails", "email_id", "body", F.col("body")).unionByName(part(emails, "emails", "email_id", "from_addrs", F.array_join("from_addrs", ", ")))
     every = every.unionByName(part(entries, "entries", "entry_id", "text", F.col("text")))
-    return mentions(every, [F.col("src_table"), F.col("row_id"), F.col("field")], F.col("text"), _lexicon(spark, sf_dir))
+    return mentions(every, [F.col("src_table"), F.col("row_id"), F.col("field")], F.col("text"), _lexicon(spark, sf_dir, every))
 
 
 @REGISTRY.add("p3_found")
