@@ -1,17 +1,18 @@
 """Text of scanned pages repaired: running heads, page numbers, divided and misread words.
 
 A first pass reads every page once and emits, already combined per batch, the counts of
-its words and the lines at its edges. From these come, for the whole corpus:
+its words, its divided words and the lines at its edges. From these come, for the whole corpus:
 
-* running heads: edge lines that recur on other pages of the scan, or in other scans,
-  compared by a skeleton in which letters that recognition confuses are the same;
+* running heads: edge lines that recur on other pages of the scan, or in other scans.
+  Lines are compared by a skeleton in which letters that recognition confuses are the same,
+  and skeletons of a scan that differ in a few letters (by edit distance) are one class;
 * page numbers: edge lines whose number follows the scan's sequence of pages;
 * misread words: words that turn, by one exchange that recognition is known to make,
   into a word that is many times as frequent;
-* compounds: words known with their own hyphen, kept when a line break falls on it.
+* kept hyphens: divided words that the vocabulary knows with their own hyphen rather than joined.
 
 A second pass reads the pages with these tables. They are broadcast after their sizes
-have been checked, and otherwise joined to the pages.
+have been checked, and otherwise joined to the pages by the same keys, with the same result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.session import cut_lineage
@@ -36,10 +38,15 @@ RATIO = 20
 LEAST = 5
 #: Scans in which an edge line must recur to be a head wherever it stands.
 SCANS = 3
+#: Lines on each side of a page that may belong to its frame.
+EDGE = 2
+#: Letters at the start or the end of a skeleton that two of a class share, and letters for each edit.
+AFFIX, PER_EDIT = 8, 10
 #: Rows of a broadcast table (of some 60 bytes each).
 BROADCAST_ROWS = 500_000
 
 HYPHENS = "-­‐¬"
+_HYPHENS = frozenset(HYPHENS)
 _OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’‚…–—¿¡·•" + HYPHENS
 _DIVIDED = re.compile(rf"\S*[^\W\d_][{HYPHENS}][ \t]*\r?\n[ \t]*\S*")
 _LEFT = re.compile(rf"((?:[^\W_]+['’-])*[^\W\d_]+)[{HYPHENS}][ \t\r]*$")
@@ -61,10 +68,11 @@ def skeleton(line: str) -> str:
 
 def page_number(line: str) -> int | None:
     """The number of a line that holds nothing else than a page number."""
-    found = _NUMBER.match(line.strip()) if len(line) < 40 else None
+    line = line.strip()
+    found = _NUMBER.match(line)
     if found and (any(c.isdigit() for c in found[1]) or len(found[1]) > 1 and set(found[1]) <= set("lI")):
         return int(found[1].translate(_DIGITS))
-    roman = _ROMAN.match(line.strip().lower()) if len(line) < 20 else None
+    roman = _ROMAN.match(line.lower())
     if not roman or not roman[1]:
         return None
     values = [{"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}[c] for c in roman[1]]
@@ -72,22 +80,27 @@ def page_number(line: str) -> int | None:
 
 
 def edges(lines: list[str]) -> list[int]:
-    """Numbers of the first two and the last two lines that aren't blank."""
+    """Numbers of the first and the last EDGE lines that aren't blank."""
     solid = [i for i, x in enumerate(lines) if x.strip()]
-    return solid if len(solid) <= 4 else [*solid[:2], *solid[-2:]]
+    return solid if len(solid) <= 2 * EDGE else [*solid[:EDGE], *solid[-EDGE:]]
 
 
 def _open_line(line: str) -> bool:
-    """A line that may be a head: short, and without the end of a sentence."""
+    """A line that may be a head: without the end of a sentence."""
     line = line.strip()
-    return 2 < len(line) <= 60 and not re.search(rf"[{HYPHENS}.!?:;,]$", line)
+    return len(line) > 2 and not re.search(rf"[{HYPHENS}.!?:;,]$", line)
+
+
+def edge_keys(lines: list[str]) -> list[str]:
+    """Skeletons of the edge lines that may be heads."""
+    return [skeleton(lines[i]) for i in edges(lines) if page_number(lines[i]) is None and _open_line(lines[i])]
 
 
-def _title(line: str) -> bool:
-    """At least two words, of which all longer ones are capitalised, and no code, address or number of many digits."""
-    words = _ENDS.sub(" ", line).split()
-    long = [w for w in words if len(w) > 3 and w[0].isalpha()]
-    return len(words) >= 2 and len(long) >= 2 and all(w[0].isupper() for w in long) and not re.search(r"@|\d{5}|\w-\d|www\.|:", line)
+def divided(line: str, after: str) -> tuple[re.Match, re.Match] | None:
+    """The two parts of a word that is divided between two lines."""
+    left = _LEFT.search(line) if line.rstrip()[-1:] in _HYPHENS else None
+    right = _RIGHT.match(after) if left else None
+    return (left, right) if left and right else None
 
 
 def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,25 +108,30 @@ def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
         heads: Counter = Counter()
         numbers: Counter = Counter()
+        parts: Counter = Counter()
         for source, page, text in zip(batch["_source"], batch["_page"], batch["_text"]):
             words.update(_DIVIDED.sub(" ", text).lower().split())
             lines = text.split("\n")
             for i in edges(lines):
-                line = lines[i]
-                n = page_number(line)
-                if n is not None:
-                    if page == page:
-                        numbers[source, int(n - page), int(page)] += 1
-                elif _open_line(line):
-                    heads[source, skeleton(line), None if page != page else int(page)] += 1
+                n = page_number(lines[i])
+                if n is not None and page == page:
+                    numbers[source, int(n - page), int(page)] += 1
+            # A page without a number is told apart by its text, so that a copy of it isn't another page.
+            place = int(page) if page == page else xxhash.xxh64_intdigest(text) >> 1
+            heads.update((source, key, place) for key in edge_keys(lines))
+            for line, after in zip(lines, lines[1:]):
+                pair = divided(line, after)
+                if pair:
+                    parts[pair[0][1].lower(), pair[1][1].lower()] += 1
         clean: Counter = Counter()
         for word, n in words.items():
             word = word.strip(_OUTER)
             if len(word) > 1 and not word.isdigit():
                 clean[word] += n
         rows = [("word", None, w, None, n) for w, n in clean.items()]
-        rows += [("head", s, k, p, n) for (s, k, p), n in heads.items()]
+        rows += [("head", s, k, p, n) for (s, k, p), n in heads.items() if k]
         rows += [("number", s, str(off), p, n) for (s, off, p), n in numbers.items()]
+        rows += [("divided", a, b, None, n) for (a, b), n in parts.items()]
         yield pd.DataFrame(rows, columns=["kind", "source", "key", "page", "n"]).astype({"page": "Int64"})
 
 
@@ -122,7 +140,7 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for word, n in zip(batch["word"], batch["n"]):
-            if sum(c.isalpha() for c in word) < 2 or len(word) < 3 or len(word) > 60:
+            if sum(c.isalpha() for c in word) < 2 or len(word) < 3:
                 continue
             seen = set()
             for right, read in CONFUSIONS:
@@ -136,25 +154,47 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["word", "n", "other"])
 
 
+def _heads(seen: DataFrame) -> DataFrame:
+    """Running heads (`source`, `key`): those of a scan, and with a null source those that recur in several scans.
+
+    A key with a tilde recurs in its scan only together with the others of its class.
+    """
+    lines = seen.where("kind = 'head'").select("source", "key", "page").distinct()
+    own = cut_lineage(lines.groupBy("source", "key").agg(F.count("*").alias("pages")))
+    # Classes by edit distance: the most frequent key among those that begin or end alike stands for its neighbours.
+    bare = F.regexp_replace("key", " ", "")
+    affixes = own.withColumn("affix", F.explode(F.array(F.concat(F.lit("<"), F.left(bare, F.lit(AFFIX))), F.concat(F.lit(">"), F.right(bare, F.lit(AFFIX))))))
+    leads = affixes.groupBy("source", "affix").agg(F.max_by("key", F.struct("pages", "key")).alias("lead"), F.count("*").alias("_n")).where("_n > 1")
+    off = F.levenshtein("key", "lead")
+    near = affixes.join(leads, ["source", "affix"]).where("key <> lead").withColumn("off", off).where(F.col("off") <= F.greatest(F.lit(1), F.floor(F.length("lead") / PER_EDIT)))
+    leader = near.groupBy("source", "key").agg(F.min_by("lead", F.struct("off", "lead")).alias("lead"))
+    placed = lines.join(leader, ["source", "key"], "left").withColumn("lead", F.coalesce("lead", "key"))
+    often = placed.groupBy("source", "lead").agg(F.count_distinct("page").alias("pages")).where("pages >= 2")
+    members = placed.select("source", "key", "lead").distinct().join(often, ["source", "lead"], "left_semi").join(own, ["source", "key"])
+    scan = members.select("source", F.when(F.col("pages") >= 2, F.col("key")).otherwise(F.concat(F.lit("~"), "key")).alias("key"))
+    wide = own.groupBy("key").agg(F.count("*").alias("scans")).where(F.col("scans") >= SCANS)
+    return scan.unionByName(wide.select(F.lit(None).cast("string").alias("source"), "key"))
+
+
 def _tables(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Fixes (word, right), compounds (word), heads (source, skeletons) and page-number offsets (source, offsets)."""
+    """Fixes (word, right), kept hyphens (word), heads (source, key) and page-number offsets (source, offset)."""
     seen = cut_lineage(pages.select("_source", "_page", "_text").mapInPandas(_first_pass, "kind string, source string, key string, page long, n long"))
     words = cut_lineage(seen.where("kind = 'word'").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("n")))
-    options = words.mapInPandas(_candidates, "word string, n long, other string")
+    parts = cut_lineage(seen.where("kind = 'divided'").groupBy(F.col("source").alias("a"), F.col("key").alias("b")).agg(F.sum("n").alias("n")))
+    whole = parts.select(F.concat("a", "b").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")).join(words, "word", "left_anti")
+    options = words.unionByName(whole).mapInPandas(_candidates, "word string, n long, other string")
     other = words.select(F.col("word").alias("other"), F.col("n").alias("often"))
     digit = F.col("word").rlike("[0-9]")
     good = options.join(other, "other").where((F.col("often") >= LEAST) & (F.col("often") >= F.col("n") * F.when(digit, 2).otherwise(RATIO)))
     fixes = good.groupBy("word").agg(F.max_by("other", F.struct("often", "other")).alias("right"))
-    joined = words.where("word LIKE '%-%' AND n >= 2").withColumn("plain", F.regexp_replace("word", "-", ""))
-    compounds = joined.join(words.select(F.col("word").alias("plain"), F.col("n").alias("m")), "plain", "left").where("n >= coalesce(m, 0)").select("word")
-    heads = seen.where("kind = 'head' AND key <> ''").groupBy("source", "key").agg(F.count_distinct("page").alias("pages"))
-    wide = heads.groupBy("key").agg(F.count("*").alias("scans")).where(F.col("scans") >= SCANS)
-    known = heads.join(wide, "key", "left").select("source", F.when(F.col("pages") >= 2, F.col("key")).otherwise(F.concat(F.lit("~"), "key")).alias("key"), "pages", "scans").where("pages >= 2 OR scans IS NOT NULL")
-    per_scan = known.groupBy(F.col("source").alias("_of")).agg(F.collect_set("key").alias("_heads"))
+    # What the vocabulary says of a divided word: the hyphen is its own where it is the more frequent spelling.
+    asked = parts.select(F.concat("a", F.lit("-"), "b").alias("word"), F.concat("a", "b").alias("plain")).distinct()
+    count = lambda name, n: words.select(F.col("word").alias(name), F.col("n").alias(n))
+    asked = asked.join(count("word", "n"), "word").join(count("plain", "m"), "plain", "left")
+    kept = asked.where("(n >= 2 OR m IS NULL) AND n >= coalesce(m, 0)").select("word").distinct()
     offsets = seen.where("kind = 'number'").groupBy("source", "key").agg(F.count_distinct("page").alias("pages"))
-    best = Window.partitionBy("source").orderBy(F.desc("pages"), "key")
-    offsets = offsets.where("pages >= 3").withColumn("_r", F.row_number().over(best)).where("_r = 1").select(F.col("source").alias("_for"), F.col("key").cast("int").alias("_offset"))
-    return fixes, compounds, per_scan, offsets
+    best = offsets.where("pages >= 3").groupBy("source").agg(F.min_by("key", F.struct(-F.col("pages"), "key")).alias("key"))
+    return fixes, kept, _heads(seen), best.select(F.col("source").alias("_for"), F.col("key").cast("int").alias("_offset"))
 
 
 def read_page(text: str, page: int | None, heads: set[str], offset: int | None, fixes: dict[str, str], compounds: set[str]) -> tuple[list[tuple[str, int, str]], str]:
@@ -165,7 +205,7 @@ def read_page(text: str, page: int | None, heads: set[str], offset: int | None,
     widths = sorted(len(x.strip()) for x in lines if x.strip())
     width = widths[len(widths) * 3 // 4] if widths else 0
     at_edge = edges(lines)
-    for place, i in enumerate(at_edge):
+    for i in at_edge:
         line = lines[i].strip()
         n = page_number(line)
         if n is not None:
@@ -176,17 +216,18 @@ def read_page(text: str, page: int | None, heads: set[str], offset: int | None,
         if not _open_line(line):
             continue
         key = skeleton(line)
-        if key in heads or (("~" + key) in heads and len(line) < 0.85 * width and len(widths) > 3) or (_title(line) and len(widths) > 2):
+        if key in heads or (("~" + key) in heads and len(line) < 0.85 * width and len(widths) > 3):
             noise.append(("header", i + 1, ""))
             frame.add(i)
     # Only lines that stand at the very edge belong to the frame: a body line between them and the edge ends it.
     solid = [i for i, x in enumerate(lines) if x.strip()]
-    for order in (solid[:2], solid[:-3:-1]):
-        if len(order) > 1 and order[1] in frame and order[0] not in frame:
-            other = solid[-2:] if order == solid[:2] else solid[:2]
-            if order[1] not in other:
-                frame.discard(order[1])
-                noise = [x for x in noise if x[1] != order[1] + 1]
+    for order, other in ((solid[:EDGE], solid[-EDGE:]), (solid[: -EDGE - 1 : -1], solid[:EDGE])):
+        ended = False
+        for i in order:
+            ended = ended or i not in frame
+            if ended and i in frame and i not in other:
+                frame.discard(i)
+                noise = [x for x in noise if x[1] != i + 1]
     out: list[str] = []
     carry = ""
     for i, line in enumerate(lines):
@@ -195,8 +236,8 @@ def read_page(text: str, page: int | None, heads: set[str], offset: int | None,
         taken = 0
         if carry:
             taken = 1
-        left = _LEFT.search(line)
-        right = _RIGHT.match(lines[i + 1]) if left and i + 1 < len(lines) and (i + 1) not in frame else None
+        pair = divided(line, lines[i + 1]) if i + 1 < len(lines) and (i + 1) not in frame else None
+        left, right = pair or (None, None)
         tokens = line.split()
         words = []
         for k, raw in enumerate(tokens):
@@ -231,14 +272,13 @@ def read_page(text: str, page: int | None, heads: set[str], offset: int | None,
 
 
 def lookups(text: str) -> set[str]:
-    """Every word that `read_page` may look up in the fixes or the compounds, whatever lines are its frame."""
+    """Every word that `read_page` may look up in the fixes or the kept hyphens, whatever lines are its frame."""
     lines = text.split("\n")
     words = {w for line in lines for raw in line.split() for w in (raw.lower(), raw.lower().strip(_OUTER))}
     for line, after in zip(lines, lines[1:]):
-        left = _LEFT.search(line)
-        right = _RIGHT.match(after) if left else None
-        if right:
-            a, b = left[1].lower(), right[1].lower()
+        pair = divided(line, after)
+        if pair:
+            a, b = pair[0][1].lower(), pair[1][1].lower()
             words |= {a + b, a + "-" + b}
     return words
 
@@ -247,7 +287,9 @@ def _lookups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for start in range(0, len(batch), 500):
             part = batch.iloc[start : start + 500]
-            yield pd.DataFrame([(row, w) for row, text in zip(part["_row"], part["_text"]) for w in lookups(text)], columns=["_row", "word"])
+            rows = [(row, None, w) for row, text in zip(part["_row"], part["_text"]) for w in lookups(text)]
+            rows += [(row, source, mark + key) for row, source, text in zip(part["_row"], part["_source"], part["_text"]) for key in set(edge_keys(text.split("\n"))) for mark in ("", "~")]
+            yield pd.DataFrame(rows, columns=["_row", "source", "word"])
 
 
 def repaired(df: DataFrame, entry_id: str, text: str, source: str, page: str) -> DataFrame:
@@ -256,42 +298,54 @@ def repaired(df: DataFrame, entry_id: str, text: str, source: str, page: str) ->
     Result: `entry_id`, `noise` (array of `noise_kind`, `line_no`, `token`) and
     `clean_text` (paragraphs as single lines, a blank line between them). Null and empty
     texts have no noise and a null or empty text; a null page number leaves page-number
-    lines alone; a null source is a scan of its own; pages repeated under another id
+    lines alone; a page with a null source is a scan of its own; pages repeated under another id
     count by themselves but don't make their lines recur. Extra columns are dropped.
     """
-    pages = df.select(F.col(f"`{entry_id}`").alias("_id"), F.col(f"`{source}`").cast("string").alias("_source"), F.col(f"`{page}`").cast("int").alias("_page"), F.col(f"`{text}`").alias("_text"))
+    alone = F.concat(F.lit("?"), F.xxhash64(F.col(f"`{text}`")).cast("string"))
+    pages = df.select(F.col(f"`{entry_id}`").alias("_id"), F.coalesce(F.col(f"`{source}`").cast("string"), alone).alias("_source"), F.col(f"`{page}`").cast("int").alias("_page"), F.col(f"`{text}`").alias("_text"))
     kind = pages.schema["_id"].dataType.simpleString()
-    fixes, compounds, heads, offsets = (cut_lineage(t) for t in _tables(pages.where("_text IS NOT NULL")))
-    counts = [t.count() for t in (fixes, compounds, heads, offsets)]
-    hint = lambda t, n: F.broadcast(t) if n <= BROADCAST_ROWS else t
-    own = pages.join(hint(heads, counts[2]), F.col("_source").eqNullSafe(F.col("_of")), "left").join(hint(offsets, counts[3]), F.col("_source").eqNullSafe(F.col("_for")), "left")
-    own = own.select("_id", "_page", "_text", "_heads", "_offset")
-    spark = df.sparkSession
-    if counts[0] + counts[1] <= BROADCAST_ROWS:
-        tables = spark.sparkContext.broadcast(({r.word: r.right for r in fixes.toLocalIterator()}, {r.word for r in compounds.toLocalIterator()}))
-        own = own.withColumn("_fixes", F.lit(None).cast("map<string,string>")).withColumn("_compounds", F.lit(None).cast("array<string>"))
+    fixes, kept, heads, offsets = (cut_lineage(t) for t in _tables(pages.where("_text IS NOT NULL")))
+    counts = [t.count() for t in (fixes, kept, heads, offsets)]
+    own = pages.join(F.broadcast(offsets) if counts[3] <= BROADCAST_ROWS else offsets, F.col("_source") == F.col("_for"), "left").drop("_for")
+    if sum(counts[:3]) <= BROADCAST_ROWS:
+        found = heads.toArrow()
+        scans = set(zip(found.column("source").to_pylist(), found.column("key").to_pylist()))
+        tables = df.sparkSession.sparkContext.broadcast(({r.word: r.right for r in fixes.collect()}, {r.word for r in kept.collect()}, scans))
+        own = own.withColumns({"_fixes": F.lit(None).cast("map<string,string>"), "_kept": F.lit(None).cast("array<string>"), "_heads": F.lit(None).cast("array<string>")})
     else:
         tables = None
         # A row's own number: an id that comes twice stays two rows, and a null id finds its words.
         own = cut_lineage(own.withColumn("_row", F.monotonically_increasing_id()))
-        token = own.where("_text <> ''").select("_row", "_text").mapInPandas(_lookups, "_row long, word string")
-        found = token.join(fixes, "word").groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("word", "right"))).alias("_fixes"))
-        kept = token.join(compounds, "word").groupBy("_row").agg(F.collect_set("word").alias("_compounds"))
-        own = own.join(found, "_row", "left").join(kept, "_row", "left").drop("_row")
+        asked = cut_lineage(own.where("_text <> ''").select("_row", "_source", "_text").mapInPandas(_lookups, "_row long, source string, word string"))
+        token, edge = asked.where("source IS NULL").drop("source"), asked.where("source IS NOT NULL").withColumnRenamed("word", "key")
+        by_scan = edge.join(heads, ["source", "key"]).select("_row", "key")
+        by_any = edge.join(heads.where("source IS NULL").select("key"), "key").select("_row", F.concat(F.lit("~"), "key").alias("key"))
+        parts = [
+            token.join(fixes, "word").groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("word", "right"))).alias("_fixes")),
+            token.join(kept, "word").groupBy("_row").agg(F.collect_set("word").alias("_kept")),
+            by_scan.unionByName(by_any).groupBy("_row").agg(F.collect_set("key").alias("_heads")),
+        ]  # a page's own words and edge lines
+        for part in parts:
+            own = own.join(part, "_row", "left")
+        own = own.drop("_row")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fixed, joined = tables.value if tables is not None else (None, None)
+        fixed, hyphens, known = tables.value if tables is not None else (None, None, None)
         for batch in batches:
             ids, noise, texts = [], [], []
-            for key, p, body, h, off, own_fixes, own_compounds in zip(*(batch[c] for c in ("_id", "_page", "_text", "_heads", "_offset", "_fixes", "_compounds"))):
+            for key, p, body, off, scan, own_fixes, own_kept, own_heads in zip(*(batch[c] for c in ("_id", "_page", "_text", "_offset", "_source", "_fixes", "_kept", "_heads"))):
                 ids.append(key)
                 if not body:
                     noise.append([])
                     texts.append(body)
                     continue
-                found = fixed if fixed is not None else dict(own_fixes) if own_fixes is not None else {}
-                compound = joined if joined is not None else set(own_compounds) if own_compounds is not None else set()
-                rows, text_ = read_page(body, None if p != p or p is None else int(p), set(h) if h is not None else set(), None if off is None or off != off else int(off), found, compound)
+                if known is not None:
+                    keys = edge_keys(body.split("\n"))
+                    head = {k for k in keys if (scan, k) in known} | {"~" + k for k in keys if (None, k) in known or (scan, "~" + k) in known}
+                    found, whole = fixed, hyphens
+                else:
+                    head, found, whole = set(own_heads) if own_heads is not None else set(), dict(own_fixes) if own_fixes is not None else {}, set(own_kept) if own_kept is not None else set()
+                rows, text_ = read_page(body, None if p != p or p is None else int(p), head, None if off is None or off != off else int(off), found, whole)
                 noise.append([{"noise_kind": a, "line_no": b, "token": c} for a, b, c in rows])
                 texts.append(text_)
             yield pd.DataFrame({"_id": ids, "noise": noise, "clean_text": texts})

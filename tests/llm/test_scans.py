@@ -30,11 +30,32 @@ def test_table(spark):
 def test_joined_tables_give_the_rows_of_broadcast_tables(spark, monkeypatch):
     body = "The retention of the été-forme and the up-to-date Café was measured by the clerk\nand its retention was measured once more, été-forme or Café, up-to-date.\n"
     rows = [(i, "s1", i, f"Box {chr(97 + i % 26) * 3}. {body}retenti0n rnay.\n", "x") for i in range(1, 41)]
+    rows += [(60 + i, "s7", i, f"{h}\nA page of its own with a longer line, {chr(97 + i) * 3}.\nAnd one more line that is longer, {chr(98 + i) * 4}.\nAnd a last one that is longer, {chr(99 + i) * 4}.", "x") for i, h in enumerate(("Harbour Register", "Harbour Registcx", "Harbour Register"))]
     rows += [(50, "s1", 60, "It was the reten-\nti0n.\nAn été-\nforme, rcten-\ntion, and (mcasured) mcasured. The rctention.\nup-\nto-date\u2003mcasured", "x"), (50, "s1", 61, "An other mcasured one", "x"), (None, "s2", 1, "It was mcasured", "x"), (51, None, None, None, "x"), (52, "s2", None, "", "x")]
     df = spark.createDataFrame(rows, "entry_id long, source_id string, page_first int, text string, noise string")
     read = lambda: sorted((str(r) for r in repaired(df, "entry_id", "text", "source_id", "page_first").collect()))
     small = read()
     monkeypatch.setattr(scans, "BROADCAST_ROWS", 0)
     large = read()
-    assert large == small and len(small) == 45
-    assert any("token='retention'" in r and "token='été-forme'" in r for r in small)
+    assert large == small and len(small) == 48
+    assert any("kind='header'" in r for r in small) and any("token='retention'" in r and "token='été-forme'" in r for r in small)
+
+
+def test_heads_need_repetition(spark):
+    lone = "Dear Madam Harcourt Greenfield\nthe paper was found by the clerk in a box.\nIt was read.\nIt was kept.\nIt was closed."
+    long = "Proceedings of the Extraordinary General Assembly of the Friends of the Harbour Archive in Session"
+    body = lambda i: f"{long}\nBox {chr(97 + i) * 3} was opened by hand on that day.\nIt holds paper {chr(97 + i) * 4}.\nOf no use {chr(98 + i) * 5}."
+    near = ["Harbour Register of Ships", "Harbour Registcr of Shlps", "Harbour Regjster of Ships"]
+    rows = [(1, "s0", 1, lone)] + [(10 + i, "s1", i, body(i)) for i in range(3)] + [(20 + i, "s2", i, near[i] + "\n" + body(i + 5).split("\n", 1)[1]) for i in range(3)]
+    rows += [(30 + i, None, i, f"Unscanned Heading Line\n{body(i + 10).split(chr(10), 1)[1]}") for i in range(2)]
+    df = spark.createDataFrame(rows, "entry_id long, source_id string, page_first int, text string")
+    got = {r.entry_id: [x.line_no for x in r.noise if x.noise_kind == "header"] for r in repaired(df, "entry_id", "text", "source_id", "page_first").collect()}
+    assert got == {1: [], **{10 + i: [1] for i in range(3)}, **{20 + i: [1] for i in range(3)}, 30: [], 31: []}
+
+
+def test_vocabulary_decides_on_hyphens(spark):
+    rows = [(i, f"s{i}", 1, f"The well-known shipment {chr(97 + i)} is here.\nThe well-known shipment.") for i in range(12)]
+    rows.append((50, "x", 1, "It is well-\nknown that (ship-\nrnent), came\nre-\nturned."))
+    df = spark.createDataFrame(rows, "entry_id long, source_id string, page_first int, text string")
+    got = {r.entry_id: r for r in repaired(df, "entry_id", "text", "source_id", "page_first").collect()}
+    assert [x.token for x in got[50].noise if x.noise_kind == "hyphenation"] == ["well-known", "shipment", "returned"]
