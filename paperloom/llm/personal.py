@@ -14,7 +14,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +35,8 @@ KINDS = ("email", "identity", "phone", "address", "name")
 _S = r"(?:[  ]|[ \t]*\r?\n(?:[ \t]*(?:>|\||[A-Z]{2,3}>))*[ \t]?)"
 _SP = rf"{_S}+"
 
-EMAIL = re.compile(r"[\w.+'-]*\w@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")
+_MAILBOX = re.compile(r"[\w.+'-]*\w$")
+_HOST = re.compile(r"[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")
 _AT_MARK = re.compile(r"\s?[\[({<]\s?(?:at|@|ät|arroba|arobase)\s?[\])}>]\s?|\s(?:at|arroba|arobase)\s(?=[\w-]+\s(?:dot|punkt|punto|point)\s)|\s@\s?|@\s", re.I)
 _DOT = r"(?:\s?[\[({<]\s?(?:dot|punkt|punto|point|\.)\s?[\])}>]\s?|\s(?:dot|punkt|punto|point)\s|\.)"
 _LOCAL = re.compile(rf"(?:[\w+-]+{_DOT})*[\w+-]*\w$", re.I)
@@ -132,6 +135,8 @@ class Lexicon:
     #: Given names that are words of a language too.
     common: frozenset[str] = frozenset("will mark rose grace faith hope joy may april june august dawn frank bill jack art ray rich victor sunny star angel luz rosa paz sol mar clara alma marta pia chance summer autumn ivy daisy lily olive iris violet heather basil max miles reed skip drew grant chase penny holly robin dean earl guy gene pat sue sandy terry nick rob bob dick harry jean martin laurent blanche reine fleur aurore constance prudence victoire felix milan rafa otto".split())
     all: frozenset[str] = field(default_factory=frozenset)
+    #: The name words of tokens between white space that were looked at.
+    seen: dict[str, frozenset[str]] = field(default_factory=dict, repr=False)
     #: A lexicon too large to be broadcast: `word`, `given`, `family`.
     table: DataFrame | None = None
 
@@ -141,15 +146,27 @@ class Lexicon:
     def is_surname(self, word: str) -> bool:
         return word in self.surnames or ("-" in word and all(p in self.surnames for p in word.split("-")))
 
-    def name_words(self, low: str) -> set[str]:
-        """The letter runs of a text in lower case that are names, or parts of names with an apostrophe or a hyphen."""
-        words = self.all.intersection(_LETTERS.findall(low))
-        for whole in set(_JOINED.findall(low)):
+    def _words_of(self, token: str) -> frozenset[str]:
+        words = self.all.intersection(_LETTERS.findall(token))
+        for whole in _JOINED.findall(token):
             for word in (whole, whole[:-2]) if whole.endswith(("'s", "’s")) else (whole,):
                 for part in (word, *word.split("-")):
                     if part in self.all:
                         words |= frozenset(_LETTERS.findall(part))
-        return set(words)
+        return words
+
+    def name_words(self, low: str) -> set[str]:
+        """The letter runs of a text in lower case that are names, or parts of names with an apostrophe or a hyphen."""
+        found: set[str] = set()
+        for token in set(low.split()):
+            words = self.seen.get(token)
+            if words is None:
+                if len(self.seen) > 300_000:
+                    self.seen.clear()
+                words = self.seen[token] = self._words_of(token)
+            if words:
+                found |= words
+        return found
 
 
 #: Countries of the public register of bank account numbers, whose numbers have two check digits.
@@ -196,6 +213,30 @@ def _phone_end(text: str, a: int, b: int) -> int:
     return b
 
 
+def _emails(text: str) -> Iterator[tuple[str, int, int, float]]:
+    """Addresses around each at sign."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and (text[start - 1].isalnum() or text[start - 1] in "_.+'-"):
+            start -= 1
+        host = _HOST.match(text, at + 1)
+        if host and _MAILBOX.match(text, start, at):
+            yield "email", start, host.end(), 0.95
+            done = host.end()
+        at = text.find("@", max(at + 1, done))
+
+
+@cache
+def _address_gate() -> ahocorasick.Automaton:
+    machine = ahocorasick.Automaton()
+    for kind, keys in _ADDRESS_GATES.items():
+        for key in keys:
+            machine.add_word(key, frozenset({kind}) | machine.get(key, frozenset()))
+    machine.make_automaton()
+    return machine
+
+
 def _spelt(text: str) -> list[tuple[str, int, int, float]]:
     """Addresses with a spelt or bracketed at sign."""
     found = []
@@ -361,20 +402,19 @@ def detect(text: str, lexicon: Lexicon) -> list[tuple[str, int, int]]:
     """Mentions as (kind, start, end), in order, none inside another."""
     proposed: list[tuple[str, int, int, float]] = []
     if "@" in text:
-        proposed += [("email", *m.span(), 0.95) for m in EMAIL.finditer(text)]
+        proposed += _emails(text)
     low = text.lower()
     if any(k in low for k in ("at)", "at]", "at}", "at>", "ät)", "(@", "[@", " dot ", " punkt ", " punto ", " point ", "arroba", "arobase", " @", "@ ")):
         proposed += _spelt(text)
     proposed += _numbers(text)
     if _LETTERED.search(text):
         proposed += _lettered(text)
-    for kind, keys in _ADDRESS_GATES.items():
-        if any(k in text for k in keys):
-            for m in ADDRESSES[kind].finditer(text):
-                if kind != "de" or not _NO_STREET.match(m[0]):
-                    before, after = text[max(0, m.start() - 40) : m.start()], text[m.end() : m.end() + 24]
-                    score = 0.62 + 0.15 * ("," in m[0]) + 0.15 * bool(_LIVES.search(before)) - 0.3 * bool(_NO_PLACE.search(before) or _A_THING.match(after))
-                    proposed.append(("address", *m.span(), score))
+    for kind in sorted(frozenset().union(*(kinds for _, kinds in _address_gate().iter(text)))):
+        for m in ADDRESSES[kind].finditer(text):
+            if kind != "de" or not _NO_STREET.match(m[0]):
+                before, after = text[max(0, m.start() - 40) : m.start()], text[m.end() : m.end() + 24]
+                score = 0.62 + 0.15 * ("," in m[0]) + 0.15 * bool(_LIVES.search(before)) - 0.3 * bool(_NO_PLACE.search(before) or _A_THING.match(after))
+                proposed.append(("address", *m.span(), score))
     proposed = [p for p in proposed if p[3] >= THRESHOLD]
     proposed.sort(key=lambda p: (KINDS.index(p[0]), p[1] - p[2], p[1]))
     kept: list[tuple[str, int, int]] = []
