@@ -14,12 +14,12 @@ REGISTRY = Registry()
 @REGISTRY.add("p1_found")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of similarity 0.9 and more of which one is among the other's five most similar."""
-    found = nearest(table(spark, sf_dir, "unit_embeddings"), "vec_id", "vector", "model", "dim", k=5, least=0.9, recall=0.97)
+    found = nearest(table(spark, sf_dir, "unit_embeddings"), "vec_id", "vector", "model", "dim", k=5, least=0.9, recall=0.999)
     return pairs(found).where("similarity >= 0.9").select("vec_id_a", "vec_id_b")
 
 
 @REGISTRY.add("p1_neighbours")
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar rows of every usable vector."""
-    found = nearest(table(spark, sf_dir, "unit_embeddings"), "vec_id", "vector", "model", "dim", k=5, recall=0.92)
+    found = nearest(table(spark, sf_dir, "unit_embeddings"), "vec_id", "vector", "model", "dim", k=5, recall=0.95)
     return found.toDF("vec_id", "neighbour_id", "similarity", "place")

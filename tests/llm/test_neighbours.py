@@ -1,8 +1,9 @@
+import heapq
 import math
 
 import numpy as np
 
-from paperloom.llm.neighbours import Tree, calibrate, fit_tree, nearest, pairs
+from paperloom.llm.neighbours import Tree, calibrate, fit_tree, grown, nearest, pack, pairs, rounding, unpack
 
 SCHEMA = "vec_id long, vector array<float>, model string, dim int, a int, b string"
 
@@ -63,5 +64,53 @@ def test_visits_pop_the_best_leaf_first():
     seen = tree.visit(x[:50], tree.leaves)
     assert (np.sort(seen, axis=1) == np.arange(tree.leaves)).all()
     assert (tree.visit(x[:50], 3) == seen[:, :3]).all()
-    few, many = calibrate(tree, x, 5, 0.5, None), calibrate(tree, x, 5, 0.99, None)
-    assert few <= many
+    near = x[:50] @ x.T
+    near[np.arange(50), np.arange(50)] = -2
+    wanted = tree.visit(x, 1)[:, 0][np.argsort(-near, axis=1)[:, :5]]
+    few, many = calibrate(tree, x[:50], wanted, 0.5), calibrate(tree, x[:50], wanted, 0.99)
+    assert 1 <= few <= many < tree.leaves
+
+
+def test_best_bin_first_is_that_of_a_plain_queue():
+    x = clustered(3000, 8, 5)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tree = fit_tree(x, len(x), leaf_rows=30)
+    for row, seen in zip(x[:20], tree.visit(x[:20], 12)):
+        queue, popped = [(-1.0, 0)], []
+        while len(popped) < 12:
+            _, node = heapq.heappop(queue)
+            if tree.children[node] == 0:
+                popped.append(tree.leaf[node])
+            for kid in range(tree.child[node], tree.child[node] + tree.children[node]):
+                heapq.heappush(queue, (-float(row @ tree.centres[kid]), kid))
+        assert popped == list(seen)
+
+
+def test_leaves_grow_with_the_rows(spark):
+    x = clustered(6000, 8, 6)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    own = spark.createDataFrame([(i, "m", 8, [float(a) for a in v]) for i, v in enumerate(x)], "_id long, _model string, _dim int, _v array<float>")
+    for rows in (1500, 6000):
+        first = {("m", 8): fit_tree(x[: min(rows, 256)], rows, leaf_rows=20)}
+        tree = grown(own.where(f"_id < {rows}"), first, {("m", 8): rows}, leaf_rows=20, fit_rows=256)["m", 8]
+        counts = np.bincount(tree.visit(x[:rows], 1)[:, 0], minlength=tree.leaves)
+        assert first["m", 8].leaves <= 16 and rows / 80 <= tree.leaves <= rows / 5 and counts.max() < 160
+        assert (np.sort(tree.visit(x[:5], tree.leaves), axis=1) == np.arange(tree.leaves)).all() and abs(tree.share.sum() - 1) < 1e-6
+
+
+def test_rounding_does_not_decide(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(48)
+    rows = [(i, (base + 0.05 * rng.standard_normal(48)).astype(np.float32), "m", 48) for i in range(60)]
+    want = brute([(i, v.astype(np.float64), m, d) for i, v, m, d in rows], 5)
+    got = {}
+    for r in run(spark, rows, k=5):
+        got.setdefault(r.a, set()).add(r.b)
+    same = sum(got[i] == set(want[i]) for i in want)
+    assert same == 60
+
+
+def test_packing():
+    x = np.random.default_rng(1).standard_normal((100, 30)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert np.abs(unpack(pack(x)) @ unpack(pack(x)).T - x @ x.T).max() < rounding(30)
