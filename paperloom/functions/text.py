@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import unicodedata
 from functools import cache
+from urllib.parse import unquote, unquote_plus
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that a question doesn't search for.
-STOPWORDS = "a an and are as at be by did do does for from had has have how in is it of on or that the this to was were what when where which who why will with".split()
+STOPWORDS = "a an and are as at be by did do does for from how in is it of on or say said the that this to was were what when where which who why with".split()
 
 
 @cache
@@ -112,13 +114,61 @@ def citations(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, r"\s*,\s*"), lambda n: n.cast("int"))))))
 
 
-#: Phrases by tone.
-URGENT = ("urgent", "asap", "immediately", "right away", "deadline", "as soon as possible")
-COMPLAINT = ("complaint", "unacceptable", "disappointed", "refund", "not working", "terrible")
+#: Words that open a question, and phrases by tone.
+QUESTION_OPENERS = ("who", "what", "when", "where", "why", "how", "which", "whose")
+URGENT = (
+    "urgent", "urgently", "asap", "as soon as possible", "immediately", "emergency", "right away", "right now", "time-sensitive", "time sensitive", "act now", "at once", "hurry", "deadline", "critical",
+)
+COMPLAINT = (
+    "complain", "complaint", "complaints", "refund", "unacceptable", "disappointed", "disappointing", "frustrated", "frustrating", "broken", "doesn't work", "does not work", "didn't work", "did not work", "not working", "stopped working",
+    "worst", "terrible", "awful", "horrible", "rip-off", "ripoff", "rip off", "useless", "waste of", "still waiting", "never arrived", "no response", "never answered", "faulty", "defective", "overcharged", "poor service",
+)
 
 
-def tones(text: Column) -> Column:
-    """Tags of a text: question, urgent, complaint."""
-    padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9?]+", " ")), F.lit(" "))
-    holds = lambda phrases: F.array_contains(F.array(*(F.contains(padded, F.lit(f" {p} ")) for p in phrases)), True)
-    return F.array_compact(F.array(F.when(F.contains(text, F.lit("?")), F.lit("question")), F.when(holds(URGENT), F.lit("urgent")), F.when(holds(COMPLAINT), F.lit("complaint"))))
+def tones(text: Column, label: Column | None = None) -> Column:
+    """Tags of a text: question, urgent, and complaint where its `label` is negative."""
+    edge = r"[!-&(-/:-@\[-`{-~]+"
+    words = F.transform(F.split(F.trim(text, F.lit(" \n\r\t\f")), r"\s+"), lambda w: F.replace(F.lower(F.regexp_replace(w, f"^{edge}|{edge}$", "")), F.lit("’"), F.lit("'")))
+    words = F.filter(words, lambda w: w != "")
+    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    holds = lambda phrases: F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(line, F.concat(F.lit(" "), p, F.lit(" "))))
+    end = F.regexp_replace(text, r"\s+$", "")
+    asks = F.endswith(end, F.lit("?")) | F.contains(end, F.lit("? ")) | ((F.size(words) >= 3) & F.try_element_at(words, F.lit(1)).isin(*QUESTION_OPENERS))
+    urgent = holds(URGENT) | (F.regexp_count(text, F.lit("!")) >= 3)
+    complaint = (F.lit("neutral") if label is None else label).eqNullSafe(F.lit("negative")) & holds(COMPLAINT)
+    return F.array_compact(F.array(F.when(asks, F.lit("question")), F.when(urgent, F.lit("urgent")), F.when(complaint, F.lit("complaint"))))
+
+
+def percent_decoded(text: Column, plus: bool = True) -> Column:
+    """%XX as bytes of UTF-8, and + as a space in queries; what is no code stays."""
+
+    @F.pandas_udf("string")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: None if t is None else (unquote_plus if plus else unquote)(t, errors="replace"))
+
+    return run(text)
+
+
+def query_parameters(query: Column) -> Column:
+    """A map of the parameters of a URL's query; the first of a repeated name counts."""
+
+    @F.pandas_udf("map<string,string>")
+    def run(batch: pd.Series) -> pd.Series:
+        def one(q):
+            out: dict[str, str] = {}
+            for part in (q or "").lstrip("?").split("&"):
+                name, _, value = part.partition("=")
+                if name:
+                    out.setdefault(unquote_plus(name, errors="replace"), unquote_plus(value, errors="replace"))
+            return out
+
+        return batch.map(one)
+
+    return run(query)
+
+
+def wrapped(text: Column, width: int) -> Column:
+    """Lines of at most `width` characters, cut at white space where they can; tabs are four spaces, other control characters go."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\t", "    "), "\r\n?", "\n"), r"[\p{Cntrl}&&[^\n]]", "")
+    fold = lambda line: F.when(line == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(line, F.lit(rf"(?:\S.{{0,{width - 2}}}\S|\S)(?=\s|$)|\S{{{width}}}|\S+"), F.lit(0)))
+    return F.flatten(F.transform(F.split(plain, "\n"), fold))

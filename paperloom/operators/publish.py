@@ -11,7 +11,9 @@ from paperloom.functions.text import base_name, key_suffix
 VOLATILE = ("FileAccessDate", "FileModifyDate", "FileInodeChangeDate", "FileCreateDate", "FilePermissions", "Directory")
 #: What may be shared, by whole key and by suffix.
 SHARED_KEYS = ("source.filename", "fs.size-bytes", "outline.title", "outline.folders")
-SHARED_SUFFIXES = ("ImageWidth", "ImageHeight", "Duration", "MIMEType", "FileType", "PageCount", "Orientation", "ColorSpace", "BitDepth", "FrameRate", "AudioChannels", "SampleRate", "Compression", "XResolution", "YResolution", "ResolutionUnit", "Megapixels", "VideoFrameRate", "FileTypeExtension")
+SHARED_SUFFIXES = (
+    "FileType", "FileTypeExtension", "MIMEType", "ImageWidth", "ImageHeight", "ImageSize", "Megapixels", "Duration", "duration", "width", "height", "codec_name", "codec_type", "format_name", "nb_frames", "FrameCount", "PageCount", "Orientation", "dpi",
+)
 
 
 def archive_metadata(meta: Column) -> Column:
@@ -21,13 +23,23 @@ def archive_metadata(meta: Column) -> Column:
 
 def share_metadata(meta: Column) -> Column:
     """Only what may be shared."""
-    return F.map_filter(meta, lambda k, v: k.isin(*SHARED_KEYS) | key_suffix(k).isin(*SHARED_SUFFIXES))
+    return F.map_filter(meta, lambda k, v: ~key_suffix(k).isin(*VOLATILE) & (k.isin(*SHARED_KEYS) | key_suffix(k).isin(*SHARED_SUFFIXES)))
 
 
 def shared_entries(entries: DataFrame) -> DataFrame:
-    """Entries as the share profile shows them: no places, no names of recognised people, no attributes."""
-    masked = F.when(F.col("kind") == "face", F.lit("face")).otherwise(F.col("text"))
-    return entries.where("kind <> 'location'").withColumn("text", masked).withColumn("attributes", F.lit("{}"))
+    """Entries as the share profile shows them.
+
+    Places stay only where they were read from the text; the name of a recognised person
+    becomes 'face'; attributes keep what may be shared; the units of summaries of people go.
+    `attributes` is a JSON object of strings, and null where it can't be read.
+    """
+    attributes = F.from_json("attributes", "map<string,string>")
+    has = lambda key: F.coalesce(F.map_contains_key(attributes, F.lit(key)), F.lit(False))
+    value = lambda key: F.try_element_at(attributes, F.lit(key))
+    kept = entries.where((F.col("kind") != "location") | value("source").eqNullSafe(F.lit("text")))
+    kept = kept.where(~value("summary").eqNullSafe(F.lit("people")))
+    masked = F.when((F.col("kind") == "face") & has("person"), F.lit("face")).otherwise(F.col("text"))
+    return kept.withColumn("text", masked).withColumn("attributes", F.to_json(share_metadata(attributes)))
 
 
 def manifest(entries: DataFrame, documents: DataFrame) -> DataFrame:

@@ -1,17 +1,15 @@
-"""Full-text search over index entries, and question retrieval over passages."""
+"""Queries of full-text search, and what is done with its hits."""
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import STOPWORDS, index_text, question_tokens
-from paperloom.session import cut_lineage
+from paperloom.functions.text import STOPWORDS
 
 
 @dataclass(frozen=True)
@@ -38,52 +36,6 @@ def parse_query(text: str) -> list[Term]:
     return terms
 
 
-def _hits(joined: Column, term: Term) -> Column:
-    """How often a term stands in a text of tokens with single spaces; overlapping places all count."""
-    body = " ".join(term.tokens) + ("" if term.prefix else "(?![^ ])")  # tokens are letters and digits only
-    return F.regexp_count(joined, F.lit(f"(?<![^ ])(?={body})"))
-
-
-def full_text(entries: DataFrame, query: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Rows that hold every term of the query, with `score`: lower is better.
-
-    BM25 with k1 1.2 and b 0.75; a term's weight is ln((N - n + 0.5) / (n + 0.5)), at
-    least 1e-6, where N counts all rows with a text and n those that hold the term.
-    Statistics of the whole table are gathered in the pass that finds the hits. A query without terms has no hits.
-    """
-    terms = parse_query(query)
-    keep = keep or entries.columns
-    own = entries.select(*keep, index_text(F.col(text)).alias("_t")).where(F.col("_t").isNotNull())
-    if not terms:
-        return own.where(F.lit(False)).drop("_t").withColumn("score", F.lit(0.0))
-    words = F.when(F.col("_t") == "", 0).otherwise(F.regexp_count("_t", F.lit(" ")) + 1)
-    counted = own.select(*keep, words.alias("_len"), *(_hits(F.col("_t"), t).alias(f"_f{i}") for i, t in enumerate(terms)))
-    # One pass: the statistics are observed while the hits, which are few beside the rows, are written.
-    seen = Observation()
-    watched = counted.observe(seen, F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(terms))))
-    for i in range(len(terms)):
-        watched = watched.where(F.col(f"_f{i}") > 0)
-    found = cut_lineage(watched)
-    stats = seen.get
-    n, avg = stats["_n"], stats["_avg"] or 1.0
-    if not n:
-        return found.select(*keep, F.lit(0.0).alias("score"))
-    from math import log
-
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        d = stats[f"_d{i}"]
-        idf = log((n - d + 0.5) / (d + 0.5))
-        idf = idf if idf > 0 else 1e-6
-        tf = F.col(f"_f{i}").cast("double")
-        score = score + F.lit(idf) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("_len") / F.lit(avg)))
-    return found.select(*keep, (-score).alias("score"))
-
-
-def _same(word: str, w: Column) -> Column:
-    return w == word
-
-
 def without_chunk_echo(hits: DataFrame) -> DataFrame:
     """Drop a unit's `chunk` hit where an entry of another kind of the same unit is a hit too."""
     other = hits.where("kind <> 'chunk'").select(F.col("document_id").alias("_d"), F.col("unit_id").alias("_u")).distinct()
@@ -91,30 +43,6 @@ def without_chunk_echo(hits: DataFrame) -> DataFrame:
     return hits.join(other, echo, "left_anti")
 
 
-def ask(passages: DataFrame, question: str, text: str, order: str, top: int = 8, clip: int = 1500) -> DataFrame:
-    """The best passages for a question: `n` (1 is best), the order column, `score` (3 places), the passage.
-
-    BM25 over tokens without stop words, any term counts; weight ln((N - n + .5) / (n + .5) + 1); passages without
-    a score above zero don't come out; equal scores in the order of `order`.
-    """
-    from math import log
-
-    from pyspark.sql import Window
-
-    from paperloom.functions.text import clipped
-
-    terms = [w for w in dict.fromkeys(re.findall(r"[^\W_]+", question.lower())) if w not in STOPWORDS]
-    own = passages.where(F.trim(F.col(text)) != "").select(F.col(order).alias("_o"), F.col(text).alias("_x"), question_tokens(F.col(text)).alias("_t"))
-    if not terms:
-        return own.where(F.lit(False)).select(F.lit(1).alias("n"), F.col("_o").alias(order), F.lit(0.0).alias("score"), F.col("_x").alias("passage"))
-    counted = own.select("_o", "_x", F.size("_t").alias("_len"), *(F.size(F.filter("_t", functools.partial(_same, t))).alias(f"_f{i}") for i, t in enumerate(terms)))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("_len").alias("avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(len(terms)))).first()
-    n, avg = stats["n"], max(stats["avg"] or 1.0, 1.0)
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = log((n - stats[f"d{i}"] + 0.5) / (stats[f"d{i}"] + 0.5) + 1)
-        tf = F.col(f"_f{i}").cast("double")
-        score = score + F.lit(idf) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("_len") / F.lit(avg)))
-    best = counted.withColumn("_s", score).where("_s > 0").orderBy(F.desc("_s"), "_o").limit(top)
-    rank = F.row_number().over(Window.orderBy(F.desc("_s"), "_o"))  # over at most `top` rows
-    return best.select(rank.alias("n"), F.col("_o").alias(order), F.round("_s", 3).alias("score"), clipped(F.col("_x"), clip).alias("passage"))
+def question_terms(question: str) -> list[str]:
+    """The words of a question that are searched for, each once."""
+    return [w for w in dict.fromkeys(re.findall(r"[^\W_]+", question.lower())) if w not in STOPWORDS]

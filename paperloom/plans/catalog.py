@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from paperloom.plans import enrichment, intervals, retrieval
+from paperloom.plans import enrichment, intervals, joined, parsed, retrieval
 from paperloom.plans.registry import Query
 
-MODULES = [intervals, retrieval, enrichment]
+MODULES = [intervals, retrieval, enrichment, parsed, joined]
 
 
 def queries() -> dict[str, Query]:

@@ -274,32 +274,47 @@ def paragraph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("paragraph")).alias("n_chars"), F.count_if(F.contains("paragraph", F.lit("?"))).alias("n_questions"))
 
 
+def _any_phrase(phrases: tuple[str, ...]) -> str:
+    return " OR ".join("contains(line, ' " + p.replace("'", "''") + " ')" for p in phrases)
+
+
+_EDGE = r"[!-&(-/:-@\[-`{-~]+"
+
+
 @add(
     "tone_tags",
-    sql=r"""
-    WITH t AS (SELECT email_id, body, ' ' || trim(regexp_replace(lower(body), '[^a-z0-9?]+', ' ', 'g')) || ' ' AS p FROM emails WHERE body IS NOT NULL)
-    SELECT email_id, contains(body, '?') AS question, contains(p, ' urgent ') OR contains(p, ' asap ') OR contains(p, ' immediately ') OR contains(p, ' right away ') OR contains(p, ' deadline ') OR contains(p, ' as soon as possible ') AS urgent FROM t
+    sql=rf"""
+    WITH w AS (SELECT email_id, body, list_filter(list_transform(regexp_split_to_array(trim(body, ' ' || chr(10) || chr(13) || chr(9) || chr(12)), '\s+'), lambda x: replace(lower(regexp_replace(x, '^{_EDGE}|{_EDGE}$', '', 'g')), '’', '''')), lambda x: x <> '') AS ws FROM emails WHERE body IS NOT NULL),
+    t AS (SELECT *, ' ' || array_to_string(ws, ' ') || ' ' AS line, regexp_replace(body, '\s+$', '') AS shown FROM w)
+    SELECT email_id, ends_with(shown, '?') OR contains(shown, '? ') OR (len(ws) >= 3 AND ws[1] IN {T.QUESTION_OPENERS}) AS question,
+      {_any_phrase(T.URGENT)} OR len(body) - len(replace(body, '!', '')) >= 3 AS urgent, email_id % 2 = 0 AND ({_any_phrase(T.COMPLAINT)}) AS complaint FROM t
     """,
 )
 def tone_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = table(spark, sf_dir, "emails").where("body IS NOT NULL").select("email_id", T.tones(F.col("body")).alias("t"))
-    return tags.select("email_id", F.array_contains("t", "question").alias("question"), F.array_contains("t", "urgent").alias("urgent"))
+    """Tags of emails, of which those with an even id are taken as negative."""
+    label = F.when(F.col("email_id") % 2 == 0, "negative").otherwise("positive")
+    tags = table(spark, sf_dir, "emails").where("body IS NOT NULL").select("email_id", T.tones(F.col("body"), label).alias("t"))
+    return tags.select("email_id", *(F.array_contains("t", tag).alias(tag) for tag in ("question", "urgent", "complaint")))
+
+
+_META = {"source.filename": "regexp_extract(pdf, '([^/]*)$', 1)", "source.path": "pdf", "exif:Directory": "pdf", "exif:OwnerName": "origin", "exif:ImageSize": "'800x600'", "ffprobe.duration": "'12.5'", "exif:GPSLatitude": "'48.1'", "exif:ColorSpace": "'sRGB'", "pdf.PageCount": "'3'", "outline.title": "profile", "fs.size-bytes": "'9'", "x:FileAccessDate": "'2024'"}
 
 
 @add(
     "share_profile",
-    sql=r"""
-    SELECT document_id, regexp_extract(pdf, '([^/]*)$', 1) AS filename, 'source.filename' AS key FROM indexed_pdfs WHERE profile = 'share'
+    sql=f"""
+    WITH m AS (SELECT document_id, unnest([{', '.join(f"{{'key': '{k}', 'value': {v}}}" for k, v in _META.items())}]) AS e FROM indexed_pdfs WHERE profile = 'share')
+    SELECT document_id, e.key AS key, e.value AS value FROM m WHERE e.key IN ('source.filename', 'exif:ImageSize', 'ffprobe.duration', 'pdf.PageCount', 'outline.title', 'fs.size-bytes')
     """,
 )
 def share_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the share profile leaves of a document's metadata: allow-listed suffixes, paths cut to file names."""
-    d = table(spark, sf_dir, "indexed_pdfs").where("profile = 'share'")
-    meta = F.create_map(F.lit("source.path"), F.col("pdf"), F.lit("source.filename"), T.base_name(F.col("pdf")), F.lit("exif:Directory"), F.col("pdf"), F.lit("exif:OwnerName"), F.col("origin"))
+    """What the share profile leaves of a document's metadata."""
     from paperloom.operators.publish import share_metadata
 
-    kept = d.select("document_id", F.explode(share_metadata(meta)).alias("key", "filename"))
-    return kept.select("document_id", "filename", "key")
+    d = table(spark, sf_dir, "indexed_pdfs").where("profile = 'share'")
+    value = lambda v: T.base_name(F.col("pdf")) if v.startswith("regexp") else F.lit(v.strip("'")) if v.startswith("'") else F.col(v)
+    meta = F.create_map(*(x for k, v in _META.items() for x in (F.lit(k), value(v))))
+    return d.select("document_id", F.explode(share_metadata(meta)).alias("key", "value"))
 
 
 @add(
@@ -435,14 +450,19 @@ def document_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(
     "shared_entries",
-    sql="SELECT entry_id, kind, CASE WHEN kind = 'face' THEN 'face' ELSE text END AS text FROM entries e JOIN indexed_pdfs d USING (document_id) WHERE d.profile = 'share' AND kind <> 'location'",
+    sql="""
+    SELECT entry_id, kind, CASE WHEN kind = 'face' AND entry_id % 2 = 0 THEN 'face' ELSE text END AS text FROM entries e JOIN indexed_pdfs d USING (document_id)
+    WHERE d.profile = 'share' AND (kind <> 'location' OR entry_id % 3 = 0) AND NOT (kind = 'chunk' AND entry_id % 7 = 0)
+    """,
 )
 def shared_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of shared documents, without places and names of recognised people."""
+    """Entries of shared documents: every other face is taken as recognised, every third place as read from the text, every seventh chunk as a summary of people."""
     from paperloom.operators.publish import shared_entries as shared
 
     d = table(spark, sf_dir, "indexed_pdfs").where("profile = 'share'").select("document_id")
-    return shared(table(spark, sf_dir, "entries").join(d, "document_id", "left_semi")).select("entry_id", "kind", "text")
+    nth = lambda kind, n, key, value: F.when((F.col("kind") == kind) & (F.col("entry_id") % n == 0), F.to_json(F.create_map(F.lit(key), F.lit(value))))
+    marked = F.coalesce(nth("face", 2, "person", "Ann"), nth("location", 3, "source", "text"), nth("chunk", 7, "summary", "people"), F.col("attributes"))
+    return shared(table(spark, sf_dir, "entries").join(d, "document_id", "left_semi").withColumn("attributes", marked)).select("entry_id", "kind", "text")
 
 
 @add(

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.identity import derived_uuid
 from paperloom.functions.vectors import cosine
-from paperloom.operators.search import ask, full_text, without_chunk_echo
+from paperloom.functions import text as T
+from paperloom.operators.blocks import top_matches
+from paperloom.operators.index import StoredIndex, ask, full_text, search, snippet, stored_index
+from paperloom.operators.search import parse_query, question_terms, without_chunk_echo
 from paperloom.plans.registry import Registry
 from paperloom.session import table
 
@@ -125,20 +128,32 @@ def _fts_sql(conditions: list[str], tfs: list[str], tail: str = "", columns: str
     """
 
 
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "entries")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    return stored_index(_entries(spark, sf_dir), "entry_id", T.index_tokens(F.col("text")), "entries", sf_dir)
+
+
+def _scores(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    return full_text(_index(spark, sf_dir), query).select(F.col("id").alias("entry_id"), F.round("score", 6).alias("score"))
+
+
 @add("search_words", sql=_fts_sql([], ["len(list_filter(ts, lambda w: w = 'warranty'))", "len(list_filter(ts, lambda w: w = 'stamp'))"]))
 def search_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two words, both required, with their rank."""
-    return full_text(table(spark, sf_dir, "entries"), "Warranty stamp", keep=["entry_id"]).select("entry_id", F.round("score", 6).alias("score"))
+    return _scores(spark, sf_dir, "Warranty stamp")
 
 
 @add("search_prefix", sql=_fts_sql([], ["len(list_filter(ts, lambda w: starts_with(w, 'photogr')))"]))
 def search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return full_text(table(spark, sf_dir, "entries"), "photogr*", keep=["entry_id"]).select("entry_id", F.round("score", 6).alias("score"))
+    return _scores(spark, sf_dir, "photogr*")
 
 
 @add("search_phrase", sql=_fts_sql([], ["len(list_filter(range(1, len(ts)), lambda i: ts[i] = 'map' AND ts[i + 1] = 'cabinet'))"]))
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return full_text(table(spark, sf_dir, "entries"), '"Map cabinet"', keep=["entry_id"]).select("entry_id", F.round("score", 6).alias("score"))
+    return _scores(spark, sf_dir, '"Map cabinet"')
 
 
 @add(
@@ -152,11 +167,51 @@ def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def search_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits without the chunk of a unit that another kind of entry already stands for."""
-    hits = full_text(table(spark, sf_dir, "entries"), "bruno", keep=["entry_id", "document_id", "unit_id", "kind"])
-    return without_chunk_echo(hits).select("entry_id", "kind", F.round("score", 6).alias("score"))
+    hits = _entries(spark, sf_dir).select("entry_id", "document_id", "unit_id", "kind").join(_scores(spark, sf_dir, "bruno"), "entry_id")
+    return without_chunk_echo(hits).select("entry_id", "kind", "score")
+
+
+_CARD = _fts_sql([], ["len(list_filter(ts, lambda w: w = 'permit'))"], tail=", kept AS (SELECT * FROM hits h WHERE kind IN ('transcript', 'ocr'))", columns="*")
+
+
+@add(
+    "search_hits",
+    sql=f"""
+    WITH k AS ({_CARD})
+    SELECT row_number() OVER (ORDER BY score, entry_id) AS rank, entry_id, kind, pdf, page_first, round(score, 6) AS score FROM (
+      SELECT k.entry_id, k.kind, d.pdf, k.page_first, k.score FROM k JOIN indexed_pdfs d USING (document_id) ORDER BY k.score, k.entry_id LIMIT 25)
+    """,
+)
+def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best twenty-five entries of two kinds for a word, with their documents."""
+    found = search(_index(spark, sf_dir), _entries(spark, sf_dir), table(spark, sf_dir, "indexed_pdfs"), "permit", kinds=["transcript", "ocr"], limit=25)
+    return found.select("rank", "entry_id", "kind", "pdf", "page_first", F.round("score", 6).alias("score"))
 
 
-_STOP = "'a','an','and','are','as','at','be','by','did','do','does','for','from','had','has','have','how','in','is','it','of','on','or','that','the','this','to','was','were','what','when','where','which','who','why','will','with'"
+@add("search_snippets")
+def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best ten entries for a phrase, each with the tokens around its first hit."""
+    query = '"map cabinet"'
+    found = search(_index(spark, sf_dir), _entries(spark, sf_dir), table(spark, sf_dir, "indexed_pdfs"), query, limit=10)
+    return found.select("rank", "entry_id", snippet(T.index_tokens(F.col("text")), parse_query(query)).alias("snippet"))
+
+
+@add(
+    "search_person",
+    sql="""
+    SELECT row_number() OVER (ORDER BY pdf NULLS FIRST, page_first NULLS FIRST, start_seconds NULLS FIRST, entry_id) AS rank, entry_id, pdf, start_seconds FROM (
+      SELECT e.entry_id, d.pdf, e.page_first, e.start_seconds FROM entries e JOIN indexed_pdfs d USING (document_id) WHERE e.kind = 'face' AND lower(e.text) = 'person-1'
+      ORDER BY d.pdf NULLS FIRST, e.page_first NULLS FIRST, e.start_seconds NULLS FIRST, e.entry_id LIMIT 50)
+    """,
+)
+def search_person(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifty faces of a person, whose name stands in the attributes of their entries."""
+    named = _entries(spark, sf_dir).withColumn("attributes", F.when(F.col("kind") == "face", F.to_json(F.struct(F.col("text").alias("person")))).otherwise(F.col("attributes")))
+    found = search(_index(spark, sf_dir), named, table(spark, sf_dir, "indexed_pdfs"), person="PERSON-1", limit=50)
+    return found.select("rank", "entry_id", "pdf", "start_seconds")
+
+
+_STOP = "'a','an','and','are','as','at','be','by','did','do','does','for','from','how','in','is','it','of','on','or','say','said','the','that','this','to','was','were','what','when','where','which','who','why','with'"
 
 
 @add(
@@ -174,36 +229,35 @@ _STOP = "'a','an','and','are','as','at','be','by','did','do','does','for','from'
 )
 def ask_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight best passages for a question."""
-    return ask(table(spark, sf_dir, "chunks"), "When was the torn warranty scanned?", "text", "chunk_id")
+    chunks = table(spark, sf_dir, "chunks")
+    index = stored_index(chunks.where(F.trim("text") != ""), "chunk_id", T.question_tokens(F.col("text")), "chunks", sf_dir)
+    return ask(index, chunks, "chunk_id", "text", question_terms("When was the torn warranty scanned?"))
+
+
+_FINE = "vector IS NOT NULL AND len(vector) = dim AND len(list_filter(vector, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(vector, lambda v: v <> 0)) > 0"
 
 
 @add(
     "nearest_units",
-    sql="""
-    WITH q AS (SELECT model, dim, vector FROM unit_embeddings WHERE vector IS NOT NULL AND len(vector) = dim ORDER BY vec_id LIMIT 1),
+    sql=f"""
+    WITH e AS (SELECT vec_id, document_id, unit_id, model, dim, CAST(vector AS DOUBLE[]) AS v FROM unit_embeddings WHERE {_FINE}),
     p AS (SELECT document_id, unit_id, min(page_first) AS page_first, max(page_last) AS page_last FROM entries GROUP BY document_id, unit_id),
-    s AS (SELECT e.vec_id, e.document_id, e.unit_id, list_cosine_similarity(CAST(e.vector AS DOUBLE[]), CAST(q.vector AS DOUBLE[])) AS sim
-      FROM unit_embeddings e JOIN q ON e.model = q.model AND e.dim = q.dim WHERE e.vector IS NOT NULL AND len(e.vector) = e.dim
-        AND len(list_filter(e.vector, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(e.vector, lambda v: v <> 0)) > 0)
-    SELECT vec_id, round(sim, 6) AS similarity, d.pdf, p.page_first, p.page_last FROM (SELECT * FROM s ORDER BY sim DESC, vec_id LIMIT 10) s
-    JOIN indexed_pdfs d USING (document_id) LEFT JOIN p ON p.document_id = s.document_id AND p.unit_id = s.unit_id
+    s AS (SELECT q.vec_id AS asked_id, e.vec_id, e.document_id, e.unit_id, list_cosine_similarity(e.v, q.v) AS sim FROM e JOIN e q ON e.model = q.model AND e.dim = q.dim AND e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+    t AS (SELECT *, row_number() OVER (PARTITION BY asked_id ORDER BY round(sim, 9) DESC, vec_id) AS place FROM s)
+    SELECT asked_id, place, t.vec_id, round(sim, 5) AS similarity, d.pdf, p.page_first, p.page_last FROM t JOIN indexed_pdfs d USING (document_id) LEFT JOIN p ON p.document_id = t.document_id AND p.unit_id = t.unit_id WHERE place <= 10
     """,
 )
 def nearest_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten vectors most similar to one vector, of its model and dimension, with their pages."""
+    """For each unit vector whose id is divisible by fifty, the ten others most similar to it of its model and dimension, with their pages."""
     e = table(spark, sf_dir, "unit_embeddings").where("vector IS NOT NULL AND size(vector) = dim")
-    first = e.orderBy("vec_id").limit(1).collect()
-    if not first:
-        return spark.createDataFrame([], "vec_id long, similarity double, pdf string, page_first int, page_last int")
-    q = first[0]
-    fine = ~F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("vector", lambda v: v != 0)
-    same = e.where((F.col("model") == q.model) & (F.col("dim") == q.dim)).where(fine)
-    wanted = F.array(*(F.lit(float(v)) for v in q.vector))
-    best = same.select("vec_id", "document_id", "unit_id", cosine(F.col("vector"), wanted).alias("sim")).orderBy(F.desc("sim"), "vec_id").limit(10)
-    own = table(spark, sf_dir, "entries").join(F.broadcast(best.select("document_id", "unit_id").distinct()), ["document_id", "unit_id"], "left_semi")  # ten rows
-    pages = own.groupBy("document_id", "unit_id").agg(F.min("page_first").alias("page_first"), F.max("page_last").alias("page_last"))
+    e = e.where(~F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("vector", lambda v: v != 0))
+    group = F.concat_ws("/", "model", F.col("dim").cast("string"))
+    found = top_matches(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), group.alias("grp"), "vector"), e.select(F.col("vec_id").alias("id"), group.alias("grp"), "vector"), 10)
+    units = e.select(F.col("vec_id").alias("found_id"), "document_id", "unit_id")
+    pages = table(spark, sf_dir, "entries").groupBy("document_id", "unit_id").agg(F.min("page_first").alias("page_first"), F.max("page_last").alias("page_last"))
     docs = table(spark, sf_dir, "indexed_pdfs").select("document_id", "pdf")
-    return best.join(docs, "document_id").join(pages, ["document_id", "unit_id"], "left").select("vec_id", F.round("sim", 6).alias("similarity"), "pdf", "page_first", "page_last")
+    rows = found.join(units, "found_id").join(docs, "document_id").join(pages, ["document_id", "unit_id"], "left")
+    return rows.select("asked_id", "place", F.col("found_id").alias("vec_id"), F.round("similarity", 5).alias("similarity"), "pdf", "page_first", "page_last")
 
 
 @add(
@@ -274,12 +328,10 @@ def people_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
 def people_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faces of a stated query set (every fiftieth sighting): the person whose gallery is most similar, from 0.4 on."""
     s = table(spark, sf_dir, "sightings").where("vector IS NOT NULL")
-    gallery = people_gallery(spark, sf_dir).join(s.select("sighting_id", "vector"), "sighting_id").toDF("g_id", "g_person", "g_model", "g_vector")
-    asked = s.where("sighting_id % 50 = 0").select("sighting_id", "model", "vector")
-    pairs = asked.join(gallery, (F.col("model") == F.col("g_model")) & (F.col("sighting_id") != F.col("g_id")))
-    best = pairs.groupBy("sighting_id", "g_person").agg(F.max(cosine(F.col("vector"), F.col("g_vector"), -1.0, True)).alias("sim")).where("sim >= 0.4")
-    top = Window.partitionBy("sighting_id").orderBy(F.desc("sim"), F.desc("g_person"))
-    return best.withColumn("_r", F.row_number().over(top)).where("_r = 1").select("sighting_id", F.col("g_person").alias("person_id"), F.round("sim", 3).alias("similarity"))
+    gallery = people_gallery(spark, sf_dir).join(s.select("sighting_id", "vector"), "sighting_id")
+    asked = s.where("sighting_id % 50 = 0").select(F.col("sighting_id").alias("id"), F.col("model").alias("grp"), "vector")
+    best = top_matches(asked, gallery.select(F.col("sighting_id").alias("id"), F.col("model").alias("grp"), "vector", F.col("person_id").alias("owner")), 1, 0.4)
+    return best.select(F.col("asked_id").alias("sighting_id"), F.col("owner").alias("person_id"), F.round("similarity", 3).alias("similarity"))
 
 
 @add(

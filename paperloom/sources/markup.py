@@ -197,6 +197,12 @@ def bookmarks(source: Column) -> Column:
     return run(source)
 
 
+def link_list(source: Column) -> Column:
+    """Links of a plain list, a line each: only http and https, each once, the first counts."""
+    lines = F.transform(F.split(source, r"\r?\n"), lambda x: F.trim(x))
+    return F.array_distinct(F.filter(lines, lambda x: x.rlike(r"(?i)^https?://\S+$")))
+
+
 def page_words(xhtml: Column) -> Column:
     """Words of `<page>` and `<word>` elements as boxes in parts of the page: `page`, `text`, `x`, `y`, `width`, `height`."""
 

@@ -197,6 +197,23 @@ def slack_day(messages: list[dict], users: dict[str, str]) -> list[tuple]:
     return out
 
 
+def slack_messages(rows: DataFrame, users: DataFrame) -> DataFrame:
+    """Messages of day files (`user`, `text`, `ts`, `thread_ts`) with the names of `users` (`user`, `name`): adds `day`, `time` (UTC) and `sender`.
+
+    Users named in the text are looked up too, by a join on the ids that each message names; an unknown id stands for itself.
+    """
+    own = rows.withColumn("_row", F.monotonically_increasing_id())
+    named = own.select("_row", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"<@(\w+)"), F.lit(1)))).alias("user")).join(users, "user")
+    names = named.groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("user", "name"))).alias("_names"))  # of one message
+    whole = own.join(names, "_row", "left").join(users.withColumnRenamed("name", "_sender"), "user", "left")
+    plain = F.pandas_udf(lambda t, n: pd.Series([None if x is None else slack_text(x, dict(m) if m is not None else {}) for x, m in zip(t, n)]), "string")
+    body = plain(F.col("text"), F.col("_names"))
+    reply = F.col("thread_ts").isNotNull() & (F.col("thread_ts") != F.col("ts"))
+    at = F.timestamp_seconds(F.col("ts").cast("double"))
+    stamped = whole.withColumns({"text": F.when(reply, F.concat(F.lit("(thread reply) "), body)).otherwise(body), "day": F.date_format(at, "yyyy-MM-dd"), "time": F.date_format(at, "HH:mm:ss"), "sender": F.coalesce("_sender", "user")})
+    return stamped.drop("_row", "_names", "_sender")
+
+
 _IM = re.compile(r"^([A-Z][a-z]{2}) (\d{1,2}), (\d{4}) +(\d{1,2}):(\d{2}):(\d{2})[\s ]([AP])M(?: \(.*\))?$")
 
 

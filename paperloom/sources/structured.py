@@ -151,6 +151,116 @@ def json_units(df: DataFrame, key: str, text: str, lines: Column) -> DataFrame:
     return own.mapInPandas(run, f"_id {kind}, unit_no int, pointer string, text string, warning string").withColumnRenamed("_id", key)
 
 
+_SPACE = " \t\r\n"
+
+
+def begins_as_json(text: str) -> bool:
+    """Whether a text begins as an object or an array of JSON; it may be cut off anywhere."""
+    plain = text.lstrip("\ufeff" + _SPACE)
+    if plain[:1] not in ("{", "["):
+        return False
+    after = plain[1:].lstrip(_SPACE)
+    if not after:
+        return True
+    if plain[0] == "{":
+        return after[0] in "\"}"
+    return after[0] in "{[]\"-0123456789" or any(word.startswith(after[: len(word)]) or after.startswith(word) for word in ("true", "false", "null"))
+
+
+def looks_like_json(text: Column) -> Column:
+    """`begins_as_json` of a column."""
+    return F.pandas_udf(lambda s: s.map(lambda t: bool(t) and begins_as_json(t)), "boolean")(text)
+
+
+def _value_end(text: str, at: int) -> int:
+    """Where the JSON value that starts at `at` ends."""
+    depth, inside, k = 0, False, at
+    while k < len(text):
+        c = text[k]
+        if inside:
+            k += c == "\\"
+            inside = c != '"'
+        elif c == '"':
+            inside = True
+        elif c in "{[":
+            depth += 1
+        elif c in "}],":
+            if depth == 0:
+                break
+            depth -= c != ","
+        k += 1
+        if depth == 0 and not inside and c in '}]"':
+            return k
+    return len(text[:k].rstrip(_SPACE))
+
+
+def spans(text: str) -> list[tuple[str, int, int]]:
+    """Members of the outermost object or array as (name or index, first byte, byte after the last), in UTF-8; none for other texts."""
+    json.loads(text)
+    at = len(text) - len(text.lstrip("\ufeff" + _SPACE))
+    if text[at : at + 1] not in ("{", "["):
+        return []
+    named, out, at = text[at] == "{", [], at + 1
+    measure, done = 0, 0  # bytes before the character `done`
+    while True:
+        while at < len(text) and text[at] in _SPACE + ",":
+            at += 1
+        if at >= len(text) or text[at] in "}]":
+            return out
+        name = str(len(out))
+        if named:
+            end = _value_end(text, at)
+            name = json.loads(text[at:end])
+            at = text.index(":", end) + 1
+            while text[at] in _SPACE:
+                at += 1
+        end = _value_end(text, at)
+        start = measure + len(text[done:at].encode())
+        measure, done = start + len(text[at:end].encode()), end
+        out.append((name, start, measure))
+        at = end
+
+
+def member_spans(text: Column) -> Column:
+    """`spans` of a column as (`name`, `byte_start`, `byte_end`); a text that isn't JSON has none."""
+
+    @F.pandas_udf("array<struct<name string, byte_start long, byte_end long>>")
+    def run(batch: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return [{"name": n, "byte_start": a, "byte_end": b} for n, a, b in spans(t)] if t else []
+            except ValueError:
+                return []
+
+        return batch.map(one)
+
+    return run(text)
+
+
+def _members(node, path: str = "") -> list[tuple[str, str]]:
+    if _is_object(node):
+        return [row for name, child in node[1] for row in _members(child, f"{path}.{name}" if path else name)]
+    if isinstance(node, list):
+        return [row for i, child in enumerate(node) for row in _members(child, f"{path}[{i}]")]
+    return [] if node is None else [(path, _scalar(node))]
+
+
+def flattened(text: Column) -> Column:
+    """A map of the leaves of a JSON text by dotted keys, `a.b[0]`; nulls are left out, and of repeated keys the last counts."""
+
+    @F.pandas_udf("map<string,string>")
+    def run(batch: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return dict(_members(load(t))) if t else {}
+            except ValueError:
+                return {}
+
+        return batch.map(one)
+
+    return run(text)
+
+
 RMETA_BYTES, RMETA_FIELDS = 8 << 20, 200
 
 
