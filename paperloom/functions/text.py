@@ -172,3 +172,34 @@ def wrapped(text: Column, width: int) -> Column:
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\t", "    "), "\r\n?", "\n"), r"[\p{Cntrl}&&[^\n]]", "")
     fold = lambda line: F.when(line == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(line, F.lit(rf"(?:\S.{{0,{width - 2}}}\S|\S)(?=\s|$)|\S{{{width}}}|\S+"), F.lit(0)))
     return F.flatten(F.transform(F.split(plain, "\n"), fold))
+
+
+def table_name(name: Column) -> Column:
+    """The table of options of a plugin: trimmed, with _ for -."""
+    return F.replace(F.trim(name), F.lit("-"), F.lit("_"))
+
+
+def base_type(content_type: Column) -> Column:
+    """A media type without its parameters, in lower case."""
+    return F.lower(F.trim(F.split(content_type, ";")[0]))
+
+
+def tidied(text: Column) -> Column:
+    """Lines without white space at their ends; runs of blank lines become one, and none stands at either end."""
+    lines = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"(?m)[^\S\n]+$", "")
+    return F.regexp_replace(F.regexp_replace(lines, r"\n{3,}", "\n\n"), r"^\n+|\s+$", "")
+
+
+def picked(answer: Column, categories: list[str]) -> Column:
+    """The category that an answer names first, without regard to case; of equal places the first of the list."""
+    low = F.lower(answer)
+    places = F.array(*(F.struct(F.locate(c.lower(), low).alias("at"), F.lit(k).alias("k"), F.lit(c).alias("name")) for k, c in enumerate(categories)))
+    return F.array_min(F.filter(places, lambda p: p["at"] > 0))["name"]
+
+
+def topics(answer: Column, most: int = 5, longest: int = 60) -> Column:
+    """Short topics of an answer, from its lines and commas, without the marks of lists; each once without regard to case."""
+    clean = lambda t: F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(t), r"^[0-9*•.)\-]+", "")), r'^[".]+|[".]+$', ""))
+    parts = F.filter(F.transform(F.split(answer, r"[\n,]"), clean), lambda t: (t != "") & (F.length(t) <= longest) & ~F.endswith(t, F.lit(":")))
+    fresh = F.filter(F.transform(parts, lambda t, i: F.when(~F.exists(F.slice(parts, 1, i), lambda o: F.lower(o) == F.lower(t)), t)), lambda t: t.isNotNull())
+    return F.slice(fresh, 1, most)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,3 +52,24 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
+
+
+def to_bytes(a: Column, double: bool = False) -> Column:
+    """A vector as little-endian floats, or doubles."""
+
+    @F.pandas_udf("binary")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda v: None if v is None else np.asarray(v, dtype="<f8" if double else "<f4").tobytes())
+
+    return run(a)
+
+
+def from_bytes(a: Column, double: bool = False) -> Column:
+    """The vector of little-endian floats, or doubles; bytes beyond the last whole one are left out."""
+
+    @F.pandas_udf("array<double>" if double else "array<float>")
+    def run(batch: pd.Series) -> pd.Series:
+        size = 8 if double else 4
+        return batch.map(lambda b: None if b is None else np.frombuffer(bytes(b)[: len(b) // size * size], dtype="<f8" if double else "<f4"))
+
+    return run(a)

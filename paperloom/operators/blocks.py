@@ -73,10 +73,7 @@ def top_matches(asked: DataFrame, rows: DataFrame, k: int, least: float = -1.5)
     numbered = asked.where("vector IS NOT NULL").withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     found = None
     for block in range(blocks):
-        own: dict = {}
-        for r in numbered.where(F.col("_block") == block).select("id", "grp", "vector").toPandas().itertuples(index=False):  # BLOCK_ROWS or so
-            own.setdefault((r.grp, len(r.vector)), []).append((r.id, r.vector))
-        ready = {key: (np.array([i for i, _ in v], dtype=np.int64), _units([x for _, x in v])) for key, v in own.items()}
+        ready = _block(numbered.where(F.col("_block") == block))
         part = rows.mapInArrow(_against(ready, k, least), _FOUND)
         found = part if found is None else found.unionByName(part)
     if owned:
@@ -84,3 +81,42 @@ def top_matches(asked: DataFrame, rows: DataFrame, k: int, least: float = -1.5)
         found = found.groupBy("asked_id", "owner").agg(best.alias("b")).select("asked_id", "b.found_id", "owner", "b.similarity")
     order = Window.partitionBy("asked_id").orderBy(F.desc("similarity"), *([F.desc("owner")] if owned else []), "found_id")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def all_matches(asked: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """For each asking row every row of its group and length of at least that similarity: `asked_id`, `found_id`, `similarity` (nine places). In blocks, as `top_matches`."""
+    blocks = max(1, -(-asked.count() // BLOCK_ROWS))
+    numbered = asked.where("vector IS NOT NULL").withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    rows = rows.select("id", "grp", "vector").where("vector IS NOT NULL")
+    found = None
+    for block in range(blocks):
+        part = rows.mapInArrow(_within(_block(numbered.where(F.col("_block") == block)), least), "asked_id long, found_id long, similarity double")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _block(asked: DataFrame) -> dict:
+    """The asking vectors of a block (BLOCK_ROWS or so), by group and length."""
+    own: dict = {}
+    for r in asked.select("id", "grp", "vector").toPandas().itertuples(index=False):
+        own.setdefault((r.grp, len(r.vector)), []).append((r.id, r.vector))
+    return {key: (np.array([i for i, _ in v], dtype=np.int64), _units([x for _, x in v])) for key, v in own.items()}
+
+
+def _within(asked: dict, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pandas()
+            rows["_n"] = rows["vector"].map(len)
+            for key, part in rows.groupby(["grp", "_n"], sort=False):
+                if key not in asked:
+                    continue
+                ids, x = asked[key]
+                own, units = part["id"].to_numpy(), _units(part["vector"].tolist())
+                for start in range(0, len(ids), 512):
+                    near = np.round(np.nan_to_num(x[start : start + 512] @ units.T, nan=-2.0), 9)
+                    ask, column = np.nonzero((near >= least) & (ids[start : start + 512][:, None] != own[None, :]))
+                    if len(ask):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[start : start + 512][ask]), pa.array(own[column]), pa.array(near[ask, column])], names=["asked_id", "found_id", "similarity"])
+
+    return run

@@ -51,6 +51,14 @@ def manifest(entries: DataFrame, documents: DataFrame) -> DataFrame:
     return named.select("document_id", F.to_json(F.struct("file", "profile", "sources")).alias("manifest"))
 
 
+MANIFEST = "file string, profile string, sources array<struct<source_id string, page_first int, page_last int, units array<struct<unit_id string, page_first int, page_last int>>>>"
+
+
+def read_manifest(text: Column) -> Column:
+    """A manifest as columns; null where the text isn't one."""
+    return F.from_json(text, MANIFEST)
+
+
 def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """`old` with the rows of `new` in place of those with the same key; a null key replaces nothing."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

@@ -22,20 +22,27 @@ def scenes(df: DataFrame, keys: list[str], order: list[str], starts: Column) ->
     return df.withColumn("scene", F.sum(F.when(starts, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
-def near(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, pad: float, bin_size: float = 60.0) -> DataFrame:
+def near(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, pad: float, bin_size: float = 60.0, open_end: bool = False) -> DataFrame:
     """Points within a span of the same key, `pad` on both sides: an equi-join on time bins, then the exact test.
 
-    A span is copied to each bin that it touches, so that no bin sees all of a key's spans.
+    A span is copied to the bins of a size of its own, the powers of four of `bin_size`: to five of
+    them at most, however long it is, and a point looks into a bin of each size. With `open_end`
+    a span doesn't hold its end. Bounds that are null, NaN or infinite count for nothing.
     """
-    bins = lambda c: F.floor(c / F.lit(bin_size)).cast("long")
-    left = points.where(F.col(at).isNotNull() & ~F.isnan(at)).withColumn("_bin", bins(F.col(at)))
-    fine = spans.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start)))
-    right = fine.withColumn("_bin", F.explode(F.sequence(bins(F.col(start) - pad), bins(F.col(end) + pad))))
-    return left.join(right, [key, "_bin"]).where((F.col(at) >= F.col(start) - pad) & (F.col(at) <= F.col(end) + pad)).drop("_bin")
+    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < F.lit(1e12))
+    bins = lambda c, level: F.floor(c / (F.lit(bin_size) * F.pow(F.lit(4.0), level))).cast("long")
+    right = spans.where(fine(start) & fine(end) & (F.col(end) >= F.col(start)))
+    size = F.greatest(F.lit(1.0), (F.col(end) - F.col(start) + 2 * pad) / bin_size)
+    right = right.withColumn("_level", F.floor(F.log(4.0, size)).cast("int"))
+    levels = [r["_level"] for r in right.select("_level").distinct().collect()]  # a few dozen at most
+    right = right.withColumn("_bin", F.explode(F.sequence(bins(F.col(start) - pad, F.col("_level")), bins(F.col(end) + pad, F.col("_level")))))
+    left = points.where(fine(at)).withColumn("_level", F.explode(F.array(*map(F.lit, sorted(levels))).cast("array<int>"))).withColumn("_bin", bins(F.col(at), F.col("_level")))
+    before_end = F.col(at) < F.col(end) + pad if open_end else F.col(at) <= F.col(end) + pad
+    return left.join(right, [key, "_level", "_bin"]).where((F.col(at) >= F.col(start) - pad) & before_end).drop("_level", "_bin")
 
 
-def greedy_boxes(df: DataFrame, keys: list[str], order: str, score: str, box: list[str], threshold: float = 0.5, limit: int = 100) -> DataFrame:
-    """Non-maximum suppression: by falling score, a box is kept unless it overlaps a kept one of its group by more than `threshold`."""
+def greedy_boxes(df: DataFrame, keys: list[str], order: str, score: str, box: list[str], threshold: float = 0.5, limit: int | None = None) -> DataFrame:
+    """Non-maximum suppression: by falling score, a box is kept unless it overlaps a kept one of its group by more than `threshold`; of each group `limit` boxes at most."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values([score, order], ascending=[False, True], kind="stable")
@@ -105,3 +112,18 @@ def flow_pages(df: DataFrame, key: str, order: str, rows: str, per_page: int = 5
         return group.assign(page_first=first, page_last=last)
 
     return df.groupBy(key).applyInPandas(run, schema)
+
+
+def flow_runs(df: DataFrame, key: str, order: str, flows: Column) -> DataFrame:
+    """Adds `run`, a number per stretch of rows that flow into each other; a row that doesn't is a run of its own."""
+    w = Window.partitionBy(key).orderBy(order)
+    starts = F.when(flows & F.coalesce(F.lag(flows).over(w), F.lit(False)), 0).otherwise(1)
+    return df.withColumn("_starts", starts).withColumn("run", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_starts")
+
+
+def text_blocks(lines: DataFrame, key: str, order: str = "y") -> DataFrame:
+    """Adds `block` to lines of text (`y`, `height`): a new one where the gap to the line above is as high as that line or higher."""
+    w = Window.partitionBy(key).orderBy(order)
+    gap = F.col("y") - (F.lag("y").over(w) + F.lag("height").over(w))
+    starts = F.when(gap < F.lag("height").over(w), 0).otherwise(1)
+    return lines.withColumn("_starts", starts).withColumn("block", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_starts")

@@ -409,15 +409,29 @@ def face_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("kept_frames")
 def kept_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sightings of a recording whose hashed frame isn't close to one of the twelve kept before."""
-    s = table(spark, sf_dir, "sightings").where("source_path IS NOT NULL").select("source_path", "sighting_id", F.xxhash64("frame", "source_path").alias("print"))
-    return drop_near_copies(s, ["source_path"], "sighting_id", "print", 4)
+    """Sightings of a recording whose picture isn't close to one of the twelve kept before; the signs of a face's vector are its fingerprint."""
+    s = table(spark, sf_dir, "sightings").where("source_path IS NOT NULL AND vector IS NOT NULL")
+    bits = F.aggregate("vector", F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.when(x > 0, 1).otherwise(0).cast("long")))
+    return drop_near_copies(s.select("source_path", "sighting_id", bits.alias("print")), ["source_path"], "sighting_id", "print", 2)
 
 
-@add("page_flow")
+@add(
+    "page_flow",
+    sql="""
+    WITH RECURSIVE c AS (SELECT document_id, chunk_id, len(string_split(text, chr(10))) AS n, row_number() OVER (PARTITION BY document_id ORDER BY chunk_id) AS r FROM chunks WHERE document_id IS NOT NULL AND text IS NOT NULL),
+    f AS (
+      SELECT document_id, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS chunk_id, CAST(0 AS BIGINT) AS n_lines, CAST(1 AS BIGINT) AS page_first, CAST(1 AS BIGINT) AS page_last, CAST(0 AS BIGINT) AS used FROM (SELECT DISTINCT document_id FROM c)
+      UNION ALL
+      SELECT document_id, r, chunk_id, n, page, CASE WHEN n <= 59 - top THEN page ELSE page + CAST(ceil((n - (59 - top)) / 59.0) AS BIGINT) END, CASE WHEN n <= 59 - top THEN top + n ELSE n - (59 - top) - 59 * (CAST(ceil((n - (59 - top)) / 59.0) AS BIGINT) - 1) END
+      FROM (SELECT f.document_id, c.r, c.chunk_id, c.n, f.page_last + CASE WHEN f.used > 0 AND (f.used + 2 > 59 OR (c.n <= 59 AND f.used + 1 + c.n > 59)) THEN 1 ELSE 0 END AS page,
+        CASE WHEN f.used > 0 AND (f.used + 2 > 59 OR (c.n <= 59 AND f.used + 1 + c.n > 59)) THEN 0 WHEN f.used > 0 THEN f.used + 1 ELSE 0 END AS top FROM f JOIN c ON c.document_id = f.document_id AND c.r = f.r + 1)
+    )
+    SELECT document_id, chunk_id, n_lines, page_first, page_last FROM f WHERE r > 0
+    """,
+)
 def page_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of a document on pages of 59 lines."""
-    c = table(spark, sf_dir, "chunks").select("document_id", "chunk_id", F.size(F.split("text", "\n")).alias("n_lines")).where("document_id IS NOT NULL")
+    c = table(spark, sf_dir, "chunks").where("document_id IS NOT NULL AND text IS NOT NULL").select("document_id", "chunk_id", F.size(F.split("text", "\n")).alias("n_lines"))
     return flow_pages(c, "document_id", "chunk_id", "n_lines")
 
 
@@ -440,12 +454,21 @@ def transcript_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("document_id", "source_id", F.array_join("r.line", "\n").alias("text"), "n")
 
 
-@add("document_manifests")
+@add(
+    "document_manifests",
+    sql=r"""
+    WITH u AS (SELECT document_id, source_id, unit_id, min(page_first) AS a, max(page_last) AS b FROM entries GROUP BY 1, 2, 3)
+    SELECT d.document_id, regexp_extract(any_value(d.pdf), '([^/]*)$', 1) AS file, count(DISTINCT coalesce(u.source_id, '')) AS n_sources, count(*) AS n_units, min(u.a) AS page_first, max(u.b) AS page_last FROM u JOIN indexed_pdfs d USING (document_id) GROUP BY d.document_id
+    """,
+)
 def document_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON manifest per document."""
-    from paperloom.operators.publish import manifest
+    """One JSON manifest per document, and what it says when it is read back."""
+    from paperloom.operators.publish import manifest, read_manifest
 
-    return manifest(table(spark, sf_dir, "entries"), table(spark, sf_dir, "indexed_pdfs"))
+    written = manifest(table(spark, sf_dir, "entries"), table(spark, sf_dir, "indexed_pdfs"))
+    m = written.select("document_id", read_manifest(F.col("manifest")).alias("m"))
+    units = F.flatten(F.transform("m.sources", lambda s: s["units"]))
+    return m.select("document_id", "m.file", F.size("m.sources").alias("n_sources"), F.size(units).alias("n_units"), F.array_min(F.transform(units, lambda u: u["page_first"])).alias("page_first"), F.array_max(F.transform(units, lambda u: u["page_last"])).alias("page_last"))
 
 
 @add(

@@ -24,13 +24,20 @@ MAGICS = (
 
 
 def discover(spark: SparkSession, path: str, hidden: bool = False, pattern: str | None = None) -> DataFrame:
-    """Files below a folder, each once, in the order of their paths: `path`, `size`, `modified`, `content`."""
+    """Files below a folder, each once: `path`, `size`, `modified`, `content`. Hidden ones, and those whose path doesn't match, aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     if not hidden:
         files = files.where(~F.col("path").rlike(r"/\.[^/]"))
     if pattern:
         files = files.where(F.col("path").rlike(pattern))
-    return files.dropDuplicates(["path"]).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content").orderBy("path")
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+
+
+def input_order(files: DataFrame, roots: list[str]) -> DataFrame:
+    """The paths of the files below `roots`, each once, as `path` and `root` (from 1), by the first root that holds it and then by path."""
+    which = F.array_position(F.array(*(F.startswith("path", F.lit(r.rstrip("/") + "/")) | (F.col("path") == r) for r in roots)), True).cast("int")
+    paths = files.select("path", which.alias("root")).where("root > 0").groupBy("path").agg(F.min("root").alias("root"))
+    return paths.select("path", "root").orderBy("root", "path")
 
 
 def content_type(content: Column) -> Column:

@@ -151,6 +151,13 @@ def json_units(df: DataFrame, key: str, text: str, lines: Column) -> DataFrame:
     return own.mapInPandas(run, f"_id {kind}, unit_no int, pointer string, text string, warning string").withColumnRenamed("_id", key)
 
 
+def segments(text: Column) -> Column:
+    """Spoken segments of a recogniser's JSON (`segments` of `start`, `end`, `text`) as `start_seconds`, `end_seconds`, `text`; empty ones and those that end before they start are left out."""
+    read = F.from_json(text, "segments array<struct<start double, end double, text string>>")["segments"]
+    fine = F.filter(read, lambda s: (s["end"] >= s["start"]) & (F.trim(s["text"]) != ""))
+    return F.transform(fine, lambda s: F.struct(s["start"].alias("start_seconds"), s["end"].alias("end_seconds"), F.trim(s["text"]).alias("text")))
+
+
 _SPACE = " \t\r\n"
 
 

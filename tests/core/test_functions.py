@@ -116,12 +116,42 @@ def test_parsed_documents():
     assert units == [(1, "A\n\nB", {"dc:title": "T"}), (3, "C", {"n": "1, 2"})]
 
 
-def test_full_text(spark):
-    from paperloom.operators.search import ask, full_text
+def test_full_text(spark, tmp_path):
+    from paperloom.operators.index import ask, build_index, full_text, search
+    from paperloom.operators.search import question_terms
 
     df = spark.createDataFrame([(1, "Résumé of the map cabinet"), (2, "map of a cabinet map cabinet"), (3, None), (4, ""), (5, "other words")], "id int, text string")
-    found = lambda q: [r.id for r in full_text(df, q, keep=["id"]).orderBy("score", "id").collect()]
-    assert found('"map cabinet"') == [2, 1] or found('"map cabinet"') == [1, 2]
-    assert found("RESUME cab*") == [1] and found("?!") == [] and found("absent") == []
-    assert full_text(df.limit(0), "map").count() == 0
-    assert [r.id for r in ask(df, "Where is the cabinet?", "text", "id").collect()] and ask(df, "who is it", "text", "id").count() == 0
+    index = build_index(df, "id", text.index_tokens(F.col("text")), str(tmp_path / "a"))
+    found = lambda q: [r.id for r in full_text(index, q).orderBy("score", "id").collect()]
+    assert sorted(found('"map cabinet"')) == [1, 2] and found('"cabinet map"') == [2] and found("RESUME cab*") == [1]
+    assert found("?!") == [] and found("absent") == [] and index.table("totals").first()["n"] == 4
+    empty = build_index(df.limit(0), "id", text.index_tokens(F.col("text")), str(tmp_path / "b"))
+    assert full_text(empty, "map").count() == 0
+    asked = build_index(df.where("trim(text) <> ''"), "id", text.question_tokens(F.col("text")), str(tmp_path / "c"))
+    assert {r.id for r in ask(asked, df, "id", "text", question_terms("Where is the cabinet?")).collect()} == {1, 2}
+    assert ask(asked, df, "id", "text", question_terms("who is it")).count() == 0
+    for bad in ({}, {"text": "map", "limit": 0}):
+        with pytest.raises(ValueError):
+            search(index, df, df, **bad)
+
+
+def test_matches_in_blocks(spark, monkeypatch):
+    from paperloom.operators import blocks
+
+    rows = [(i, "g", [float(i % 7), 1.0], i % 4) for i in range(60)] + [(100, "g", [0.0, 0.0], 1), (101, "g", [1.0], 1), (102, "h", [1.0, 1.0], 1), (103, "g", None, 1)]
+    df = spark.createDataFrame(rows, "id long, grp string, vector array<float>, owner long")
+    read = lambda k: sorted((r.asked_id, r.place, r.found_id, r.owner) for r in blocks.top_matches(df.where("id % 20 = 0"), df, k).collect())
+    whole = read(2)
+    assert [x for x in whole if x[0] == 0] == [(0, 1, 7, 3), (0, 2, 14, 2)]
+    plain = sorted((r.asked_id, r.place, r.found_id) for r in blocks.top_matches(df.where("id = 0"), df.drop("owner"), 3).collect())
+    assert plain == [(0, 1, 7), (0, 2, 14), (0, 3, 21)]
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 2)
+    assert read(2) == whole and blocks.all_matches(df.where("id = 0"), df, 0.999999).count() == 8
+
+
+def test_spans_of_any_length(spark):
+    points = spark.createDataFrame([(1, 5.0), (1, 5000.0), (1, 1e9), (1, float("nan")), (2, 5.0)], "k int, at double")
+    spans = spark.createDataFrame([(1, 0.0, 1e10, "a"), (1, 5.0, 5.0, "b"), (1, 4999.0, 5000.0, "c"), (1, 0.0, float("inf"), "d"), (1, 0.0, float("nan"), "e"), (1, 9.0, 1.0, "f")], "k int, s double, e double, n string")
+    got = sorted((r.at, r.n) for r in runs.near(points, spans, "k", "at", "s", "e", 0.0).collect())
+    assert got == [(5.0, "a"), (5.0, "b"), (5000.0, "a"), (5000.0, "c"), (1e9, "a")]
+    assert [(r.at, r.n) for r in runs.near(points, spans, "k", "at", "s", "e", 0.0, open_end=True).collect() if r.n != "a"] == []
