@@ -61,12 +61,20 @@ def with_tokens(df: DataFrame, text: str, tokenizer: str = TOKENIZER) -> DataFra
 def apportion(seats: int, weights: dict, caps: dict) -> dict:
     """Sainte-Laguë with caps; ties go to the smaller key. Seats beyond all caps stay empty.
 
-    No party falls more than half the number of parties below its exact share, so all
-    but the last few seats are given at once.
+    A divisor that gives out no more than the seats is found by halving, and the few seats
+    that are left go by the highest quotients; the work doesn't grow with the seats.
     """
     weights = {k: w for k, w in sorted(weights.items()) if w > 0 and caps[k] > 0}
-    total = sum(weights.values())
-    quota = {k: max(0, min(caps[k], int(seats * w / total) - len(weights))) for k, w in weights.items()}
+    given = lambda rate: {k: min(caps[k], int(w * rate + 0.5)) for k, w in weights.items()}
+    low, high = 0.0, max(((min(seats, caps[k]) + 1) / w for k, w in weights.items()), default=0.0)
+    for _ in range(100):
+        middle = (low + high) / 2
+        if sum(given(middle).values()) <= seats:
+            low = middle
+        else:
+            high = middle
+    # One seat less for each, so that ties at the divisor are decided by the quotients.
+    quota = {k: max(0, n - 1) for k, n in given(low).items()}
     left = seats - sum(quota.values())
     heap = [(-w / (2 * quota[k] + 1), k) for k, w in weights.items() if quota[k] < caps[k]]
     heapq.heapify(heap)

@@ -1,3 +1,5 @@
+import random
+
 from paperloom.llm.mixing import apportion, mix
 
 
@@ -43,3 +45,19 @@ def test_asked_total_runs_into_caps_and_empty(spark):
     assert by["a"].n_tokens_used == by["a"].n_tokens_available and by["a"].reached_share < 0.9
     rows, report = mix(*tables(spark, [], [("a", 0.9, 1)]), "doc_id", "text", "source")
     assert rows.count() == 0 and [r.reached_share for r in report.collect()] == [0.0]
+
+
+def test_apportionment_is_that_of_seat_by_seat():
+    rnd = random.Random(3)
+    for _ in range(200):
+        keys = [f"k{i}" for i in range(rnd.randrange(1, 7))]
+        weights, caps = {k: rnd.choice([0.0, 1.0, 2.0, 3.5, 0.25]) for k in keys}, {k: rnd.choice([0, 1, 5, 40, 1000]) for k in keys}
+        seats = rnd.randrange(0, 120)
+        quota = {k: 0 for k in sorted(keys) if weights[k] > 0 and caps[k] > 0}
+        for _ in range(seats):
+            free = [k for k in quota if quota[k] < caps[k]]
+            if free:
+                best = max(free, key=lambda k: (weights[k] / (2 * quota[k] + 1), [-ord(c) for c in k]))
+                quota[best] += 1
+        assert apportion(seats, weights, caps) == quota
+    assert sum(apportion(10**9, {"a": 0.9, "b": 0.1}, {"a": 10**8, "b": 10**10}).values()) == 10**9
