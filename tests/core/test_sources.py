@@ -31,24 +31,24 @@ def test_cues():
 
 
 def test_email():
-    raw = "From: =?utf-8?q?Caf=C3=A9?= <a@x.test>\nTo: b@x.test, C <c@x.test>\nSubject: =?utf-8?q?Caf=C3=A9_invoice?=\nDate: Mon, 05 Oct 2026 11:30:00 +0200\nMessage-ID: <1@x>\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=B\n\n--B\nContent-Type: text/plain\n\nBody\n--B\nContent-Type: text/plain\nContent-Disposition: attachment; filename=\"../../notes.txt\"\n\nx\n--B--\n"
+    raw = "From: =?utf-8?q?M=C3=BChle?= <a@x.test>\nTo: b@x.test, C <c@x.test>\nSubject: =?utf-8?q?M=C3=BChle_ledger?=\nDate: Thu, 11 Mar 2021 17:45:00 +0200\nMessage-ID: <1@x>\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=B\n\n--B\nContent-Type: text/plain\n\nBody\n--B\nContent-Type: text/plain\nContent-Disposition: attachment; filename=\"../../notes.txt\"\n\nx\n--B--\n"
     got = messages.read_email(raw)
-    assert got["subject"] == "Café invoice" and got["date"] == "2026-10-05T09:30:00Z" and got["to_addrs"] == ["b@x.test", "C <c@x.test>"] and got["attachment_names"] == ["notes.txt"] and got["body"].strip() == "Body"
+    assert got["subject"] == "Mühle ledger" and got["date"] == "2021-03-11T15:45:00Z" and got["to_addrs"] == ["b@x.test", "C <c@x.test>"] and got["attachment_names"] == ["notes.txt"] and got["body"].strip() == "Body"
     assert messages.read_email(b"\xff\xfe no message")["subject"] is None
     assert len(messages.split_mbox("From a\nSubject: 1\n\nx\nFrom b\nSubject: 2\n\ny\n")) == 2
 
 
 def test_chats():
-    ios = "﻿[13/10/2026, 9:05:01 PM] Ann: Hello\nmore\n‎[13/10/2026, 9:06:00 PM] Bo: ‎<attached: a.jpg>"
-    assert messages.whatsapp(ios) == [("2026-10-13", "21:05:01", "Ann", "Hello\nmore", []), ("2026-10-13", "21:06:00", "Bo", "", ["a.jpg"])]
-    assert messages.whatsapp("1/13/26, 9:05 AM - Ann: x.pdf (file attached)") == [("2026-01-13", "09:05", "Ann", "", ["x.pdf"])]
-    tg = json.dumps({"name": "Fam", "messages": [{"type": "service", "action": "create_group", "title": "Family", "actor": "A", "date": "2026-10-06T09:00:00"}, {"type": "message", "from": "A", "date": "2026-10-06T09:01:00", "text": ["See ", {"type": "text_link", "text": "this", "href": "https://example.com"}, " now"]}]})
+    ios = "﻿[27/02/2021, 9:05:01 PM] Ann: Hello\nmore\n‎[27/02/2021, 9:06:00 PM] Bo: ‎<attached: a.jpg>"
+    assert messages.whatsapp(ios) == [("2021-02-27", "21:05:01", "Ann", "Hello\nmore", []), ("2021-02-27", "21:06:00", "Bo", "", ["a.jpg"])]
+    assert messages.whatsapp("1/27/21, 9:05 AM - Ann: x.pdf (file attached)") == [("2021-01-27", "09:05", "Ann", "", ["x.pdf"])]
+    tg = json.dumps({"name": "Fam", "messages": [{"type": "service", "action": "create_group", "title": "Family", "actor": "A", "date": "2022-02-18T09:00:00"}, {"type": "message", "from": "A", "date": "2022-02-18T09:01:00", "text": ["See ", {"type": "text_link", "text": "this", "href": "https://example.com"}, " now"]}]})
     assert [m[3] for m in messages.telegram(tg)[0][1]] == ["[create group] Family", "See this (https://example.com) now"]
     names = messages.slack_names([{"id": "U1", "name": "n", "real_name": "R", "profile": {"display_name": "D"}}, {"id": "U2", "name": "n2"}])
     day = messages.slack_day([{"type": "message", "user": "U2", "text": "hi <@U1> <https://x.y|site> &amp;", "ts": "1791279850.0", "thread_ts": "1.0"}], names)
     assert names == {"U1": "D", "U2": "n2"} and day[0][2:4] == ("n2", "(thread reply) hi @D site (https://x.y) &")
-    im = "Oct 06, 2026  9:44:10 AM\nAnn\nHi there\n/Users/a/p.png\nhttps://x.y/z\n\nOct 06, 2026  1:00:00 PM\nMe\nYo"
-    assert messages.imessage(im) == [("2026-10-06", "09:44:10", "Ann", "Hi there\nhttps://x.y/z", ["/Users/a/p.png"]), ("2026-10-06", "13:00:00", "Me", "Yo", [])]
+    im = "Feb 18, 2022  9:44:10 AM\nAnn\nHi there\n/Users/a/p.png\nhttps://x.y/z\n\nFeb 18, 2022  1:00:00 PM\nMe\nYo"
+    assert messages.imessage(im) == [("2022-02-18", "09:44:10", "Ann", "Hi there\nhttps://x.y/z", ["/Users/a/p.png"]), ("2022-02-18", "13:00:00", "Me", "Yo", [])]
 
 
 def test_tables(spark, tmp_path):
@@ -66,9 +66,9 @@ def test_tables(spark, tmp_path):
     rows = found.select("path", files.content_type(F.col("content")).alias("mime"), files.sniffed_as_text(F.col("content")).alias("text")).collect()
     assert [(r.path.rsplit("/", 1)[1], r.mime, r.text) for r in rows] == [("b.zip", "application/zip", False), ("n.txt", None, True)]
     assert sorted((r.member, r.depth, bytes(r.content)) for r in files.archive_members(found.where("path LIKE '%.zip'")).collect() if r.member != "in.zip") == [("a/x.txt", 1, b"hello"), ("in.zip/deep.txt", 2, b"deep")]
-    df = spark.createDataFrame([(1, "[13/10/2026, 9:05:01] Ann: Hello\n[13/10/2026, 9:06:01] Bo: Yes"), (2, None)], "id long, text string")
+    df = spark.createDataFrame([(1, "[27/02/2021, 9:05:01] Ann: Hello\n[27/02/2021, 9:06:01] Bo: Yes"), (2, None)], "id long, text string")
     chat = messages.chat_rows(df, "id", "text", "whatsapp")
-    assert [r.text for r in messages.chat_units(chat, "id").collect()] == ["whatsapp chat: chat\nParticipants: Ann, Bo\nMessages: 2 (2026-10-13 to 2026-10-13)\n\n-- 2026-10-13 --\n09:05:01 Ann: Hello\n09:06:01 Bo: Yes"]
+    assert [r.text for r in messages.chat_units(chat, "id").collect()] == ["whatsapp chat: chat\nParticipants: Ann, Bo\nMessages: 2 (2021-02-27 to 2021-02-27)\n\n-- 2021-02-27 --\n09:05:01 Ann: Hello\n09:06:01 Bo: Yes"]
     scores = spark.createDataFrame([("s", "text", 100, 0, 1), ("s", "json", 250, 0, 2), ("s", "mail", 250, 0, 3), ("t", "text", 0, 0, 1)], "source string, importer string, score int, priority int, position int")
     assert [tuple(r) for r in files.best_importer(scores).collect()] == [("s", "json", 250)]
     words = df.limit(1).select(markup.recognised_words(F.lit("5\t1\t1\t1\t1\t1\t10\t20\t30\t40\t95.5\tHello\n5\t1\t1\t1\t1\t1\t1\t1\t1\t1\t-1\tx"), F.lit(100.0), F.lit(200.0)).alias("w")).first().w
