@@ -72,39 +72,100 @@ def webhook_signature(secret: str, msg_id: str, timestamp: int, body: str) -> st
     return "v1," + base64.b64encode(hmac.new(key, f"{msg_id}.{timestamp}.{body}".encode(), hashlib.sha256).digest()).decode()
 
 
-_NEGATIONS = frozenset("not no never none nobody nothing neither nor nowhere cannot cant can't dont don't doesnt doesn't didnt didn't isnt isn't wasnt wasn't wont won't without hardly rarely seldom".split())
-_BOOSTERS = {w: 0.293 for w in "absolutely amazingly completely considerably deeply enormously entirely especially exceptionally extremely fully greatly highly hugely incredibly intensely particularly purely quite really remarkably so thoroughly totally tremendously unusually utterly very".split()} | {w: -0.293 for w in "almost barely hardly kinda less little marginally occasionally partly scarcely slightly somewhat sorta".split()}
+#: Words that turn a valence around, words that raise or lower it, and phrases with a valence of their own.
+NEGATIONS = frozenset(
+    "aint arent cannot cant couldnt darent didnt doesnt ain't aren't can't couldn't daren't didn't doesn't dont hadnt hasnt havent isnt mightnt mustnt neither don't hadn't hasn't haven't isn't mightn't mustn't neednt needn't never none nope nor not nothing nowhere oughtnt "
+    "shant shouldnt uhuh wasnt werent oughtn't shan't shouldn't uh-uh wasn't weren't without wont wouldnt won't wouldn't rarely seldom despite".split()
+)
+RAISES = frozenset(
+    "absolutely amazingly awfully completely considerable considerably decidedly deeply effing enormous enormously entirely especially exceptional exceptionally extreme extremely fabulously flipping flippin frackin fracking fricking frickin frigging friggin fully fuckin fucking fuggin fugging greatly hella highly hugely "
+    "incredible incredibly intensely major majorly more most particularly purely quite really remarkably so substantially thoroughly total totally tremendous tremendously uber unbelievably unusually utter utterly very".split()
+)
+LOWERS = frozenset(["almost", "barely", "hardly", "just enough", "kind of", "kinda", "kindof", "kind-of", "less", "little", "marginal", "marginally", "occasional", "occasionally", "partly", "scarce", "scarcely", "slight", "slightly", "somewhat", "sort of", "sorta", "sortof", "sort-of"])
+PHRASES = {"the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "badass": 1.5, "bus stop": 0.0, "yeah right": -2.0, "kiss of death": -1.5, "to die for": 3.0, "beating heart": 3.1, "broken heart": -2.9}
+STEP, CAPITALS, TURN = 0.293, 0.733, -0.74
+_FADE = (1.0, 0.95, 0.9)
+_ENDS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+
+
+def _tone_words(text: str) -> list[str]:
+    """Words without the marks around them; what would be two characters or less stays whole, as it may be a face."""
+    return [bare if len(bare) > 2 else word for word in text.split() for bare in (word.strip(_ENDS),)]
+
+
+def _step(word: str) -> float:
+    return STEP if word in RAISES else -STEP if word in LOWERS else 0.0
+
+
+class _Tone:
+    """The words of a text and what they do to each other."""
+
+    def __init__(self, words: list[str], lexicon: dict[str, float]) -> None:
+        self.words, self.low, self.lexicon = words, [w.lower() for w in words], lexicon
+        loud = [w.isupper() for w in words]
+        self.mixed = any(loud) and not all(loud)
+
+    def turned(self, at: int, back: int) -> float:
+        """What the word `back` places before does to a valence, beside its step: a factor."""
+        low, word = self.low, self.low[at - back]
+        between = low[at - back + 1 : at]
+        if back > 1 and ((word == "never" and between[0] in ("so", "this")) or (back == 3 and between[-1] in ("so", "this"))):
+            return 1.25
+        if back > 1 and word == "without" and "doubt" in between:
+            return 1.0
+        return TURN if word in NEGATIONS or "n't" in word else 1.0
+
+    def phrased(self, at: int, value: float) -> float:
+        """The valence of a word that is part of a phrase, or follows one."""
+        part = lambda a, b: " ".join(self.low[at + a : at + b])
+        before = (part(-1, 1), part(-2, 1), part(-2, 0), part(-3, 0), part(-3, -1))
+        value = next((PHRASES[p] for p in before if p in PHRASES), value)
+        for size in (2, 3):
+            if at + size <= len(self.low):
+                value = PHRASES.get(part(0, size), value)
+        return value + sum(map(_step, (part(-3, 0), part(-3, -1), part(-2, 0))))
+
+    def value(self, at: int) -> float:
+        low, base = self.low, self.lexicon.get(self.low[at])
+        after = low[at + 1] if at + 1 < len(low) else ""
+        if base is None or _step(low[at]) or (low[at] == "kind" and after == "of"):
+            return 0.0
+        value = 0.0 if low[at] == "no" and after in self.lexicon else base
+        if "no" in low[max(0, at - 2) : at] or (at > 2 and low[at - 3] == "no" and low[at - 1] in ("or", "nor")):
+            value = base * TURN
+        if self.mixed and self.words[at].isupper():
+            value += CAPITALS if value > 0 else -CAPITALS
+        for back, fade in zip((1, 2, 3), _FADE):
+            if at < back or low[at - back] in self.lexicon:
+                continue
+            step = _step(low[at - back])
+            if step:
+                step = -step if value < 0 else step
+                if self.mixed and self.words[at - back].isupper():
+                    step += CAPITALS if value > 0 else -CAPITALS
+            value = (value + step * fade) * self.turned(at, back)
+            if back == 3:
+                value = self.phrased(at, value)
+        least = at and low[at - 1] == "least" and "least" not in self.lexicon and (at == 1 or low[at - 2] not in ("at", "very"))
+        return value * TURN if least else value
 
 
 def tone_score(text: str, lexicon: dict[str, float]) -> float:
-    """Compound tone in [-1, 1]: word valences of a lexicon, boosted or negated by the three words before, weighed around 'but', with emphasis."""
-    words = [w.strip(".,;:!?\"'()[]") or w for w in text.split()]
-    mixed = any(w.isupper() for w in words) and not all(w.isupper() for w in words)
-    scores = []
-    for i, word in enumerate(words):
-        low = word.lower()
-        value = lexicon.get(low, 0.0) if low not in _BOOSTERS else 0.0
-        if value:
-            if mixed and word.isupper():
-                value += math.copysign(0.733, value)
-            for back, scale in ((1, 1.0), (2, 0.95), (3, 0.9)):
-                if i < back:
-                    break
-                before = words[i - back].lower()
-                if before in _BOOSTERS and before not in lexicon:
-                    value += math.copysign(_BOOSTERS[before], value) * scale if _BOOSTERS[before] > 0 else -math.copysign(-_BOOSTERS[before], value) * scale
-                if before in _NEGATIONS:
-                    value *= 1.25 if before == "never" and i - back + 1 < i and words[i - back + 1].lower() in ("so", "this") else -0.74
-        scores.append(value)
-    lows = [w.lower() for w in words]
-    if "but" in lows:
-        at = lows.index("but")
-        scores = [s * (0.5 if k < at else 1.5 if k > at else 1) for k, s in enumerate(scores)]
-    total = sum(scores)
-    marks = text.count("?")
-    emphasis = min(text.count("!"), 4) * 0.292 + (0 if marks < 2 else marks * 0.18 if marks <= 3 else 0.96)
+    """Compound tone in [-1, 1]: word valences of a lexicon, stepped or turned by the three words before, weighed around 'but', with emphasis."""
+    tone = _Tone(_tone_words(text), lexicon)
+    scores = [tone.value(k) for k in range(len(tone.low))]
+    if "but" in tone.low:
+        at = tone.low.index("but")
+        scores = [s * (0.5 if k < at else 1.5 if k > at else 1.0) for k, s in enumerate(scores)]
+    total, asks = sum(scores), text.count("?")
+    emphasis = min(text.count("!"), 4) * 0.292 + (0.0 if asks < 2 else asks * 0.18 if asks <= 3 else 0.96)
     total += math.copysign(emphasis, total) if total else 0.0
-    return max(-1.0, min(1.0, total / math.sqrt(total * total + 15))) if total else 0.0
+    return max(-1.0, min(1.0, total / math.sqrt(total * total + 15)))
+
+
+def tone_scores(text: Column, lexicon: dict[str, float]) -> Column:
+    """`tone_score` of a column; null for null."""
+    return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else tone_score(t, lexicon)), "double")(text)
 
 
 def tone_label(score: Column) -> Column:

@@ -51,6 +51,34 @@ def test_tone_and_signature():
     assert signals.webhook_signature("whsec_MfKQ9r8GKYqrTwjUPD8ILPZIo2LaLaSw", "msg_p5jXN8AQM9LWM0D4loKWxJek", 1614265330, '{"test": 2432232314}') == "v1,g0hM9SsE+OTPJTGt/tmIKtSyZlE3uFJELVlNIOLJ1OE="
 
 
+#: Compound scores of the public implementation of the method, for the public valences below.
+VALENCES = {"smart": 1.7, "handsome": 2.2, "funny": 1.9, "good": 1.9, "horrible": -2.5, "sux": -1.5, "lol": 1.8, ":)": 2.0, ":d": 2.3, "sure": 1.3, "bad": -2.5, "happy": 2.7, "problems": -1.7, "no": -1.2, "worst": -3.1, "great": 3.1, "terrible": -2.1, "best": 3.2, "okay": 0.9}
+
+
+@pytest.mark.parametrize(
+    "said,want",
+    [
+        ("VADER is smart, handsome, and funny.", 0.8316),
+        ("VADER is very smart, handsome, and funny.", 0.8545),
+        ("VADER is VERY SMART, handsome, and FUNNY!!!", 0.9342),
+        ("VADER is VERY SMART, uber handsome, and FRIGGIN FUNNY!!!", 0.9469),
+        ("VADER is not smart, handsome, nor funny.", -0.7424),
+        ("At least it isn't a horrible book.", 0.431),
+        ("The book was only kind of good.", 0.3832),
+        ("Today SUX!", -0.5461),
+        ("Today only kinda sux! But I'll get by, lol", 0.5249),
+        ("Make sure you :) or :D today!", 0.8633),
+        ("Not bad at all", 0.431),
+        ("There were no problems with the delivery", 0.3089),
+        ("This is the worst service I have ever had.", -0.6249),
+        ("The food was great but the service was terrible", -0.3818),
+        ("", 0.0),
+    ],
+)
+def test_tone_scores(said, want):
+    assert round(signals.tone_score(said, VALENCES), 4) == want
+
+
 def test_people():
     gallery = {1: [[1.0, 0.0, 0.0]]}
     faces = [("u1", [2.0, 0.1, 0.0]), ("u1", [0.0, 1.0, 0.0]), ("u2", [0.9, 0.0, 0.1]), ("u2", [0.0, 1.0, 0.1]), ("u2", [0.0, 0.0, 1.0])]
