@@ -91,9 +91,23 @@ def _open_line(line: str) -> bool:
     return len(line) > 2 and not re.search(rf"[{HYPHENS}.!?:;,]$", line)
 
 
+def _short(lines: list[str]) -> float:
+    """What a line must be shorter than to be told from those of the body; 0 on pages of few lines."""
+    widths = sorted(len(x.strip()) for x in lines if x.strip())
+    return 0.85 * widths[len(widths) * 3 // 4] if len(widths) > 3 else 0
+
+
+def _edge_lines(lines: list[str]) -> Iterator[tuple[str, bool]]:
+    """Skeletons of the edge lines that may be heads, and whether they are short."""
+    most = _short(lines)
+    for i in edges(lines):
+        if page_number(lines[i]) is None and _open_line(lines[i]):
+            yield skeleton(lines[i]), len(lines[i].strip()) < most
+
+
 def edge_keys(lines: list[str]) -> list[str]:
     """Skeletons of the edge lines that may be heads."""
-    return [skeleton(lines[i]) for i in edges(lines) if page_number(lines[i]) is None and _open_line(lines[i])]
+    return [key for key, _ in _edge_lines(lines)]
 
 
 def divided(line: str, after: str) -> tuple[re.Match, re.Match] | None:
@@ -118,7 +132,7 @@ def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     numbers[source, int(n - page), int(page)] += 1
             # A page without a number is told apart by its text, so that a copy of it isn't another page.
             place = int(page) if page == page else xxhash.xxh64_intdigest(text) >> 1
-            heads.update((source, key, place) for key in edge_keys(lines))
+            heads.update((source, key, place, short) for key, short in _edge_lines(lines))
             for line, after in zip(lines, lines[1:]):
                 pair = divided(line, after)
                 if pair:
@@ -129,7 +143,7 @@ def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(word) > 1 and not word.isdigit():
                 clean[word] += n
         rows = [("word", None, w, None, n) for w, n in clean.items()]
-        rows += [("head", s, k, p, n) for (s, k, p), n in heads.items() if k]
+        rows += [("short" if short else "head", s, k, p, n) for (s, k, p, short), n in heads.items() if k]
         rows += [("number", s, str(off), p, n) for (s, off, p), n in numbers.items()]
         rows += [("divided", a, b, None, n) for (a, b), n in parts.items()]
         yield pd.DataFrame(rows, columns=["kind", "source", "key", "page", "n"]).astype({"page": "Int64"})
@@ -159,19 +173,21 @@ def _heads(seen: DataFrame) -> DataFrame:
 
     A key with a tilde recurs in its scan only together with the others of its class.
     """
-    lines = seen.where("kind = 'head'").select("source", "key", "page").distinct()
-    own = cut_lineage(lines.groupBy("source", "key").agg(F.count("*").alias("pages")))
-    # Classes by edit distance: the most frequent key among those that begin or end alike stands for its neighbours.
+    lines = seen.where("kind IN ('head', 'short')").groupBy("source", "key", "page").agg(F.max(F.col("kind") == "short").alias("short"))
+    own = cut_lineage(lines.groupBy("source", "key").agg(F.count("*").alias("pages"), F.max("short").alias("short")))
+    # Classes by edit distance, of short lines: the most frequent key among those that begin or end alike stands for its neighbours.
     bare = F.regexp_replace("key", " ", "")
-    affixes = own.withColumn("affix", F.explode(F.array(F.concat(F.lit("<"), F.left(bare, F.lit(AFFIX))), F.concat(F.lit(">"), F.right(bare, F.lit(AFFIX))))))
-    leads = affixes.groupBy("source", "affix").agg(F.max_by("key", F.struct("pages", "key")).alias("lead"), F.count("*").alias("_n")).where("_n > 1")
+    ends = F.array(F.xxhash64(F.lit("<"), "source", F.left(bare, F.lit(AFFIX))), F.xxhash64(F.lit(">"), "source", F.right(bare, F.lit(AFFIX))))
+    affixes = own.where("short").select("source", "key", "pages", F.explode(ends).alias("affix"))
+    leads = affixes.groupBy("affix").agg(F.max_by(F.struct("key", "source"), F.struct("pages", "key")).alias("l"), F.count("*").alias("_n")).where("_n > 1").select("affix", F.col("l.key").alias("lead"), F.col("l.source").alias("_of"))
     off = F.levenshtein("key", "lead")
-    near = affixes.join(leads, ["source", "affix"]).where("key <> lead").withColumn("off", off).where(F.col("off") <= F.greatest(F.lit(1), F.floor(F.length("lead") / PER_EDIT)))
+    near = affixes.join(leads, "affix").where("key <> lead AND source = _of").withColumn("off", off).where(F.col("off") <= F.greatest(F.lit(1), F.floor(F.length("lead") / PER_EDIT)))
     leader = near.groupBy("source", "key").agg(F.min_by("lead", F.struct("off", "lead")).alias("lead"))
-    placed = lines.join(leader, ["source", "key"], "left").withColumn("lead", F.coalesce("lead", "key"))
-    often = placed.groupBy("source", "lead").agg(F.count_distinct("page").alias("pages")).where("pages >= 2")
-    members = placed.select("source", "key", "lead").distinct().join(often, ["source", "lead"], "left_semi").join(own, ["source", "key"])
-    scan = members.select("source", F.when(F.col("pages") >= 2, F.col("key")).otherwise(F.concat(F.lit("~"), "key")).alias("key"))
+    # Only lines of a class of several keys meet again by page.
+    classes = cut_lineage(leader.unionByName(leader.select("source", F.col("lead").alias("key"), "lead")).distinct())
+    often = lines.join(classes, ["source", "key"]).groupBy("source", "lead").agg(F.count_distinct("page").alias("pages")).where("pages >= 2")
+    fuzzy = classes.join(often.select("source", "lead"), ["source", "lead"], "left_semi").join(own.where("pages < 2"), ["source", "key"]).select("source", F.concat(F.lit("~"), "key").alias("key")).distinct()
+    scan = own.where("pages >= 2").select("source", "key").unionByName(fuzzy)
     wide = own.groupBy("key").agg(F.count("*").alias("scans")).where(F.col("scans") >= SCANS)
     return scan.unionByName(wide.select(F.lit(None).cast("string").alias("source"), "key"))
 
@@ -202,8 +218,7 @@ def read_page(text: str, page: int | None, heads: set[str], offset: int | None,
     lines = text.split("\n")
     noise: list[tuple[str, int, str]] = []
     frame: set[int] = set()
-    widths = sorted(len(x.strip()) for x in lines if x.strip())
-    width = widths[len(widths) * 3 // 4] if widths else 0
+    most = _short(lines)
     at_edge = edges(lines)
     for i in at_edge:
         line = lines[i].strip()
@@ -216,7 +231,7 @@ def read_page(text: str, page: int | None, heads: set[str], offset: int | None,
         if not _open_line(line):
             continue
         key = skeleton(line)
-        if key in heads or (("~" + key) in heads and len(line) < 0.85 * width and len(widths) > 3):
+        if key in heads or (("~" + key) in heads and len(line) < most):
             noise.append(("header", i + 1, ""))
             frame.add(i)
     # Only lines that stand at the very edge belong to the frame: a body line between them and the edge ends it.
