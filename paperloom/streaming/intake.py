@@ -6,13 +6,17 @@ form and, through `applyInPandasWithState` and `foreachBatch`, by the streaming
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from paperloom.session import cut_lineage
+
 #: Seconds before each further try of a delivery.
 RETRY_SECONDS = (5, 300, 1800, 7200, 18000, 36000, 36000)
 #: Endings of files that are still being written.
@@ -60,6 +64,100 @@ def job_table(events: DataFrame, now: float, grace: float = 60.0) -> DataFrame:
     return last.select("job", F.when(expired, F.lit("pending")).otherwise(F.col("l.state")).alias("state"), "created")
 
 
+def jobs_stream(events: DataFrame, grace: float = 60.0) -> DataFrame:
+    """Streaming form: per job its last event; a running job whose lease and grace are over, by the clock of the stream, comes out as pending again.
+
+    Rows are (`job`, `state`, `at`), one for each change.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seq, now, name = state.get if state.exists else (-1, 0.0, "")
+        out = []
+        if state.hasTimedOut:
+            if name == "running":
+                name = "pending"
+                out.append((key[0], name, now))
+        else:
+            for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+                if r.seq <= seq:
+                    continue  # told before
+                seq, now, name = int(r.seq), float(r.at), r.state
+                out.append((key[0], name, now))
+                if name == "running":
+                    lease = 0.0 if pd.isna(r.lease_seconds) else float(r.lease_seconds)
+                    state.setTimeoutDuration(max(1, int((lease + grace) * 1000)))
+        state.update((seq, now, name))
+        yield pd.DataFrame(out, columns=["job", "state", "at"])
+
+    return events.groupBy("job").applyInPandasWithState(step, "job string, state string, at double", "seq long, at double, name string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def outbox_batch(send: Callable[[str, str], int], table_path: str, clock: Callable[[], float]) -> Callable[[DataFrame, int], None]:
+    """For `foreachBatch`: messages (`msg_id`, `body`) are written to the table of tries before they are sent, then sent with what is due, at least once.
+
+    The table holds a row per try (`msg_id`, `body`, `attempt`, `status`, `at`); attempt 0 is the message itself.
+    A batch that comes again finds its messages in the table. Messages are sent where their rows lie, not on the driver.
+    """
+    schema = "msg_id string, body string, attempt int, status int, at double"
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = spark.read.schema(schema).parquet(table_path) if _written(spark, table_path) else spark.createDataFrame([], schema)
+        fresh = batch.select("msg_id", "body").dropDuplicates(["msg_id"]).join(known.select("msg_id"), "msg_id", "left_anti")
+        fresh.select("msg_id", "body", F.lit(0).alias("attempt"), F.lit(0).alias("status"), F.lit(clock()).alias("at")).write.mode("append").parquet(table_path)
+        tries = spark.read.schema(schema).parquet(table_path)
+        state = deliveries(tries.where("attempt > 0").select("msg_id", "attempt", "status", "at"))
+        waiting = tries.where("attempt = 0").select("msg_id", "body").join(state, "msg_id", "left")
+        now = clock()
+        due = waiting.where((F.col("state").isNull()) | ((F.col("state") == "waiting") & (F.col("next_at") <= now)))
+        counts = tries.groupBy("msg_id").agg(F.max("attempt").alias("last"))
+        sent = F.pandas_udf(lambda ids, bodies: pd.Series([send(i, b) for i, b in zip(ids, bodies)]), "int")
+        rows = due.join(counts, "msg_id").select("msg_id", "body", (F.col("last") + 1).alias("attempt"), sent("msg_id", "body").alias("status"), F.lit(now).alias("at"))
+        cut_lineage(rows).write.mode("append").parquet(table_path)
+
+    return run
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path).schema  # noqa: B018
+        return True
+    except AnalysisException:
+        return False
+
+
+def mailbox_stream(passes: DataFrame, max_bytes: int, max_attempts: int, backfill: bool = False) -> DataFrame:
+    """Streaming form of `mailbox_pass`: rows are messages seen in a pass over a box (`box`, `pass_no`, `validity`, `next_uid`, `uid`, `size`, `accepted`).
+
+    The state of a box outlives the stream in its checkpoint. Gives (`box`, `pass_no`, `uid`) for each message that was delivered, once.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        saved = json.loads(state.get[0]) if state.exists else {}
+        own = {**saved, "retry": {int(k): v for k, v in saved.get("retry", {}).items()}} if saved else {}
+        out = []
+        for number, seen in pd.concat(list(batches)).sort_values("pass_no").groupby("pass_no"):
+            messages = seen[seen["uid"].notna()]
+            box = {"validity": int(seen["validity"].iloc[0]), "next": int(seen["next_uid"].iloc[0]), "messages": {int(u): int(s) for u, s in zip(messages["uid"], messages["size"])}}
+            taken = {int(u): bool(a) for u, a in zip(messages["uid"], messages["accepted"])}
+            own, done = mailbox_pass(own, box, max_bytes, max_attempts, backfill, deliver=lambda uid, taken=taken: taken.get(uid, False))
+            out += [(key[0], int(number), uid) for uid in done]
+        state.update((json.dumps(own),))
+        yield pd.DataFrame(out, columns=["box", "pass_no", "uid"])
+
+    return passes.groupBy("box").applyInPandasWithState(step, "box string, pass_no long, uid long", "saved string", "append", GroupStateTimeout.NoTimeout)
+
+
+def log_faults(log: DataFrame) -> DataFrame:
+    """What is wrong with event logs (`run`, `seq`, `event`): `gap` where a number is missing or comes twice, `late` after the end, `open` where a run doesn't end with 'run.finished'."""
+    w = Window.partitionBy("run").orderBy("seq")
+    marked = log.select("run", "seq", "event", F.row_number().over(w).alias("n"), F.lead("event").over(w).alias("after"))
+    gap = F.when(F.col("seq") != F.col("n") - 1, F.lit("gap"))
+    late = F.when((F.col("event") == "run.finished") & F.col("after").isNotNull(), F.lit("late"))
+    left = F.when((F.col("event") != "run.finished") & F.col("after").isNull(), F.lit("open"))
+    return marked.select("run", "seq", F.explode(F.array_compact(F.array(gap, late, left))).alias("fault"))
+
+
 def next_jobs(jobs: DataFrame, n: int = 1) -> DataFrame:
     """The oldest pending jobs."""
     return jobs.where("state = 'pending'").orderBy("created", "job").limit(n)

@@ -1,3 +1,5 @@
+import time
+
 import pandas as pd
 
 from paperloom.plans import catalog
@@ -50,3 +52,48 @@ def test_log_and_hourly_stream(spark, tmp_path):
     got = intake.hourly_stream(spark, SF, str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sum(r.n for r in got.collect()) == spark.read.parquet(f"{SF}/events.parquet").count()
     assert "event_islands" in catalog.queries()
+
+
+def _run(df, name, tmp_path):
+    query = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return [tuple(r) for r in df.sparkSession.table(name).collect()]
+
+
+def test_jobs_stream(spark, tmp_path):
+    rows = [[("j", 1, "pending", 0.0, None), ("j", 2, "running", 1.0, 5.0)], [("j", 2, "running", 1.0, 5.0), ("j", 3, "done", 2.0, None), ("k", 1, "pending", 3.0, None)]]
+    for n, part in enumerate(rows):
+        pd.DataFrame(part, columns=["job", "seq", "state", "at", "lease_seconds"]).astype({"lease_seconds": "float64"}).to_parquet(tmp_path / f"e{n}.parquet")
+    stream = spark.readStream.schema("job string, seq long, state string, at double, lease_seconds double").option("maxFilesPerTrigger", 1).option("pathGlobFilter", "e*.parquet").parquet(str(tmp_path))
+    query = intake.jobs_stream(stream).writeStream.format("memory").queryName("jobs").outputMode("append").option("checkpointLocation", str(tmp_path / "cp-jobs")).start()
+    try:  # timers keep such a query going, so that it is stopped when the rows are there
+        until = time.monotonic() + 60
+        while time.monotonic() < until and spark.table("jobs").count() < 4:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert sorted(tuple(r) for r in spark.table("jobs").collect()) == [("j", "done", 2.0), ("j", "pending", 0.0), ("j", "running", 1.0), ("k", "pending", 3.0)]
+
+
+def test_mailbox_stream(spark, tmp_path):
+    rows = [[("b", 1, 7, 3, 1, 10, True), ("b", 1, 7, 3, 2, 10, False)], [("b", 2, 7, 4, 1, 10, True), ("b", 2, 7, 4, 2, 10, True), ("b", 2, 7, 4, 3, 999, True)]]
+    for n, part in enumerate(rows):
+        pd.DataFrame(part, columns=["box", "pass_no", "validity", "next_uid", "uid", "size", "accepted"]).to_parquet(tmp_path / f"m{n}.parquet")
+    stream = spark.readStream.schema("box string, pass_no long, validity long, next_uid long, uid long, size long, accepted boolean").option("maxFilesPerTrigger", 1).option("pathGlobFilter", "m*.parquet").parquet(str(tmp_path))
+    assert sorted(_run(intake.mailbox_stream(stream, 100, 3, backfill=True), "mail", tmp_path)) == [("b", 1, 1), ("b", 2, 2)]
+
+
+def test_outbox(spark, tmp_path):
+    path, now = str(tmp_path / "tries"), [0.0]
+    send = intake.outbox_batch(lambda i, b: 200 if i == "a" else 503, path, lambda: now[0])
+    batch = spark.createDataFrame([("a", "x"), ("b", "y"), ("a", "x")], "msg_id string, body string")
+    for at in (0.0, 1.0, 6.0, 7.0, 400.0):
+        now[0] = at
+        send(batch, 0)
+    tries = sorted((r.msg_id, r.attempt, r.status, r.at) for r in spark.read.parquet(path).where("attempt > 0").collect())
+    assert tries == [("a", 1, 200, 0.0), ("b", 1, 503, 0.0), ("b", 2, 503, 6.0), ("b", 3, 503, 400.0)]
+
+
+def test_log_faults(spark):
+    log = spark.createDataFrame([("a", 0, "x"), ("a", 1, "run.finished"), ("b", 0, "x"), ("b", 2, "y"), ("c", 0, "run.finished"), ("c", 1, "z")], "run string, seq long, event string")
+    assert sorted((r.run, r.fault) for r in intake.log_faults(log).collect()) == [("b", "gap"), ("b", "open"), ("c", "late"), ("c", "open")]
