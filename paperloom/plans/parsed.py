@@ -474,6 +474,6 @@ _VALENCES = {"good": 1.9, "great": 3.1, "terrible": -2.1, "horrible": -2.5}
 @add("tone_labels", sql="SELECT event_id, CAST([0.4404, -0.3818, 0.431, 0.0][event_id % 4 + 1] AS DOUBLE) AS score, ['positive', 'negative', 'positive', 'neutral'][event_id % 4 + 1] AS label FROM events")
 def tone_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tone of sentences by a small lexicon, and its label."""
-    said = F.element_at(F.array(*map(F.lit, ("The book was good.", "The food was great but the service was terrible", "At least it isn't a horrible book.", "The box is on the shelf."))), (F.col("event_id") % 4 + 1).cast("int"))
+    said = F.element_at(F.array(*map(F.lit, ("The film was good.", "The trip was great but the hotel was terrible", "At least it isn't a horrible film.", "The box is on the shelf."))), (F.col("event_id") % 4 + 1).cast("int"))
     scored = table(spark, sf_dir, "events").select("event_id", signals.tone_scores(said, _VALENCES).alias("s"))
     return scored.select("event_id", F.round("s", 4).alias("score"), signals.tone_label(F.col("s")).alias("label"))

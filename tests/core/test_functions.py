@@ -58,20 +58,20 @@ VALENCES = {"smart": 1.7, "handsome": 2.2, "funny": 1.9, "good": 1.9, "horrible"
 @pytest.mark.parametrize(
     "said,want",
     [
-        ("VADER is smart, handsome, and funny.", 0.8316),
-        ("VADER is very smart, handsome, and funny.", 0.8545),
-        ("VADER is VERY SMART, handsome, and FUNNY!!!", 0.9342),
-        ("VADER is VERY SMART, uber handsome, and FRIGGIN FUNNY!!!", 0.9469),
-        ("VADER is not smart, handsome, nor funny.", -0.7424),
-        ("At least it isn't a horrible book.", 0.431),
-        ("The book was only kind of good.", 0.3832),
-        ("Today SUX!", -0.5461),
-        ("Today only kinda sux! But I'll get by, lol", 0.5249),
-        ("Make sure you :) or :D today!", 0.8633),
+        ("She is smart, handsome, and funny.", 0.8316),
+        ("She is very smart, handsome, and funny.", 0.8545),
+        ("She is VERY SMART, handsome, and FUNNY!!!", 0.9342),
+        ("She is VERY SMART, uber handsome, and FRIGGIN FUNNY!!!", 0.9469),
+        ("She is not smart, handsome, nor funny.", -0.7424),
+        ("At least it isn't a horrible film.", 0.431),
+        ("The film was only kind of good.", 0.3832),
+        ("Monday SUX!", -0.5461),
+        ("Monday only kinda sux! But I'll get by, lol", 0.5249),
+        ("Make sure you :) or :D tomorrow!", 0.8633),
         ("Not bad at all", 0.431),
-        ("There were no problems with the delivery", 0.3089),
-        ("This is the worst service I have ever had.", -0.6249),
-        ("The food was great but the service was terrible", -0.3818),
+        ("There were no problems with the parcel", 0.3089),
+        ("This is the worst coffee I have ever had.", -0.6249),
+        ("The trip was great but the hotel was terrible", -0.3818),
         ("", 0.0),
     ],
 )
