@@ -90,13 +90,19 @@ class Node:
     parts: list[Node] = field(default_factory=list)
 
 
+#: Characters of a line beyond which it is no name, contact or closing.
+LONGEST_TAIL = 1000
+
+
 def _is_name(line: str) -> bool:
-    return not re.search(r"\w{3,}\.$", line) and not any(c.isdigit() for c in line) and bool(_NAME.match(line)) and not _GREETING.match(line)
+    return not re.search(r"\w{3}\.$", line[-4:]) and not any(c.isdigit() for c in line) and bool(_NAME.match(line)) and not _GREETING.match(line)
 
 
 def _tail_kind(line: str) -> str:
     """What a line could be in the tail of a written block; 'text' if nothing."""
     line = line.strip()
+    if len(line) > LONGEST_TAIL:
+        return "text"
     if DELIMITER.match(line):
         return "delimiter"
     if DEVICE.match(line) and len(line.split()) <= 8 and ("," not in line or _EXCUSE.search(line)):

@@ -102,7 +102,7 @@ _PARTICLE = r"(?:von|van|de|der|den|di|da|du|la|le|del|della|zu|zur|af|el|ter|te
 _TITLE = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Herrn|Frau|Mme|Mlle|M|Monsieur|Madame|Sr|Sra|Señor|Señora|Don|Doña)\.?\s+)$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
-_JOINED = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)+")
+_JOINED = re.compile(r"(?<![^\W\d_])[^\W\d_]+(?:['’-][^\W\d_]+)+")
 _GAP = r"(?:[ \u00a0]+|[ \t]*\r?\n(?:[ \t]*(?:>|\||[A-Z]{2,3}>))*[ \t]*)"
 _BETWEEN = re.compile(rf"{_GAP}(?:(?:{_PARTICLE}){_GAP}){{0,2}}$", re.I)
 _COMMA = re.compile(rf",{_GAP}$")

@@ -48,19 +48,23 @@ BROADCAST_ROWS = 500_000
 HYPHENS = "-­‐¬"
 _HYPHENS = frozenset(HYPHENS)
 _OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’‚…–—¿¡·•" + HYPHENS
-_DIVIDED = re.compile(rf"\S*[^\W\d_][{HYPHENS}][ \t]*\r?\n[ \t]*\S*")
+_DIVIDED = re.compile(rf"(?<!\S)\S*[^\W\d_][{HYPHENS}][ \t]*\r?\n[ \t]*\S*")
 _LEFT = re.compile(rf"((?:[^\W_]+['’-])*[^\W\d_]+)[{HYPHENS}][ \t\r]*$")
 _RIGHT = re.compile(r"[ \t]*([^\W\d_]+(?:['’-][^\W_]+)*)")
 _CLASSES = str.maketrans({"e": "c", "t": "f", "i": "l", "1": "l", "j": "l", "0": "o", "5": "s", "9": "g", "q": "g", "6": "b", "8": "b", "é": "b", "è": "c", "u": "h", "2": "z"})
 _NUMBER = re.compile(r"^\W*(?:[^\W\d_]{2,7}\.?\s+|[^\W\d_]{1,4}\.\s*)?([\dlIiOoSB]{1,5})(?:\s*(?:/|of|von|de|sur|out of)\s*[\dlIiOoSB]{1,5})?\W*$", re.I)
 _ROMAN = re.compile(r"^\W*(c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))\W*$")
+#: Runs of signs, which say nothing of a line beyond their first.
+_SIGNS = re.compile(r"(\W{2})\W{2,}")
+#: Letters and digits that a line with nothing but a page number can have.
+_MOST = 40
 _DIGITS = str.maketrans("lIiOoSB", "1110058")
 _ENDS = re.compile(r"^\W*[\dlIO]{1,4}(?=\s)\W*|\s\W*[\dlIO]{1,4}\W*$")
 
 
 def skeleton(line: str) -> str:
     """A line without its page number, with confusable letters alike."""
-    low = _ENDS.sub(" ", line.strip()).strip().lower().translate(_CLASSES)
+    low = _ENDS.sub(" ", _SIGNS.sub(r"\1", line.strip())).strip().lower().translate(_CLASSES)
     for a, b in (("cl", "d"), ("ll", "h"), ("rn", "m"), ("vv", "w")):
         low = low.replace(a, b)
     return " ".join(low.split())
@@ -68,7 +72,9 @@ def skeleton(line: str) -> str:
 
 def page_number(line: str) -> int | None:
     """The number of a line that holds nothing else than a page number."""
-    line = line.strip()
+    line = _SIGNS.sub(r"\1", line.strip())
+    if len(line) > 4 * _MOST or sum(map(str.isalnum, line)) > _MOST:
+        return None
     found = _NUMBER.match(line)
     if found and (any(c.isdigit() for c in found[1]) or len(found[1]) > 1 and set(found[1]) <= set("lI")):
         return int(found[1].translate(_DIGITS))

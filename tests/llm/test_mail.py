@@ -60,3 +60,8 @@ def test_table(spark):
     got = newly_written(df, "email_id", "body").collect()
     assert sorted((r.email_id, r.other_lines, r.new_text) for r in got if r.email_id != 2) == [(1, [3, 4], "Text."), (1, [3, 4], "Text."), (3, [], "")]
     assert [r.new_text for r in got if r.email_id == 2] == [None] and newly_written(df.limit(0), "email_id", "body").count() == 0
+
+
+def test_long_lines_take_no_time():
+    for line in ("A" * 200_000, "@" * 100_000, "> " * 30_000 + "x", "a:\n" * 30_000):
+        assert split_body(line)[1] is not None

@@ -59,3 +59,10 @@ def test_vocabulary_decides_on_hyphens(spark):
     df = spark.createDataFrame(rows, "entry_id long, source_id string, page_first int, text string")
     got = {r.entry_id: r for r in repaired(df, "entry_id", "text", "source_id", "page_first").collect()}
     assert [x.token for x in got[50].noise if x.noise_kind == "hyphenation"] == ["well-known", "shipment", "returned"]
+
+
+def test_long_lines_take_no_time():
+    for line in ("A" * 200_000, "@" * 100_000, "Ab" + " " * 200_000 + "Cd", "{" * 100_000, "a." * 50_000, "ab-\n" * 20_000):
+        assert skeleton(line) is not None and page_number(line) is None
+        assert read_page(line, 1, set(), None, {}, set())[1]
+    assert page_number("." * 500 + " 12 " + "." * 500) == 12
