@@ -203,11 +203,12 @@ def message_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mailboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a customer written as a mailbox file, and its messages read back."""
     o = table(spark, sf_dir, "orders")
-    mail = F.concat(
-        F.lit("From clerk Mon Jan  1 00:00:00 2024\nFrom: Clerk <clerk"), F.col("o_custkey").cast("string"), F.lit("@desk.test>\nSubject: =?utf-8?q?Order_"), F.col("o_orderkey").cast("string"), F.lit("?=\nDate: "),
-        F.date_format("o_orderdate", "dd MMM yyyy"), F.lit(" 10:30:00 +0200\nContent-Type: text/plain; charset=utf-8\n\nPriority: "), F.col("o_orderpriority"), F.lit("\n\n"),
+    mail = lambda m: F.concat(
+        F.lit("From clerk Mon Jan  1 00:00:00 2024\nFrom: Clerk <clerk"), F.col("o_custkey").cast("string"), F.lit("@desk.test>\nSubject: =?utf-8?q?Order_"), m["o_orderkey"].cast("string"), F.lit("?=\nDate: "),
+        F.date_format(m["o_orderdate"], "dd MMM yyyy"), F.lit(" 10:30:00 +0200\nContent-Type: text/plain; charset=utf-8\n\nPriority: "), m["o_orderpriority"], F.lit("\n\n"),
     )
-    box = o.select("o_custkey", "o_orderkey", mail.alias("mail")).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "mail"))), lambda m: m["mail"]), "").alias("box"))  # a customer's own orders
+    own = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderdate", "o_orderpriority"))).alias("orders"))  # a customer's own orders; their mails are written where they are gathered
+    box = own.select("o_custkey", F.array_join(F.transform("orders", mail), "").alias("box"))
     read = messages.email_rows(box, "o_custkey", F.col("box"), mbox=True)
     return read.select("o_custkey", F.col("position").cast("long").alias("position"), "subject", F.element_at("from_addrs", 1).alias("sender"), "date", F.trim(F.col("body"), F.lit("\n ")).alias("body"))
 

@@ -1,5 +1,6 @@
 import io
 import json
+import time
 import zipfile
 
 from pyspark.sql import functions as F
@@ -38,6 +39,41 @@ def test_email():
     assert len(messages.split_mbox("From a\nSubject: 1\n\nx\nFrom b\nSubject: 2\n\ny\n")) == 2
 
 
+def test_plain_emails():
+    usual = "From: Clerk <c1@desk.test>\nTo: b@x.test, C D <c@x.test>\nSubject: {}\nDate: {}\nMessage-ID: <1.a@x>\nX-Other: y\nContent-Type: text/plain; charset=utf-8\n\nBody é\n\n"
+    for subject in ("two  [words]", "=?utf-8?q?Order_7?=", "=?UTF-8?Q?M=C3=BChle?=", "=?utf-8?b?YQ==?=", "=?utf-8?q?a?= =?utf-8?q?b?=", "=?utf-8?q?=zz?=", "=?utf-8?q?a=0Ab?=", "=?utf-8?q?=C3?=", "folded\n on", "é", ""):
+        for date in ("Thu, 11 Mar 2021 17:45:00 +0200", "1 Jan 2000 00:00:00 -0000", "31 Feb 2000 00:00:00 +0000", "11 Mar 2021 10:00:00 +9999", "11 Mar 21 10:00 GMT", "soon"):
+            m = usual.format(subject, date)
+            assert messages.read_plain_email(m) in (None, tuple(messages.read_email(m).values())), m
+    mail = usual.format("=?utf-8?q?Order_7?=", "02 Jan 1996 10:30:00 +0200")
+    assert messages.read_plain_email(mail)[1:3] == ("Order 7", ["Clerk <c1@desk.test>"])
+    head, _, body = mail.partition("\n\n")
+    for other in (mail.replace("text/plain", "text/html"), mail.replace("utf-8\n", "latin-1\n"), f"{head}\nContent-Transfer-Encoding: base64\n\n{body}", f"{head}\nSubject: b\n\n{body}", mail.replace("\n", "\r\n"), mail.replace("é", "\udcff"), "no message", ""):
+        assert messages.read_plain_email(other) is None
+    began = time.perf_counter()
+    for _ in range(200):
+        messages.read_email(mail)
+    whole = time.perf_counter() - began
+    for _ in range(200):
+        messages.read_plain_email(mail)
+    assert time.perf_counter() - began - whole < whole / 10
+
+
+def test_email_rows(spark, monkeypatch):
+    plain = "From x\nFrom: A <a@x.test>\nSubject: s{}\n\nbody {}\n"
+    html = "From x\nFrom: b@x.test\nSubject: =?utf-8?b?aMOp?=\nContent-Type: text/html\n\n<p>hi</p>\n"
+    many = "".join(plain.format(i, i) for i in range(5))
+    df = spark.createDataFrame([(1, many + html + many), (2, None), (None, plain.format("z", "z"))], "id long, box string")
+    monkeypatch.setattr(messages, "ROWS_AT_ONCE", 3)
+    got = [(r.id, r.position, r.subject, list(r.from_addrs), r.body.strip()) for r in messages.email_rows(df, "id", F.col("box"), mbox=True).collect()]
+    five = [(f"s{i}", ["A <a@x.test>"], f"body {i}") for i in range(5)]
+    assert [g for g in got if g[0] == 1] == [(1, n, *x) for n, x in enumerate([*five, ("hé", ["b@x.test"], "hi"), *five], 1)]
+    assert [g for g in got if g[0] != 1] == [(None, 1, "sz", ["A <a@x.test>"], "body z")]
+    raw = spark.createDataFrame([("k", bytearray(b"Subject: x\nContent-Type: text/plain; charset=latin-1\n\n\xe9")), ("l", bytearray(b"\xff\xfe no message"))], "id string, mail binary")
+    assert sorted((r.id, r.position, r.subject, r.date, r.body) for r in messages.email_rows(raw, "id", F.col("mail")).collect())[0] == ("k", 1, "x", None, "é")
+    assert messages.email_rows(raw, "id", F.col("mail")).where("id = 'l'").first().subject is None
+
+
 def test_chats():
     ios = "﻿[27/02/2021, 9:05:01 PM] Ann: Hello\nmore\n‎[27/02/2021, 9:06:00 PM] Bo: ‎<attached: a.jpg>"
     assert messages.whatsapp(ios) == [("2021-02-27", "21:05:01", "Ann", "Hello\nmore", []), ("2021-02-27", "21:06:00", "Bo", "", ["a.jpg"])]
